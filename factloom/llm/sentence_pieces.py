@@ -58,7 +58,8 @@ class PieceTransducer:
         self.surface = surface
         if not any(self.byte_ids):
             raise ValueError("the model has no byte fallback")
-        self.longest = max(map(len, self.ids))
+        #: The trie of the pieces: every prefix, with the id of the piece that ends there or -1.
+        self.trie = {p[:k]: -1 for p in self.ids for k in range(1, len(p))} | self.ids
         self.alphabet = {c for p in self.ids for c in p}
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids):
             raise ValueError("a piece spans a word mark")
@@ -115,19 +116,25 @@ class PieceTransducer:
         n = len(text)
         weight, last, back = [_INF] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
         weight[0] = 0.0
-        ids, bpe, longest, score = self.ids, self.bpe, self.longest, self.score
+        trie, bpe, score, follows = self.trie.get, self.bpe, self.score, self._follows.get
         for i in range(n):
             w = weight[i]
             if w == _INF:
                 continue
             before = last[i]
-            for j in range(i + 1, min(n, i + longest) + 1):
-                if bpe and not weight[j]:
-                    continue  # no path is lighter than one of weight 0
-                piece = ids.get(text[i:j])
+            for j in range(i + 1, n + 1):
+                piece = trie(text[i:j])
                 if piece is None:
+                    break
+                if piece < 0:
                     continue
-                step = (0.0 if self.may_follow(before, piece) else _INF) if bpe else -score[piece]
+                if bpe:
+                    if not weight[j]:
+                        continue  # no path is lighter than one of weight 0
+                    may = follows(before << 32 | piece)
+                    step = 0.0 if (self.may_follow(before, piece) if may is None else may) else _INF
+                else:
+                    step = -score[piece]
                 if w + step < weight[j]:
                     weight[j], last[j], back[j] = w + step, piece, i
         out = []
