@@ -1,9 +1,9 @@
 """Links between nodes that share a bucket, confirmed pair by pair, and their connected components.
 
 No bucket is capped and no bucket emits all its pairs: every member is first compared with
-the bucket's smallest node; after the components of the confirmed links are known, only members of
+the bucket's most central node; after the components of the confirmed links are known, only members of
 *different* components are still compared, small buckets at once and large ones pivot by pivot until
-no untested pair of components is left. What is skipped could not change a component.
+no untested pair of components is left. Pivots are the most central nodes, those whose buckets hold the most members. What is skipped could not change a component.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from .common import BROADCAST_ROWS, durable
 #: Buckets up to this many members compare all pairs of different components in one round.
 SMALL_BUCKET = 48
 #: Pivots that a larger bucket compares in one round.
-PIVOTS = 8
+PIVOTS = 64
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -44,14 +44,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def shared_buckets(signatures: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
-    """signatures (node, bands array<bigint>) to the pairs of two-member buckets (a, b), and the members (key, node) of larger ones."""
+    """signatures (node, bands array<bigint>) to the pairs of two-member buckets (a, b), and the members (key, node, w) of larger ones; w is how many members a node's buckets hold."""
     rows = signatures.select("node", F.explode("bands").alias("key"))
     multi = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b"))
     multi = durable(multi.where("n > 1"), f"{label}-buckets")
-    keys = multi.where("n > 2").select("key")
+    keys = multi.where("n > 2").select("key", "n")
     if keys.count() <= BROADCAST_ROWS:
         keys = F.broadcast(keys)
-    members = durable(rows.join(keys, "key", "left_semi"), f"{label}-members")
+    members = durable(rows.join(keys, "key"), f"{label}-members")
+    weights = members.groupBy("node").agg(F.sum("n").alias("w"))
+    members = durable(members.join(weights, "node").select("key", "node", "w"), f"{label}-members")
     return multi.where("n = 2 and a <> b").select("a", "b").distinct(), members
 
 
@@ -60,26 +62,26 @@ def link(pairs: DataFrame, members: DataFrame, confirm: Callable[[DataFrame], Da
 
     confirm takes candidate pairs (a, b), a < b, and returns those that are links.
     """
-    leader = members.groupBy("key").agg(F.min("node").alias("a"))
-    first = members.join(leader, "key").where("node <> a").select("a", F.col("node").alias("b"))
+    leader = members.groupBy("key").agg(F.max(F.struct("w", "node")).alias("top")).select("key", F.col("top.node").alias("a"))
+    first = members.join(leader, "key").where("node <> a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
     tested = durable(pairs.union(first).distinct(), f"{label}-pairs")
     links = durable(confirm(tested), f"{label}-links")
-    state = members.join(leader, "key").select("key", "node", (F.col("node") == F.col("a")).alias("done"))
+    state = members.join(leader, "key").select("key", "node", "w", (F.col("node") == F.col("a")).alias("done"))
     while True:
         comps = durable(connected_components(links), f"{label}-comps")
-        now = state.join(comps, "node", "left").select("key", "node", "done", F.coalesce("component", "node").alias("comp"))
+        now = state.join(comps, "node", "left").select("key", "node", "w", "done", F.coalesce("component", "node").alias("comp"))
         left = now.where("not done").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
         now = durable(now.join(left, "key"), f"{label}-open")
         if now.isEmpty():
             return comps
         x, y = now.where("not done").alias("x"), now.where("not done").alias("y")
         near = x.where(F.col("n") <= SMALL_BUCKET).join(y, F.expr("x.key = y.key and x.node < y.node and x.comp <> y.comp")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        by_comp = now.where("not done").where(F.col("n") > SMALL_BUCKET).groupBy("key", "comp").agg(F.min("node").alias("p"))
-        least = Window.partitionBy("key").orderBy("p")
-        pivots = durable(by_comp.withColumn("r", F.row_number().over(least)).where(F.col("r") <= PIVOTS).select("key", "p", F.col("comp").alias("pc")), f"{label}-pivots")
+        by_comp = now.where("not done").where(F.col("n") > SMALL_BUCKET).groupBy("key", "comp").agg(F.max(F.struct("w", "node")).alias("top")).select("key", "comp", "top.w", F.col("top.node").alias("p"))
+        central = Window.partitionBy("key").orderBy(F.desc("w"), "p")
+        pivots = durable(by_comp.withColumn("r", F.row_number().over(central)).where(F.col("r") <= PIVOTS).select("key", "p", F.col("comp").alias("pc")), f"{label}-pivots")
         far = now.where("not done").join(pivots, "key").where("comp <> pc").select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
         fresh = durable(near.union(far).distinct().join(tested, ["a", "b"], "left_anti"), f"{label}-pairs")
         tested = tested.union(fresh)
         links = links.union(durable(confirm(fresh), f"{label}-links"))
-        state = now.where(F.col("n") > SMALL_BUCKET).join(pivots.select("key", F.col("p").alias("node"), F.lit(True).alias("was")), ["key", "node"], "left").select("key", "node", (F.col("done") | F.coalesce("was", F.lit(False))).alias("done"))
+        state = now.where(F.col("n") > SMALL_BUCKET).join(pivots.select("key", F.col("p").alias("node"), F.lit(True).alias("was")), ["key", "node"], "left").select("key", "node", "w", (F.col("done") | F.coalesce("was", F.lit(False))).alias("done"))
         state = durable(state, f"{label}-state")
