@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontamination import contaminated
 from .line_dedup import remove_repeated_lines
 from .near_dedup import near_duplicate_groups
 from .quality_classifier import quality_scores
@@ -16,14 +17,19 @@ from .toxicity import toxicity_scores
 from .weak_rules import judged_documents
 
 
-def _model(name: str) -> str:
+def piece_model() -> str:
+    """The path of the SentencePiece model that the queries use."""
     import public_tokenizers
 
-    return public_tokenizers.path(name)
+    return public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(table(spark, sf_dir, "documents"), _model("piece_bpe_32k.model"))
+    return encode_documents(table(spark, sf_dir, "documents"), piece_model())
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +58,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = token_counts(table(spark, sf_dir, "documents"), _model("piece_bpe_32k.model"))
+    counts = token_counts(table(spark, sf_dir, "documents"), piece_model())
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
