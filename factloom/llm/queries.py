@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontamination import contaminated
 from .line_dedup import remove_repeated_lines
+from .lm_mixing import lm_scores
 from .near_dedup import near_duplicate_groups
 from .quality_classifier import quality_scores
 from .sentence_pieces import encode_documents
@@ -28,6 +29,10 @@ def op1_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
