@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, column_of, durable, texts_of
 
 K1, B = 1.2, 0.75
-PASSAGE, STRIDE, SHARD_ITEMS, BLOCKS = 64, 32, 20_000, 25
+PASSAGE, STRIDE, SHARD_ITEMS, BLOCKS = 64, 32, 20_000, 50
 THRESHOLD, QUESTION, ANSWER = 0.5, 0.8, 0.5
 _SENTENCE = re.compile(rb"(?<=[.!?])\s+")
 
@@ -48,7 +48,7 @@ class ItemIndex:
         n = max(len(self.items), 1)
         frequency = Counter(t for _, w, _ in self.items for t in set(w))
         mean = sum(len(w) for _, w, _ in self.items) / n
-        self.size = max(8, -(-n // BLOCKS))
+        self.size = max(4, -(-n // BLOCKS))
         self.term = {t: k + 1 for k, t in enumerate(frequency)}  # 0: a word that no item has
         self.bounds = np.zeros((len(frequency) + 1, -(-n // self.size)), np.float32)
         self.postings: dict[int, dict[bytes, list[tuple[int, float]]]] = defaultdict(lambda: defaultdict(list))
@@ -78,12 +78,20 @@ class ItemIndex:
         if not words or not self.items:
             return []
         ids = np.fromiter(map(self.term.get, words, repeat(0)), np.int32, len(words))
-        starts = np.arange(0, max(len(words) - self.passage + self.stride, 1), self.stride)
-        summed = np.add.reduceat(self.bounds[ids], starts, axis=0)  # of half passages
-        summed[:-1] += summed[1:].copy() if len(summed) > 1 else 0
+        # Indexed terms of each half passage, every term once: a passage's bound is the sum of its halves' bounds.
+        halves = -(-len(words) // self.stride)
+        known = np.flatnonzero(ids)
+        keys = np.unique(known // self.stride * len(self.bounds) + ids[known])
+        half, term = keys // len(self.bounds), keys % len(self.bounds)
+        present, first = np.unique(half, return_index=True)
+        if not len(present):
+            return []
+        summed = np.zeros((halves + 1, self.bounds.shape[1]), np.float32)
+        summed[present] = np.add.reduceat(self.bounds[term], first, axis=0)
+        summed = summed[: max(halves - 1, 1)] + summed[1 : max(halves, 2)]
         found: dict[int, tuple] = {}
         for k, block in zip(*np.nonzero(summed >= THRESHOLD)):
-            at = int(starts[k])
+            at = int(k) * self.stride
             score: dict[int, float] = defaultdict(float)
             postings = self.postings[int(block)]
             for t in set(words[at : at + self.passage]):
