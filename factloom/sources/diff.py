@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def changed_lines(diffs: DataFrame) -> DataFrame:
     """(path, line) of added lines that are not blank; binary files give line 0. diffs: (text)."""
-    d = diffs.select(F.monotonically_increasing_id().alias("d"), F.posexplode(F.split("text", "\r?\n")).alias("at", "row"))
+    # A diff is named by its hash: a row number would be given after the split, to each line.
+    d = diffs.select("text").distinct().select(F.sha2(F.col("text").cast("binary"), 256).alias("d"), F.posexplode(F.split("text", "\r?\n")).alias("at", "row"))
     head = F.col("row").startswith("diff --git ")
     by = Window.partitionBy("d").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("block", F.sum(head.cast("int")).over(by)).where("block > 0")
