@@ -41,6 +41,17 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def parts_for(spark: SparkSession, rows: int, each: int = 250_000) -> int:
+    """Partitions for so many rows: one for each `each` rows, up to spark.sql.shuffle.partitions."""
+    return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each)))
+
+
+def gathered(df: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """df hashed by keys into so few partitions, for the joins and groups on these keys that follow. From spark.sql.shuffle.partitions
+    on df stays as it is, so that large inputs keep partial aggregation and the skew handling of adaptive execution."""
+    return df.repartition(parts, *keys) if parts < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def keep_ids(df: DataFrame, ids: DataFrame, key: str, n_ids: int) -> DataFrame:
     """Rows of df whose key is in ids; ids are broadcast only when n_ids is at most BROADCAST_ROWS."""
     return df.join(F.broadcast(ids) if n_ids <= BROADCAST_ROWS else ids, key, "left_semi")

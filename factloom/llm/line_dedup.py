@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column_of, durable, keep_ids, mix, texts_of
-from .linking import link, shared_buckets
+from .linking import link, set_confirmer, shared_buckets
 
 MIN_CHARS, SHINGLE, PERCENT = 40, 8, 80
 BINS, BANDS = 64, 16
@@ -100,21 +100,11 @@ def _wanted(it):
             for w in wanted:
                 nodes.append(w["node"])
                 lines.append(normal(parts[w["place"]]))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(lines, pa.binary())], names=["node", "line"])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([len(_shingles(x)) for x in lines], pa.int64()), pa.array(lines, pa.binary())], names=["node", "n", "payload"])
 
 
-def _alike(it):
-    for batch in it:
-        ta, tb, good = column_of(batch, "ta").to_pylist(), column_of(batch, "tb").to_pylist(), []
-        last, last_set = None, None
-        for i in range(len(ta)):
-            if ta[i] != last:
-                last, last_set = ta[i], np.unique(shingle_hashes(ta[i]))
-            other = np.unique(shingle_hashes(tb[i]))
-            both = len(np.intersect1d(last_set, other, assume_unique=True))
-            if 100 * both >= PERCENT * (len(last_set) + len(other) - both):
-                good.append(i)
-        yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
+def _shingles(line: bytes) -> np.ndarray:
+    return np.unique(shingle_hashes(line))
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -126,18 +116,13 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     classes = durable(classes.withColumnRenamed("h1", "node"), "line-classes")
     pairs, members = shared_buckets(classes, "lines")
 
-    def confirm(candidates: DataFrame) -> DataFrame:
-        nodes = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct()
-        wanted = classes.select("node", "doc_id", "place").join(nodes, "node").groupBy("doc_id").agg(F.collect_list(F.struct("node", "place")).alias("wanted"))
-        wanted = durable(wanted, "wanted")
-        small = keep_ids(docs, wanted.select("doc_id"), "doc_id", wanted.count())
-        found = small.join(wanted, "doc_id").select("text", "wanted").mapInArrow(_wanted, "node long, line binary").dropDuplicates(["node"])
-        found = durable(found, "wanted-lines")
-        sized = candidates.join(found.toDF("b", "tb"), "b").join(found.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
-        short = F.least(F.length("ta"), F.length("tb")) - SHINGLE + 1
-        return sized.where(F.greatest(F.length("ta"), F.length("tb")) > 0).where(short > 0).mapInArrow(_alike, "a long, b long").distinct()
-
-    comps = link(pairs, members, confirm, "lines")
+    # The text of every candidate line, found once; its shingles are hashed where it is compared.
+    nodes = members.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    wanted = classes.select("node", "doc_id", "place").join(nodes, "node").groupBy("doc_id").agg(F.collect_list(F.struct("node", "place")).alias("wanted"))
+    wanted = durable(wanted, "wanted")
+    found = keep_ids(docs, wanted.select("doc_id"), "doc_id", wanted.count()).join(wanted, "doc_id").select("text", "wanted")
+    found = durable(found.mapInArrow(_wanted, "node long, n long, payload binary").dropDuplicates(["node"]), "wanted-lines")
+    comps = link(pairs, members, set_confirmer(members, found, PERCENT, _shingles, "lines"), "lines")
     named = lines.select("h1", "h2", "doc_id", "place").join(comps.withColumnRenamed("node", "h1"), "h1", "left")
     # A line without links is its own group, under both halves of its hash.
     named = named.select("doc_id", "place", F.coalesce("component", "h1").alias("g1"), F.when(F.col("component").isNull(), F.col("h2")).otherwise(F.lit(0)).alias("g2"))

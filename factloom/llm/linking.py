@@ -4,21 +4,31 @@ No bucket is capped and no bucket emits all its pairs: every member is first com
 the bucket's most central node; after the components of the confirmed links are known, only members of
 *different* components are still compared, small buckets at once and large ones pivot by pivot until
 no untested pair of components is left. Pivots are the most central nodes, those whose buckets hold the most members. What is skipped could not change a component.
+
+Candidate pairs are confirmed cell by cell: a node's largest bucket, cut into blocks of about BLOCK nodes, is its home; the pairs between two blocks
+make a cell, into which each of its nodes brings its set once, however many pairs it has there. A dense cell counts all
+intersections by matrix products, a sparse one by merging sorted sets; both are exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, durable
+from .common import BROADCAST_ROWS, column_of, durable, gathered, parts_for
 
 #: Buckets up to this many members compare all pairs of different components in one round.
 SMALL_BUCKET = 48
 #: Pivots that a larger bucket compares in one round.
-PIVOTS = 64
+PIVOTS = 256
+#: Nodes of a block, by expectation; a cell holds the pairs of two blocks.
+BLOCK = 256
+#: From this many pairs on, a cell counts by matrix products over so many set members at a time.
+DENSE_PAIRS, STRIP = 24, 4096
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -29,22 +39,23 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e, before = durable(e, "edges"), None
+    parts = parts_for(e.sparkSession, 2 * e.count())
     while True:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = gathered(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), parts, "u")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = gathered(large.where("u <> v"), parts, "u").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = durable(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "stars")
+        e = durable(gathered(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v"), parts, "u").distinct(), "stars")
         now = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(cast(xxhash64(v, u) as decimal(20,0)))")).first()
         if now == before:
-            return e.union(e.select("v", "v").distinct()).toDF("node", "component").distinct()
+            return gathered(e.union(e.select("v", "v")).toDF("node", "component"), parts, "node").distinct()
         before = now
 
 
 def shared_buckets(signatures: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
-    """signatures (node, bands array<bigint>) to the pairs of two-member buckets (a, b), and the members (key, node, w) of larger ones; w is how many members a node's buckets hold."""
+    """signatures (node, bands array<bigint>) to the pairs of two-member buckets (a, b), and the members (key, node, w, n) of larger ones; w is how many members a node's buckets hold, n how many the bucket holds."""
     rows = signatures.select("node", F.explode("bands").alias("key"))
     multi = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b"))
     multi = durable(multi.where("n > 1"), f"{label}-buckets")
@@ -53,35 +64,145 @@ def shared_buckets(signatures: DataFrame, label: str) -> tuple[DataFrame, DataFr
         keys = F.broadcast(keys)
     members = durable(rows.join(keys, "key"), f"{label}-members")
     weights = members.groupBy("node").agg(F.sum("n").alias("w"))
-    members = durable(members.join(weights, "node").select("key", "node", "w"), f"{label}-members")
+    members = durable(members.join(weights, "node").select("key", "node", "w", "n"), f"{label}-members")
     return multi.where("n = 2 and a <> b").select("a", "b").distinct(), members
 
 
+def shared(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many members sets[a[i]] and sets[b[i]] share, for each i; sets are sorted and distinct."""
+    if len(a) < DENSE_PAIRS:
+        return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a, b)], np.int64)
+    rows, row = np.unique(a, return_inverse=True)
+    columns, column = np.unique(b, return_inverse=True)
+    _, member, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    own = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    # A member of one set only is in no intersection.
+    common = times > 1
+    own, member = own[common[member]], (np.cumsum(common) - 1)[member[common[member]]]
+    order = np.argsort(member, kind="stable")
+    own, member = own[order], member[order]
+    both = np.zeros((len(rows), len(columns)), np.float32)
+    for low in range(0, int(common.sum()), STRIP):
+        x, y = np.searchsorted(member, [low, low + STRIP])
+        strip = np.zeros((len(sets), STRIP), np.float32)
+        strip[own[x:y], member[x:y] - low] = 1
+        both += strip[rows] @ strip[columns].T
+    return both[row, column].astype(np.int64)
+
+
+def _cell_links(decode: Callable[[bytes], np.ndarray], percent: int):
+    """Rows sorted by cell, in a cell first the sets (a, payload) and then the pairs (a, b), to the pairs that are links."""
+
+    def judged(nodes: list, payloads: list, a: list, b: list) -> pa.RecordBatch:
+        sets, places = [decode(x) for x in payloads], {}
+        for i, node in enumerate(nodes):
+            places.setdefault(node, []).append(i)
+        # A node has several sets only if rows repeat its id with other texts: any of them may link.
+        tried = [(x, y, i, j) for x, y in zip(a, b) for i in places.get(x, ()) for j in places.get(y, ())]
+        x, y, i, j = (np.array(c, np.int64) for c in zip(*tried)) if tried else (np.zeros(0, np.int64),) * 4
+        both = shared(sets, i, j) if len(i) else i
+        sizes = np.array([len(s) for s in sets], np.int64)
+        good = (both > 0) & (100 * both >= percent * (sizes[i] + sizes[j] - both)) if len(i) else np.zeros(0, bool)
+        return pa.RecordBatch.from_arrays([pa.array(x[good]), pa.array(y[good])], names=["a", "b"])
+
+    def run(it):
+        now, nodes, payloads, left, right = None, [], [], [], []
+        for batch in it:
+            rows = zip(*(column_of(batch, c).to_pylist() for c in ("cell", "a", "b", "payload")))
+            for cell, a, b, payload in rows:
+                if cell != now:
+                    if left:
+                        yield judged(nodes, payloads, left, right)
+                    now, nodes, payloads, left, right = cell, [], [], [], []
+                if b is None:
+                    nodes.append(a)
+                    payloads.append(payload)
+                else:
+                    left.append(a)
+                    right.append(b)
+        if left:
+            yield judged(nodes, payloads, left, right)
+
+    return run
+
+
+def set_confirmer(members: DataFrame, sets: DataFrame, percent: int, decode: Callable[[bytes], np.ndarray], label: str) -> Callable[[DataFrame], DataFrame]:
+    """A confirm() for link(): pairs whose sets share at least percent of their union. sets is (node, n, payload), n the set's size and decode(payload) the sorted set."""
+    home = members.groupBy("node").agg(F.max(F.struct("n", "key")).alias("top"))
+    block = F.xxhash64("top.key", F.pmod(F.xxhash64("node"), F.ceil(F.col("top.n") / BLOCK)))
+    homes = sets.groupBy("node").agg(F.min("n").alias("least"), F.max("n").alias("most")).join(home, "node", "left")
+    homes = durable(homes.select("node", "least", "most", F.when(F.col("top").isNull(), F.col("node")).otherwise(block).alias("block")), f"{label}-homes")
+    spark, n_homes = sets.sparkSession, homes.count()
+
+    def confirm(candidates: DataFrame) -> DataFrame:
+        parts = parts_for(spark, candidates.count() + n_homes)
+        left, right = (gathered(homes.toDF(*(x + c for c in ("", "least", "most", "block"))), parts, x) for x in "ab")
+        sized = gathered(gathered(candidates, parts, "a").join(left, "a"), parts, "b").join(right, "b")
+        # Sets whose sizes alone rule a link out.
+        sized = sized.where(F.col("amost") * 100 >= F.col("bleast") * percent).where(F.col("bmost") * 100 >= F.col("aleast") * percent)
+        cells = durable(sized.select(F.xxhash64(F.least("ablock", "bblock"), F.greatest("ablock", "bblock")).alias("cell"), "a", "b"), f"{label}-cells")
+        # Sets are wider than pairs, and comparing them is the work: more and smaller parts.
+        parts = parts_for(spark, cells.count(), 5_000)
+        ends = gathered(cells.select("cell", F.col("a").alias("node")).union(cells.select("cell", "b")), parts, "node").distinct()
+        brought = ends.join(gathered(sets, parts, "node"), "node").select("cell", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "payload")
+        rows = brought.union(cells.select("cell", "a", "b", F.lit(None).cast("binary")))
+        rows = (rows.repartition(parts, "cell") if parts < int(spark.conf.get("spark.sql.shuffle.partitions")) else rows.repartition("cell")).sortWithinPartitions("cell", F.col("b").isNotNull())
+        return gathered(rows.mapInArrow(_cell_links(decode, percent), "a long, b long"), parts, "a").distinct()
+
+    return confirm
+
+
 def link(pairs: DataFrame, members: DataFrame, confirm: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
     """(node, component) over all links that confirm() upholds among nodes that share a bucket.
 
     confirm takes candidate pairs (a, b), a < b, and returns those that are links.
     """
+    spark, n_members = members.sparkSession, members.count()
+    parts = parts_for(spark, n_members)
+    members = gathered(members, parts, "key")
     leader = members.groupBy("key").agg(F.max(F.struct("w", "node")).alias("top")).select("key", F.col("top.node").alias("a"))
     first = members.join(leader, "key").where("node <> a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-    tested = durable(pairs.union(first).distinct(), f"{label}-pairs")
+    tested = durable(gathered(pairs.union(first), parts, "a", "b").distinct(), f"{label}-pairs")
     links = durable(confirm(tested), f"{label}-links")
-    state = members.join(leader, "key").select("key", "node", "w", (F.col("node") == F.col("a")).alias("done"))
+    state = durable(members.join(leader, "key").select("key", "node", "w", (F.col("node") == F.col("a")).alias("done")), f"{label}-state")
+    comps = None
     while True:
-        comps = durable(connected_components(links), f"{label}-comps")
-        now = state.join(comps, "node", "left").select("key", "node", "w", "done", F.coalesce("component", "node").alias("comp"))
+        if comps is None:
+            comps = durable(connected_components(links), f"{label}-comps")
+        now = gathered(state, parts, "node").join(gathered(comps, parts, "node"), "node", "left").select("key", "node", "w", "done", F.coalesce("component", "node").alias("comp"))
+        now = gathered(now, parts, "key")
         left = now.where("not done").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
         now = durable(now.join(left, "key"), f"{label}-open")
-        if now.isEmpty():
+        n_open = now.count()
+        if not n_open:
             return comps
+        parts = parts_for(spark, n_open)
+        now = gathered(now, parts, "key")
         x, y = now.where("not done").alias("x"), now.where("not done").alias("y")
         near = x.where(F.col("n") <= SMALL_BUCKET).join(y, F.expr("x.key = y.key and x.node < y.node and x.comp <> y.comp")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        by_comp = now.where("not done").where(F.col("n") > SMALL_BUCKET).groupBy("key", "comp").agg(F.max(F.struct("w", "node")).alias("top")).select("key", "comp", "top.w", F.col("top.node").alias("p"))
-        central = Window.partitionBy("key").orderBy(F.desc("w"), "p")
-        pivots = durable(by_comp.withColumn("r", F.row_number().over(central)).where(F.col("r") <= PIVOTS).select("key", "p", F.col("comp").alias("pc")), f"{label}-pivots")
-        far = now.where("not done").join(pivots, "key").where("comp <> pc").select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
-        fresh = durable(near.union(far).distinct().join(tested, ["a", "b"], "left_anti"), f"{label}-pairs")
+        big = now.where("not done").where(F.col("n") > SMALL_BUCKET)
+        pivots = durable(_pivots(big), f"{label}-pivots")
+        far = big.join(gathered(pivots, parts, "key"), "key").where("comp <> pc").select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
+        wide = parts_for(spark, n_open * SMALL_BUCKET)
+        fresh = gathered(near.union(far), wide, "a", "b").distinct().join(gathered(tested, wide, "a", "b"), ["a", "b"], "left_anti")
+        fresh = durable(fresh, f"{label}-pairs")
         tested = tested.union(fresh)
-        links = links.union(durable(confirm(fresh), f"{label}-links"))
-        state = now.where(F.col("n") > SMALL_BUCKET).join(pivots.select("key", F.col("p").alias("node"), F.lit(True).alias("was")), ["key", "node"], "left").select("key", "node", "w", (F.col("done") | F.coalesce("was", F.lit(False))).alias("done"))
+        found = durable(confirm(fresh), f"{label}-links")
+        if not found.isEmpty():
+            links, comps = links.union(found), None
+        was = gathered(pivots.select("key", F.col("p").alias("node"), F.lit(True).alias("was")), parts, "key")
+        state = now.where(F.col("n") > SMALL_BUCKET).join(was, ["key", "node"], "left").select("key", "node", "w", (F.col("done") | F.coalesce("was", F.lit(False))).alias("done"))
         state = durable(state, f"{label}-state")
+
+
+def _pivots(big: DataFrame) -> DataFrame:
+    """(key, p, pc): up to PIVOTS nodes of each bucket and their components, the most central of every component first.
+
+    A bucket's largest component offers one only: once all nodes outside it have been compared, the bucket is closed.
+    """
+    sizes = big.groupBy("key", "comp").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("size", "comp")).alias("top")).select("key", F.col("top.comp").alias("largest"))
+    inside = big.withColumn("rank", F.row_number().over(Window.partitionBy("key", "comp").orderBy(F.desc("w"), "node"))).where(F.col("rank") <= PIVOTS)
+    inside = inside.join(largest, "key").where("comp <> largest or rank = 1")
+    order = Window.partitionBy("key").orderBy("rank", F.desc("w"), "node")
+    return inside.withColumn("r", F.row_number().over(order)).where(F.col("r") <= PIVOTS).select("key", F.col("node").alias("p"), F.col("comp").alias("pc"))

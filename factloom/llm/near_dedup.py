@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, WordHashes, column_of, durable, hashed_words, keep_ids, mix, rolling, texts_of
-from .linking import link, shared_buckets
+from .linking import link, set_confirmer, shared_buckets
 
 BANDS, ROWS = 56, 8
 _rng = np.random.default_rng(20_408)
@@ -49,6 +49,11 @@ def bands_of(sets: list[np.ndarray]) -> np.ndarray:
     return mix(keys + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(_BASE))
 
 
+def _sums(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell sets apart: two sums of their hashes."""
+    return int(s.sum(dtype=np.uint64).view(np.int64)), int(mix(s + np.uint64(_BASE)).sum(dtype=np.uint64).view(np.int64))
+
+
 _SIGNED = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"
 
 
@@ -63,33 +68,35 @@ def _signatures(words: int):
                 flat = bands_of([sets[i] for i in full]).view(np.int64) if full else np.zeros((0, BANDS), np.int64)
                 sizes = np.zeros(len(sets) + 1, np.int32)
                 sizes[np.array(full, np.int64) + 1] = BANDS
-                f1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                f2 = np.array([mix(s + np.uint64(_BASE)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+                sums = np.array([_sums(s) for s in sets], np.int64).reshape(-1, 2)
                 bands = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(flat.ravel()))
-                yield pa.RecordBatch.from_arrays([column_of(batch, "doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1), pa.array(f2), bands], names=["doc_id", "n_shingles", "f1", "f2", "bands"])
+                yield pa.RecordBatch.from_arrays([column_of(batch, "doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0].copy()), pa.array(sums[:, 1].copy()), bands], names=["doc_id", "n_shingles", "f1", "f2", "bands"])
 
     return run
 
 
-def _confirmer(words: int, percent: int):
+def _sets(words: int):
+    """A row of node, size, both sums and the set itself for each text."""
+
     def run(it):
-        memo, last, last_set = WordHashes(), None, None
-        for batch in it:
-            a, b = column_of(batch, "a").to_pylist(), column_of(batch, "b").to_pylist()
-            ta, tb = texts_of(batch, "ta"), texts_of(batch, "tb")
-            good = []
-            for i in range(len(a)):
-                if a[i] != last:
-                    last, last_set = a[i], shingle_sets([ta[i]], words, memo)[0]
-                other = shingle_sets([tb[i]], words, memo)[0]
-                both = len(np.intersect1d(last_set, other, assume_unique=True))
-                if both and 100 * both >= percent * (len(last_set) + len(other) - both):
-                    good.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
+        memo = WordHashes()
+        for big in it:
+            for at in range(0, big.num_rows, 512):
+                batch = big.slice(at, 512)
+                sets = shingle_sets(texts_of(batch), words, memo)
+                sums = np.array([_sums(s) for s in sets], np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays(
+                    [column_of(batch, "doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0].copy()), pa.array(sums[:, 1].copy()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    names=["node", "n", "f1", "f2", "payload"],
+                )
 
     return run
 
 
+def _members(payload: bytes) -> np.ndarray:
+    return np.frombuffer(payload, np.uint64)
+
+
 def near_duplicate_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs; links need percent/100 similarity of full shingle sets.
 
@@ -101,17 +108,11 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, percent: int = 80) ->
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = durable(classes, "classes")
     pairs, members = shared_buckets(classes, "near")
-    sizes = classes.select("node", "n")
-
-    def confirm(candidates: DataFrame) -> DataFrame:
-        sized = candidates.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
-        sized = durable(sized.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b"), "sized")
-        ids = durable(sized.select(F.col("a").alias("doc_id")).union(sized.select("b")).distinct(), "ids")
-        texts = keep_ids(docs, ids, "doc_id", ids.count())
-        both = sized.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
-        return both.mapInArrow(_confirmer(words, percent), "a long, b long").distinct()
-
-    comps = link(pairs, members, confirm, "near")
+    # The full sets of all candidates, made once from their texts.
+    ids = durable(members.select(F.col("node").alias("doc_id")).union(pairs.select("a")).union(pairs.select("b")).distinct(), "ids")
+    sets = keep_ids(docs, ids, "doc_id", ids.count()).mapInArrow(_sets(words), "node long, n long, f1 long, f2 long, payload binary")
+    sets = durable(sets.where("n > 0").dropDuplicates(["node", "f1", "f2"]).select("node", "n", "payload"), "sets")
+    comps = link(pairs, members, set_confirmer(members, sets, percent, _members, "near"), "near")
     named = classes.join(comps, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component"))
     out = signed.join(named, ["f1", "f2"], "left")
     # An empty set has no class: such a row is alone.
