@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column_of, durable, keep_ids, mix, texts_of
-from .linking import link, set_confirmer, shared_buckets
+from .linking import link, shared_buckets
 
 MIN_CHARS, SHINGLE, PERCENT = 40, 8, 80
 BINS, BANDS = 64, 16
@@ -122,7 +122,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     wanted = durable(wanted, "wanted")
     found = keep_ids(docs, wanted.select("doc_id"), "doc_id", wanted.count()).join(wanted, "doc_id").select("text", "wanted")
     found = durable(found.mapInArrow(_wanted, "node long, n long, payload binary").dropDuplicates(["node"]), "wanted-lines")
-    comps = link(pairs, members, set_confirmer(members, found, PERCENT, _shingles, "lines"), "lines")
+    comps = link(pairs, members, found, PERCENT, _shingles, "lines")
     named = lines.select("h1", "h2", "doc_id", "place").join(comps.withColumnRenamed("node", "h1"), "h1", "left")
     # A line without links is its own group, under both halves of its hash.
     named = named.select("doc_id", "place", F.coalesce("component", "h1").alias("g1"), F.when(F.col("component").isNull(), F.col("h2")).otherwise(F.lit(0)).alias("g2"))

@@ -24,7 +24,7 @@ from .common import BROADCAST_ROWS, column_of, durable, gathered, parts_for
 #: Buckets up to this many members compare all pairs of different components in one round.
 SMALL_BUCKET = 48
 #: Pivots that a larger bucket compares in one round.
-PIVOTS = 256
+PIVOTS = 512
 #: Nodes of a block, by expectation; a cell holds the pairs of two blocks.
 BLOCK = 256
 #: From this many pairs on, a cell counts by matrix products over so many set members at a time.
@@ -68,17 +68,14 @@ def shared_buckets(signatures: DataFrame, label: str) -> tuple[DataFrame, DataFr
     return multi.where("n = 2 and a <> b").select("a", "b").distinct(), members
 
 
-def shared(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many members sets[a[i]] and sets[b[i]] share, for each i; sets are sorted and distinct."""
-    if len(a) < DENSE_PAIRS:
-        return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a, b)], np.int64)
-    rows, row = np.unique(a, return_inverse=True)
-    columns, column = np.unique(b, return_inverse=True)
+def overlaps(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """How many members sets[rows[i]] and sets[columns[j]] share, for all rows[i] other than columns[j]; sets are sorted and distinct."""
     _, member, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     own = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     # A member of one set only is in no intersection.
     common = times > 1
-    own, member = own[common[member]], (np.cumsum(common) - 1)[member[common[member]]]
+    kept = common[member]
+    own, member = own[kept], (np.cumsum(common) - 1)[member[kept]]
     order = np.argsort(member, kind="stable")
     own, member = own[order], member[order]
     both = np.zeros((len(rows), len(columns)), np.float32)
@@ -87,7 +84,68 @@ def shared(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
         strip = np.zeros((len(sets), STRIP), np.float32)
         strip[own[x:y], member[x:y] - low] = 1
         both += strip[rows] @ strip[columns].T
-    return both[row, column].astype(np.int64)
+    return both
+
+
+def shared(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many members sets[a[i]] and sets[b[i]] share, for each i; a[i] is never b[i]."""
+    if len(a) < DENSE_PAIRS:
+        return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a, b)], np.int64)
+    rows, row = np.unique(a, return_inverse=True)
+    columns, column = np.unique(b, return_inverse=True)
+    return overlaps(sets, rows, columns)[row, column].astype(np.int64)
+
+
+def _block_links(decode: Callable[[bytes], np.ndarray], percent: int):
+    """Rows (cell, node, comp, pivot, payload) sorted by cell to links between a block and its bucket's pivots: enough of them to join all components that are linked in the cell."""
+
+    def judged(rows: list) -> pa.RecordBatch:
+        nodes, comps, pivot, payloads = zip(*rows)
+        sets, comps, pivot = [decode(x) for x in payloads], np.array(comps, np.int64), np.array(pivot, bool)
+        sizes, ps, ms = np.array([len(x) for x in sets], np.float64), np.flatnonzero(pivot), np.flatnonzero(~pivot)
+        a, b, root = [], [], {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        if len(ps) and len(ms):
+            both = overlaps(sets, ps, ms).astype(np.float64)
+            good = (both > 0) & (100 * both >= percent * (sizes[ps][:, None] + sizes[ms][None, :] - both)) & (comps[ps][:, None] != comps[ms][None, :])
+            for i, j in zip(*np.nonzero(good)):
+                x, y = int(ps[i]), int(ms[j])
+                cx, cy = find(int(comps[x])), find(int(comps[y]))
+                if cx != cy:
+                    root[cx] = cy
+                    a.append(min(nodes[x], nodes[y]))
+                    b.append(max(nodes[x], nodes[y]))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def run(it):
+        now, rows = None, []
+        for batch in it:
+            for cell, *row in zip(*(column_of(batch, c).to_pylist() for c in ("cell", "node", "comp", "pivot", "payload"))):
+                if cell != now:
+                    if rows:
+                        yield judged(rows)
+                    now, rows = cell, []
+                rows.append(row)
+        if rows:
+            yield judged(rows)
+
+    return run
+
+
+def _against_pivots(big: DataFrame, pivots: DataFrame, sets: DataFrame, decode: Callable[[bytes], np.ndarray], percent: int, parts: int) -> DataFrame:
+    """Links (a, b) between the open nodes of large buckets (key, node, n, comp) and the buckets' pivots, block by block: every pivot is sent to every block of its bucket once, and no pair becomes a row."""
+    blocks = F.ceil(F.col("n") / (2 * BLOCK)).cast("int")
+    members = big.select(F.xxhash64("key", F.pmod(F.xxhash64("node"), blocks)).alias("cell"), "node", "comp", F.lit(False).alias("pivot"))
+    spread = big.select("key", "n").distinct().join(pivots, "key").select("key", "p", "pc", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    sent = spread.select(F.xxhash64("key", F.col("block").cast("long")).alias("cell"), F.col("p").alias("node"), F.col("pc").alias("comp"), F.lit(True).alias("pivot"))
+    rows = gathered(members.union(sent), parts, "node").join(gathered(sets, parts, "node"), "node").select("cell", "node", "comp", "pivot", "payload")
+    rows = rows.repartition("cell").sortWithinPartitions("cell")
+    return rows.mapInArrow(_block_links(decode, percent), "a long, b long").distinct()
 
 
 def _cell_links(decode: Callable[[bytes], np.ndarray], percent: int):
@@ -152,11 +210,12 @@ def set_confirmer(members: DataFrame, sets: DataFrame, percent: int, decode: Cal
     return confirm
 
 
-def link(pairs: DataFrame, members: DataFrame, confirm: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
-    """(node, component) over all links that confirm() upholds among nodes that share a bucket.
+def link(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int, decode: Callable[[bytes], np.ndarray], label: str) -> DataFrame:
+    """(node, component) over all links among nodes that share a bucket: sets that share at least percent of their union.
 
-    confirm takes candidate pairs (a, b), a < b, and returns those that are links.
+    sets is (node, n, payload) of all these nodes, n the set's size and decode(payload) the sorted set.
     """
+    confirm = set_confirmer(members, sets, percent, decode, label)
     spark, n_members = members.sparkSession, members.count()
     parts = parts_for(spark, n_members)
     members = gathered(members, parts, "key")
@@ -182,12 +241,11 @@ def link(pairs: DataFrame, members: DataFrame, confirm: Callable[[DataFrame], Da
         near = x.where(F.col("n") <= SMALL_BUCKET).join(y, F.expr("x.key = y.key and x.node < y.node and x.comp <> y.comp")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         big = now.where("not done").where(F.col("n") > SMALL_BUCKET)
         pivots = durable(_pivots(big), f"{label}-pivots")
-        far = big.join(gathered(pivots, parts, "key"), "key").where("comp <> pc").select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
         wide = parts_for(spark, n_open * SMALL_BUCKET)
-        fresh = gathered(near.union(far), wide, "a", "b").distinct().join(gathered(tested, wide, "a", "b"), ["a", "b"], "left_anti")
+        fresh = gathered(near, wide, "a", "b").distinct().join(gathered(tested, wide, "a", "b"), ["a", "b"], "left_anti")
         fresh = durable(fresh, f"{label}-pairs")
         tested = tested.union(fresh)
-        found = durable(confirm(fresh), f"{label}-links")
+        found = durable(confirm(fresh).union(_against_pivots(big, pivots, sets, decode, percent, parts)), f"{label}-links")
         if not found.isEmpty():
             links, comps = links.union(found), None
         was = gathered(pivots.select("key", F.col("p").alias("node"), F.lit(True).alias("was")), parts, "key")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, WordHashes, column_of, durable, hashed_words, keep_ids, mix, rolling, texts_of
-from .linking import link, set_confirmer, shared_buckets
+from .linking import link, shared_buckets
 
 BANDS, ROWS = 56, 8
 _rng = np.random.default_rng(20_408)
@@ -112,7 +112,7 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, percent: int = 80) ->
     ids = durable(members.select(F.col("node").alias("doc_id")).union(pairs.select("a")).union(pairs.select("b")).distinct(), "ids")
     sets = keep_ids(docs, ids, "doc_id", ids.count()).mapInArrow(_sets(words), "node long, n long, f1 long, f2 long, payload binary")
     sets = durable(sets.where("n > 0").dropDuplicates(["node", "f1", "f2"]).select("node", "n", "payload"), "sets")
-    comps = link(pairs, members, set_confirmer(members, sets, percent, _members, "near"), "near")
+    comps = link(pairs, members, sets, percent, _members, "near")
     named = classes.join(comps, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component"))
     out = signed.join(named, ["f1", "f2"], "left")
     # An empty set has no class: such a row is alone.

@@ -54,6 +54,13 @@ def test_substring_dedup_equals_brute_force(docs, rows, empty):
     assert substring_dedup.remove_repeated_spans(empty).count() == 0
 
 
+def test_overlaps_equal_plain_intersections():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 9000, rng.integers(0, 6000)).astype(np.uint64)) for _ in range(12)]
+    a, b = np.nonzero(~np.eye(12, dtype=bool))
+    assert linking.shared(sets, a, b).tolist() == [len(np.intersect1d(sets[i], sets[j])) for i, j in zip(a, b)]
+
+
 def test_near_dedup_equals_brute_force(docs, rows, empty):
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicate_groups(docs, 2, 80).collect()}
     assert got == brute.near_groups(rows)
@@ -65,7 +72,9 @@ def test_large_bucket_gives_every_link(spark):
     n = linking.SMALL_BUCKET * 2
     signatures = spark.createDataFrame([(i, [7]) for i in range(n)], "node long, bands array<long>")
     pairs, members = linking.shared_buckets(signatures, "t")
-    comps = linking.link(pairs, members, lambda p: p.where("b - a = 2"), "t")
+    # Neighbours of one parity share eight of ten members, others fewer or none.
+    sets = spark.createDataFrame([(i, 9, np.arange(i % 2 * 10**6 + i // 2, i % 2 * 10**6 + i // 2 + 9, dtype=np.uint64).tobytes()) for i in range(n)], "node long, n long, payload binary")
+    comps = linking.link(pairs, members, sets, 80, lambda x: np.frombuffer(x, np.uint64), "t")
     assert {r.node: r.component for r in comps.collect()} == {i: i % 2 for i in range(n)}
 
 
