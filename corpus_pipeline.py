@@ -25,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that stand elsewhere; n_chars follows the text. A document without lines left goes."""
-    left = remove_repeated_lines(docs.select(COLUMNS))
+    left = remove_repeated_lines(docs.select(COLUMNS), min_chars=1)
     return left.withColumn("n_chars", F.length("text").cast("long")).where("n_removed = 0 or length(trim(text)) > 0").select(COLUMNS)
 
 

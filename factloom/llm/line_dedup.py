@@ -1,12 +1,14 @@
-"""Line deduplication: lines whose character shingles are at least 80 % alike are one line, and one occurrence of it stays.
-
-A line is a part of a text between line feeds. Lines of at least MIN_CHARS characters after lower-casing A-Z and collapsing white space take
-part; shorter ones always stay, since they repeat by chance. Equal lines collapse first (128-bit hash). A distinct
-line's shingles of SHINGLE bytes are hashed once and dealt into 64 bins whose minima are its signature (one permutation, empty bins
-borrow from the next one); 16 bands of 4 minima find candidates (missed at the threshold with probability 2e-4), the full shingle
+"""Line deduplication: lines whose byte shingles are at least 80 % alike are one line, and one occurrence of it stays.
+
+A line is a part of a text between line feeds; it is compared after lower-casing A-Z and collapsing white space. Lines of min_chars bytes or more take
+part: the queries pass 1, so that every line that is not blank does; by default (MIN_CHARS) shorter ones stay. Equal lines collapse first (128-bit hash),
+at any length. Distinct lines of MIN_CHARS bytes or more link where their SHINGLE-byte shingles are alike; among lines of SHORT_SHINGLE to SHORT_CHARS
+bytes those also link whose SHORT_SHINGLE-byte shingles are, since one letter changes too many of the longer ones there. A line under SHORT_SHINGLE bytes has only equals.
+A line's shingles are hashed once and dealt into bins whose minima are its signature (one permutation, empty bins
+borrow from the next one). SHINGLE: 64 bins, 16 bands of 4 minima (a pair at the threshold is missed with probability 2e-4); SHORT_SHINGLE: 128 bins, 24 bands of 5 minima (7e-5). Bands find candidates, the full shingle
 sets confirm them, and connected components give the groups. Of each group the occurrence with the smallest (doc_id, line number) stays.
 
-Edge cases. Null and empty texts have no lines to remove. A group's other lines are removed from documents with their line feed; a document may become
+Edge cases. Null and empty texts have no lines to remove; blank lines stay. A group's other lines are removed from documents with their line feed; a document may become
 empty and stays as a row. Rows that repeat a doc_id share their line numbers: both keep or lose the same lines. Rows without doc_id neither
 lose lines nor take any from others. An empty table gives an empty result. Texts of any length are used whole; other columns are carried through.
 """
@@ -20,10 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column_of, durable, keep_ids, mix, texts_of
-from .linking import link, shared_buckets
+from .linking import connected_components, link, shared_buckets
 
 MIN_CHARS, SHINGLE, PERCENT = 40, 8, 80
 BINS, BANDS = 64, 16
+SHORT_CHARS, SHORT_SHINGLE, SHORT_BINS, SHORT_BANDS = 96, 4, 128, 24
+#: A line's node for its short shingles is its hash with these bits turned.
+_TURN = 0x5851F42D4C957F2D
+#: Bins of each band.
+_GROUPS = np.arange(BINS).reshape(BANDS, -1)
+_SHORT_GROUPS = np.random.default_rng(1).permutation(SHORT_BINS)[: SHORT_BANDS * 5].reshape(SHORT_BANDS, 5)
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -31,98 +39,125 @@ def normal(line: bytes) -> bytes:
     return b" ".join(line.lower().split())
 
 
-def eligible(text: bytes) -> list[tuple[int, bytes]]:
+def eligible(text: bytes, min_chars: int = MIN_CHARS) -> list[tuple[int, bytes]]:
     """(line number, normal form) of the lines that take part."""
-    return [(i, n) for i, line in enumerate(text.split(b"\n")) if len(line) >= MIN_CHARS and len(n := normal(line)) >= MIN_CHARS]
+    low = max(1, min_chars)
+    return [(i, n) for i, line in enumerate(text.split(b"\n")) if len(line) >= low and len(n := normal(line)) >= low]
 
 
-def shingle_hashes(data: bytes) -> np.ndarray:
-    """Hashes of all SHINGLE consecutive bytes: pairs, then pairs of pairs."""
+def shingle_hashes(data: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of all `shingle` consecutive bytes: pairs, then pairs of pairs."""
     h = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
     step = 1
-    while step < SHINGLE:
+    while step < shingle:
         h = mix(h[:-step] * np.uint64(_BASE) + h[step:])
         step *= 2
     return h
 
 
-def _bands(lines: list[bytes]) -> np.ndarray:
-    h = shingle_hashes(b"\0".join(lines))
+def _bands(lines: list[bytes], shingle: int, groups: np.ndarray, bins: int) -> np.ndarray:
+    """A row of band keys for each line; lines are of `shingle` bytes at least."""
+    if not lines:
+        return np.zeros((0, len(groups)), np.uint64)
+    h = shingle_hashes(b"\0".join(lines), shingle)
     lengths = np.array([len(x) for x in lines], np.int64)
     starts = np.cumsum(lengths + 1) - lengths - 1
     own = np.repeat(np.arange(len(lines)), lengths + 1)[: len(h)]
-    inside = np.arange(len(h)) - starts[own] <= lengths[own] - SHINGLE
+    inside = np.arange(len(h)) - starts[own] <= lengths[own] - shingle
     h, own = h[inside], own[inside]
-    minima = np.full(len(lines) * BINS, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(minima, own * BINS + (h >> np.uint64(58)).astype(np.int64), h)
-    minima = minima.reshape(-1, BINS)
+    minima = np.full(len(lines) * bins, np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(minima, own * bins + (h >> np.uint64(65 - bins.bit_length())).astype(np.int64), h)
+    minima = minima.reshape(-1, bins)
     empty = minima == np.iinfo(np.uint64).max
-    for _ in range(BINS):
+    for _ in range(bins):
         if not empty.any():
             break
         borrowed = mix(np.roll(minima, -1, axis=1) + np.uint64(1))
         take = empty & ~np.roll(empty, -1, axis=1)
         minima[take] = borrowed[take]
         empty &= ~take
-    keys = np.zeros((len(lines), BANDS), np.uint64)
-    for r in range(BINS // BANDS):
-        keys = keys * np.uint64(_BASE) + minima[:, r * BANDS : (r + 1) * BANDS]
-    return mix(keys + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(_BASE))
-
-
-def _lines(it):
-    for big in it:
-        for at in range(0, big.num_rows, 256):
-            batch = big.slice(at, 256)
-            ids, docs, places, lines = column_of(batch, "doc_id").to_pylist(), [], [], []
-            for i, text in zip(ids, texts_of(batch)):
-                if i is not None:
-                    for n, line in eligible(text):
-                        docs.append(i)
-                        places.append(n)
-                        lines.append(line)
-            full = [xxhash.xxh3_128_digest(x) for x in lines]
-            both = np.frombuffer(b"".join(full), np.int64).reshape(-1, 2)
-            bands = _bands(lines).view(np.int64) if lines else np.zeros((0, BANDS), np.int64)
-            offsets = pa.array(np.arange(len(lines) + 1, dtype=np.int32) * BANDS)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(docs, pa.int64()), pa.array(places, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(bands.ravel()))],
-                names=["h1", "h2", "doc_id", "place", "bands"],
-            )
+    keys = np.zeros((len(lines), len(groups)), np.uint64)
+    for r in range(groups.shape[1]):
+        keys = keys * np.uint64(_BASE) + minima[:, groups[:, r]]
+    return mix(keys + np.arange(1, len(groups) + 1, dtype=np.uint64) * np.uint64(_BASE))
+
+
+def _listed(rows: np.ndarray, has: np.ndarray) -> pa.ListArray:
+    """Lists for all lines, empty where a line has no row."""
+    ends = np.concatenate([[0], np.cumsum(has)]) * rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(rows.view(np.int64).ravel()))
+
+
+def _lines(min_chars: int):
+    def run(it):
+        for big in it:
+            for at in range(0, big.num_rows, 256):
+                batch = big.slice(at, 256)
+                ids, docs, places, lines = column_of(batch, "doc_id").to_pylist(), [], [], []
+                for i, text in zip(ids, texts_of(batch)):
+                    if i is not None:
+                        for n, line in eligible(text, min_chars):
+                            docs.append(i)
+                            places.append(n)
+                            lines.append(line)
+                full = [xxhash.xxh3_128_digest(x) for x in lines]
+                both = np.frombuffer(b"".join(full), np.int64).reshape(-1, 2)
+                lengths = np.array([len(x) for x in lines], np.int64)
+                wide, short = lengths >= MIN_CHARS, (lengths >= SHORT_SHINGLE) & (lengths <= SHORT_CHARS)
+                bands = _bands([x for x, w in zip(lines, wide) if w], SHINGLE, _GROUPS, BINS)
+                short_bands = _bands([x for x, w in zip(lines, short) if w], SHORT_SHINGLE, _SHORT_GROUPS, SHORT_BINS)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(docs, pa.int64()), pa.array(places, pa.int32()), _listed(bands, wide), _listed(short_bands, short)],
+                    names=["h1", "h2", "doc_id", "place", "bands", "short_bands"],
+                )
+
+    return run
 
 
 def _wanted(it):
-    """The lines of a document at the places asked for."""
+    """The lines of a document at the places asked for; a payload starts with the length of its shingles."""
     for batch in it:
-        nodes, lines = [], []
+        nodes, shorts, payloads = [], [], []
         for text, wanted in zip(texts_of(batch), column_of(batch, "wanted").to_pylist()):
             parts = text.split(b"\n")
             for w in wanted:
                 nodes.append(w["node"])
-                lines.append(normal(parts[w["place"]]))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([len(_shingles(x)) for x in lines], pa.int64()), pa.array(lines, pa.binary())], names=["node", "n", "payload"])
+                shorts.append(w["short"])
+                payloads.append(bytes([SHORT_SHINGLE if w["short"] else SHINGLE]) + normal(parts[w["place"]]))
+        sizes = pa.array([len(_shingles(x)) for x in payloads], pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(shorts, pa.bool_()), sizes, pa.array(payloads, pa.binary())], names=["node", "short", "n", "payload"])
+
+
+def _shingles(payload: bytes) -> np.ndarray:
+    return np.unique(shingle_hashes(payload[1:], payload[0]))
 
 
-def _shingles(line: bytes) -> np.ndarray:
-    return np.unique(shingle_hashes(line))
+def _turned(column: str) -> "F.Column":
+    return F.col(column).bitwiseXOR(F.lit(_TURN))
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, places): for documents with repeated lines, the numbers of the lines that go."""
     docs = docs.select("doc_id", "text")
-    lines = durable(docs.mapInArrow(_lines, "h1 long, h2 long, doc_id long, place int, bands array<long>"), "lines")
+    lines = durable(docs.mapInArrow(_lines(min_chars), "h1 long, h2 long, doc_id long, place int, bands array<long>, short_bands array<long>"), "lines")
     # h1 names a distinct line; the other 64 bits tell apart lines that meet in it.
-    classes = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.min_by("place", "doc_id").alias("place"), F.first("bands").alias("bands"))
+    classes = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.min_by("place", "doc_id").alias("place"), F.first("bands").alias("bands"), F.first("short_bands").alias("short_bands"))
     classes = durable(classes.withColumnRenamed("h1", "node"), "line-classes")
-    pairs, members = shared_buckets(classes, "lines")
+    # The two kinds of shingles have nodes of their own, which never share a bucket.
+    pairs, members = shared_buckets(classes.select("node", "bands").union(classes.select(_turned("node"), "short_bands")), "lines")
 
     # The text of every candidate line, found once; its shingles are hashed where it is compared.
     nodes = members.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
-    wanted = classes.select("node", "doc_id", "place").join(nodes, "node").groupBy("doc_id").agg(F.collect_list(F.struct("node", "place")).alias("wanted"))
+    short = classes.where(F.size("short_bands") > 0).select(_turned("node").alias("node"), "doc_id", "place", F.lit(True).alias("short"))
+    places = classes.where(F.size("bands") > 0).select("node", "doc_id", "place", F.lit(False).alias("short")).union(short)
+    wanted = places.join(nodes, "node").groupBy("doc_id").agg(F.collect_list(F.struct("node", "place", "short")).alias("wanted"))
     wanted = durable(wanted, "wanted")
     found = keep_ids(docs, wanted.select("doc_id"), "doc_id", wanted.count()).join(wanted, "doc_id").select("text", "wanted")
-    found = durable(found.mapInArrow(_wanted, "node long, n long, payload binary").dropDuplicates(["node"]), "wanted-lines")
-    comps = link(pairs, members, found, PERCENT, _shingles, "lines")
+    found = durable(found.mapInArrow(_wanted, "node long, short boolean, n long, payload binary").dropDuplicates(["node"]), "wanted-lines")
+    comps = link(pairs, members, found.select("node", "n", "payload"), PERCENT, _shingles, "lines")
+    # A line's two nodes are one.
+    twins = comps.join(found.where("short").select("node"), "node", "left_semi").select("node", _turned("node"))
+    comps = connected_components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(twins))
     named = lines.select("h1", "h2", "doc_id", "place").join(comps.withColumnRenamed("node", "h1"), "h1", "left")
     # A line without links is its own group, under both halves of its hash.
     named = named.select("doc_id", "place", F.coalesce("component", "h1").alias("g1"), F.when(F.col("component").isNull(), F.col("h2")).otherwise(F.lit(0)).alias("g2"))
@@ -149,9 +184,9 @@ def _without(it):
         yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_gone, pa.int64())], names=[*batch.schema.names[:-1], "n_lines", "n_removed"])
 
 
-def remove_repeated_lines(docs: DataFrame) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with the texts that are left, and n_lines and n_removed behind the other columns (null texts become empty)."""
-    places = repeated_lines(docs)
+    places = repeated_lines(docs, min_chars)
     own = docs.withColumnsRenamed({c: f"own_{c}" for c in docs.columns if c in ("places", "n_lines", "n_removed")})
     joined = own.join(places, "doc_id", "left").select(*own.columns, "places")
     schema = own.schema.add("n_lines", "long").add("n_removed", "long")

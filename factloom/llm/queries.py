@@ -58,7 +58,7 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    left = remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=1)
     return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 

@@ -123,6 +123,14 @@ def test_line_dedup_keeps_one_line_of_each_group(spark):
     assert got == {3: ("short\n" + far, 3, 1, "own"), 1: (near + "\nshort", 2, 0, "own"), 2: ("", 2, 2, "own"), 4: ("", 0, 0, "own"), 5: ("", 0, 0, "own"), None: (base, 1, 0, "own")}
 
 
+def test_line_dedup_of_short_lines(spark):
+    """Exact repeats at any length, and one changed letter from 40 bytes on; blank lines stay."""
+    lines = ["the harbour wall was painted white again", "a slow train left the valley before the first snow fell", "seven painters came to the old mill by the river and stayed there all summer"]
+    rows = [(1, "\n".join(["All rights reserved.", "ok", "", *lines])), (2, "\n".join(["all  rights reserved.", "ok", "", *(x[:20] + "#" + x[21:] for x in lines), "only here"]))]
+    left = line_dedup.remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_chars=1)
+    assert {r.doc_id: (r.text, r.n_removed) for r in left.collect()} == {1: (rows[0][1], 0), 2: ("\nonly here", 5)}
+
+
 def test_decontamination_finds_whole_items_only(spark):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
