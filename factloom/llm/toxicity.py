@@ -1,10 +1,11 @@
 """Toxicity: a lexicon trie intersected with Levenshtein automata finds misspelled terms; context windows tell quotation from abuse.
 
-The lexicon is learned from at most LABEL_ROWS labelled rows: words and word stems whose documents are marked toxic at least
-PRECISION of the time. The intersection is one lazily built deterministic automaton over the letters of a word: its states
+The lexicon is learned from at most LABEL_ROWS labelled rows: words and word stems that stand MIN_RATE times as often in the text of toxic documents as
+in that of others, with a log-likelihood ratio of MIN_LLR or more; of a stem and its longer forms the one with the largest ratio is taken.
+Each term has a strength: 2 where PRECISION of its documents are toxic, else 1 from STRONG_RATE on, else 0. The intersection is one lazily built deterministic automaton over the letters of a word: its states
 are sets of (trie node, edits so far), so a word costs a table look-up per letter and dies early. Terms of 5 letters or more allow one
 edit, of 9 or more two. Each hit is weighed in a window of WINDOW words: inside quotation marks, next to reporting signs, or in the open.
-A logistic model over these sums, fitted on the same bounded rows, gives the score.
+A logistic model over these sums and over the hits and hit density of each strength, fitted on the same bounded rows, gives the score.
 
 Edge cases. Null and empty texts have no hits and get the score of a clean text. Without any toxic label the lexicon is empty and every score is the same. Repeated
 rows are scored each. Labels that are null count as missing. Columns other than doc_id, text and toxic are ignored.
@@ -13,6 +14,7 @@ rows are scored each. Labels that are null count as missing. Columns other than
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +24,10 @@ from pyspark.sql import functions as F
 from .common import column_of, durable, keep_ids, split_column
 
 LABEL_ROWS, MIN_DOCS, PRECISION, MAX_TERMS, WINDOW = 40_000, 8, 0.97, 2_000, 12
+MIN_RATE, STRONG_RATE, MIN_LLR = 3, 12, 30
 _TRIM = "\"'“”‘’«»„.,;:!?()[]{}*#$%&|<>-"
 _QUOTE = re.compile("[\"“”«»„]")
-_N = 6
+_N = 12
 
 
 def clean(word: str) -> str:
@@ -34,7 +37,8 @@ def clean(word: str) -> str:
 class LexiconAutomaton:
     """terms: (text, is_stem). A stem accepts any ending."""
 
-    def __init__(self, terms: list[tuple[str, bool]]):
+    def __init__(self, terms: list[tuple[str, bool]], strengths: list[int] | None = None):
+        self.strengths = [2] * len(terms) if strengths is None else strengths
         self.child, self.term, self.room = [{}], [None], [0]
         for i, (text, stem) in enumerate(terms):
             edits = 0 if stem else 2 if len(text) >= 9 else 1 if len(text) >= 5 else 0
@@ -120,31 +124,37 @@ def context_scores(text: str, automaton: LexiconAutomaton, memo: dict) -> list[f
     quotes = [len(_QUOTE.findall(w)) for w in words]
     before = np.concatenate([[0], np.cumsum(quotes)])
     open_hits = quoted = fuzzy = 0.0
-    terms = set()
+    terms, strong = set(), [0, 0, 0]
     for i, (edits, term) in hits:
         lo, hi = max(0, i - WINDOW), min(len(words), i + WINDOW + 1)
         left, right = before[i] - before[lo], before[hi] - before[i + 1]
         if (left % 2 and right) or quotes[i] >= 2:
             quoted += 1
-        elif edits:
-            fuzzy += 1
         else:
-            open_hits += 1
+            strong[automaton.strengths[term]] += 1
+            if edits:
+                fuzzy += 1
+            else:
+                open_hits += 1
         terms.add(term)
-    return [np.log1p(open_hits), np.log1p(fuzzy), np.log1p(quoted), np.log1p(len(terms)), float(open_hits > 0), min(1.0, 20 * (open_hits + fuzzy) / len(words))]
+    return [np.log1p(open_hits), np.log1p(fuzzy), np.log1p(quoted), np.log1p(len(terms)), float(open_hits > 0), min(1.0, 20 * (open_hits + fuzzy) / len(words)), *(np.log1p(n) for n in strong), *(min(1.0, 20 * n / len(words)) for n in strong)]
 
 
 def _terms(it):
-    """(term, is_stem, toxic, clean) of each task: documents of either kind that hold a word or a stem of 4 to 7 letters."""
+    """Of each task, for every word and stem of 4 to 7 letters: toxic and clean documents that hold it, and how often it stands in either kind. The empty term counts all words."""
     counts: dict[tuple[str, bool], list[int]] = {}
     for batch in it:
         for text, y in zip(column_of(batch, "text").to_pylist(), column_of(batch, "toxic").to_pylist()):
-            words = {clean(w) for w in (text or "").split()}
-            words.discard("")
-            seen = {(w, False) for w in words if len(w) >= 4} | {(w[:k], True) for w in words for k in range(4, min(8, len(w)))}
-            for t in seen:
-                c = counts.setdefault(t, [0, 0])
-                c[0 if y else 1] += 1
+            seen: dict[tuple[str, bool], int] = {}
+            for w, n in Counter(map(clean, (text or "").split())).items():
+                if w:
+                    for t in [("", False), *([(w, False)] if len(w) >= 4 else []), *((w[:k], True) for k in range(4, min(8, len(w))))]:
+                        seen[t] = seen.get(t, 0) + n
+            kind = 0 if y else 1
+            for t, n in seen.items():
+                c = counts.setdefault(t, [0, 0, 0, 0])
+                c[kind] += 1
+                c[2 + kind] += n
         if len(counts) > 400_000:
             yield _term_rows(counts)
             counts = {}
@@ -152,37 +162,41 @@ def _terms(it):
 
 
 def _term_rows(counts) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([t for t, _ in counts], pa.string()), pa.array([s for _, s in counts], pa.bool_()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], names=["term", "stem", "hits", "misses"])
+    numbers = [pa.array([c[i] for c in counts.values()], pa.int64()) for i in range(4)]
+    return pa.RecordBatch.from_arrays([pa.array([t for t, _ in counts], pa.string()), pa.array([s for _, s in counts], pa.bool_()), *numbers], names=["term", "stem", "hits", "misses", "n_toxic", "n_clean"])
 
 
-def choose_terms(rows: list[tuple[str, bool, int]]) -> list[tuple[str, bool]]:
-    """Of precise words and stems: a word where one word carries its stem, else the longest stem that loses none of the shorter one's documents."""
-    words = {t: h for t, stem, h in rows if not stem}
-    stems = {t: h for t, stem, h in rows if stem}
+def choose_terms(rows: list[tuple[str, bool, float]]) -> list[tuple[str, bool]]:
+    """Of words and stems with their evidence, the strongest first: no stem beside its own longer forms, and at most MAX_TERMS."""
     chosen: list[tuple[str, bool]] = []
-    covered: set[str] = set()
-    for stem in sorted(stems, key=lambda t: (len(t), t)):
-        if any(stem.startswith(c) for c in covered):
+    stems: set[str] = set()
+    starts: set[str] = set()
+    for term, stem, _ in sorted(rows, key=lambda r: (-r[2], r[1], r[0])):
+        if any(term[:k] in stems for k in range(4, len(term) + 1)) or (stem and term in starts):
             continue
-        best = max((w for w in words if w.startswith(stem)), key=lambda w: (words[w], w), default=None)
-        if best and words[best] >= 0.8 * stems[stem]:
-            chosen.append((best, False))
-        else:
-            long = stem
-            while longer := [t for t in stems if len(t) == len(long) + 1 and t.startswith(long) and stems[t] >= 0.98 * stems[stem]]:
-                long = longer[0]
-            chosen.append((long, True))
-        covered.add(stem)
-    chosen += [(w, False) for w in words if not any(w.startswith(c) for c in covered)]
-    return sorted(set(chosen))
-
-
-def learn_lexicon(labelled: DataFrame) -> list[tuple[str, bool]]:
-    """Terms from rows (text, toxic)."""
-    counts = labelled.mapInArrow(_terms, "term string, stem boolean, hits long, misses long").groupBy("term", "stem").agg(F.sum("hits").alias("hits"), F.sum("misses").alias("misses"))
-    good = counts.where((F.col("hits") >= MIN_DOCS) & (F.col("hits") >= PRECISION * (F.col("hits") + F.col("misses"))))
-    good = good.orderBy(F.desc("hits"), "term", "stem").limit(MAX_TERMS)
-    return choose_terms([(r.term, r.stem, r.hits) for r in good.collect()])
+        chosen.append((term, stem))
+        starts.update(term[:k] for k in range(4, len(term) + 1))
+        if stem:
+            stems.add(term)
+    return chosen[:MAX_TERMS]
+
+
+def learn_lexicon(labelled: DataFrame) -> tuple[list[tuple[str, bool]], list[int]]:
+    """Terms from rows (text, toxic), and their strengths."""
+    counts = labelled.mapInArrow(_terms, "term string, stem boolean, hits long, misses long, n_toxic long, n_clean long").groupBy("term", "stem").agg(*(F.sum(c).alias(c) for c in ("hits", "misses", "n_toxic", "n_clean")))
+    counts = durable(counts.where((F.col("hits") >= MIN_DOCS) | (F.col("term") == "")), "terms")
+    total = counts.where("term = ''").first()
+    if total is None or not total.n_toxic:
+        return [], []
+    toxic, clean_words = float(total.n_toxic), float(max(1, total.n_clean))
+    x, y = F.col("n_toxic").cast("double"), F.col("n_clean").cast("double")
+    part = lambda n, expected: F.when(n > 0, n * F.log(n / expected)).otherwise(0.0)
+    both = (x + y) / (toxic + clean_words)
+    rated = counts.where("term <> ''").withColumn("llr", 2 * (part(x, both * toxic) + part(y, both * clean_words))).withColumn("rate", x / toxic / ((y + 0.5) / clean_words))
+    good = rated.where((F.col("rate") >= MIN_RATE) & (F.col("llr") >= MIN_LLR)).collect()
+    strength = {(r.term, r.stem): 2 if r.hits >= PRECISION * (r.hits + r.misses) else int(r.rate >= STRONG_RATE) for r in good}
+    terms = choose_terms([(r.term, r.stem, r.llr) for r in good])
+    return terms, [strength[t] for t in terms]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -206,10 +220,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out_mod: int = 5, h
     known = durable(known, "labels")
     n = known.count()
     labelled = keep_ids(docs, known.select("doc_id"), "doc_id", n).join(F.broadcast(known) if n <= 2 * LABEL_ROWS else known, "doc_id")
-    lexicon = learn_lexicon(labelled.select("text", "toxic"))
+    lexicon, strengths = learn_lexicon(labelled.select("text", "toxic"))
 
     def scored(it):
-        automaton, memo = LexiconAutomaton(lexicon), {}
+        automaton, memo = LexiconAutomaton(lexicon, strengths), {}
         for batch in it:
             x = [context_scores(t or "", automaton, memo) for t in column_of(batch, "text").to_pylist()]
             offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * _N)

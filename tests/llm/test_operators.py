@@ -195,6 +195,18 @@ def test_toxicity_learns_words_and_stems(spark):
     assert [r.predicted for r in got if r.doc_id == 900] == [0]
 
 
+def test_toxicity_learns_stems_that_clean_texts_hold_once(spark):
+    rng = random.Random(7)
+    rows = []
+    for i in range(400):
+        toxic = i % 4 == 0
+        words = [rng.choice("der die das und mit von haus baum see berg".split()) for _ in range(40 if toxic else 200)]
+        words[5:5] = ["zorn" + rng.choice(["ig", "haft", "voll", "en", "es", "er"]) for _ in range(4 if toxic else i % 2)]
+        rows.append((i, " ".join(words)))
+    got = toxicity.toxicity_scores(spark.createDataFrame(rows, "doc_id long, text string"), labels_for(spark, rows)).collect()
+    assert all(r.predicted == int(r.doc_id % 4 == 0) for r in got)
+
+
 def test_quoted_hits_are_told_apart():
     automaton = toxicity.LexiconAutomaton([("idiot", False)])
     free, quoted = (toxicity.context_scores(t, automaton, {}) for t in ("you are an idiot", 'they wrote "what an idiot he is" and left'))
