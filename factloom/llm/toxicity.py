@@ -1,10 +1,11 @@
-"""Toxicity: a lexicon trie intersected with Levenshtein automata finds misspelled terms; context windows tell quotation from abuse.
+"""Toxicity: a lexicon trie intersected with Levenshtein automata finds misspelled terms; quotation marks tell quotation from abuse.
 
 The lexicon is learned from at most LABEL_ROWS labelled rows: words and word stems that stand MIN_RATE times as often in the text of toxic documents as
 in that of others, with a log-likelihood ratio of MIN_LLR or more; of a stem and its longer forms the one with the largest ratio is taken.
 Each term has a strength: 2 where PRECISION of its documents are toxic, else 1 from STRONG_RATE on, else 0. The intersection is one lazily built deterministic automaton over the letters of a word: its states
 are sets of (trie node, edits so far), so a word costs a table look-up per letter and dies early. Terms of 5 letters or more allow one
-edit, of 9 or more two. Each hit is weighed in a window of WINDOW words: inside quotation marks, next to reporting signs, or in the open.
+edit, of 9 or more two; a stem accepts words of its own length or more whose start is so near. A hit counts as quoted where the quotation marks before it are odd
+in number and one follows, wherever they stand in the text, or where its own word has two; any other hit is in the open.
 A logistic model over these sums and over the hits and hit density of each strength, fitted on the same bounded rows, gives the score.
 
 Edge cases. Null and empty texts have no hits and get the score of a clean text. Without any toxic label the lexicon is empty and every score is the same. Repeated
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import column_of, durable, keep_ids, split_column
 
-LABEL_ROWS, MIN_DOCS, PRECISION, MAX_TERMS, WINDOW = 40_000, 8, 0.97, 2_000, 12
+LABEL_ROWS, MIN_DOCS, PRECISION, MAX_TERMS = 40_000, 8, 0.97, 2_000
 MIN_RATE, STRONG_RATE, MIN_LLR = 3, 12, 30
 _TRIM = "\"'“”‘’«»„.,;:!?()[]{}*#$%&|<>-"
 _QUOTE = re.compile("[\"“”«»„]")
@@ -35,13 +36,13 @@ def clean(word: str) -> str:
 
 
 class LexiconAutomaton:
-    """terms: (text, is_stem). A stem accepts any ending."""
+    """terms: (text, is_stem). A stem accepts any ending, but no word shorter than itself."""
 
     def __init__(self, terms: list[tuple[str, bool]], strengths: list[int] | None = None):
         self.strengths = [2] * len(terms) if strengths is None else strengths
-        self.child, self.term, self.room = [{}], [None], [0]
+        self.child, self.term, self.room, self.lengths = [{}], [None], [0], [len(t) for t, _ in terms]
         for i, (text, stem) in enumerate(terms):
-            edits = 0 if stem else 2 if len(text) >= 9 else 1 if len(text) >= 5 else 0
+            edits = 2 if len(text) >= 9 else 1 if len(text) >= 5 else 0
             node = 0
             self.room[0] = max(self.room[0], edits)
             for c in text:
@@ -52,7 +53,8 @@ class LexiconAutomaton:
                     self.room.append(0)
                 node = self.child[node][c]
                 self.room[node] = max(self.room[node], edits)
-            self.term[node] = (i, stem, edits)
+            self.term[node] = (*(self.term[node] or (None, None)), edits)
+            self.term[node] = (self.term[node][0] if stem else i, i if stem else self.term[node][1], edits)
         self.states, self.numbers, self.moves, self.found = [], {}, [], []
         self.start = self._number({0: 0}) if terms else -1
 
@@ -73,9 +75,9 @@ class LexiconAutomaton:
             self.numbers[key] = len(self.states)
             self.states.append(nodes)
             self.moves.append({})
-            ends = [(e, self.term[n][0]) for n, e in nodes.items() if self.term[n] and not self.term[n][1] and e <= self.term[n][2]]
-            stems = [self.term[n][0] for n, e in nodes.items() if self.term[n] and self.term[n][1] and not e]
-            self.found.append((min(ends, default=None), stems[0] if stems else None))
+            near = [(e, *self.term[n][:2]) for n, e in nodes.items() if self.term[n] and e <= self.term[n][2]]
+            ends = [(e, word) for e, word, _ in near if word is not None]
+            self.found.append((min(ends, default=None), sorted((e, stem, self.lengths[stem]) for e, _, stem in near if stem is not None)))
         return self.numbers[key]
 
     def _move(self, state: int, c: str) -> int:
@@ -95,17 +97,19 @@ class LexiconAutomaton:
         state = self.start
         if state < 0:
             return None
-        stem = None
+        best = None
         for c in word:
             to = self.moves[state].get(c)
             state = self._move(state, c) if to is None else to
             if state < 0:
-                return None if stem is None else (0, stem)
-            if stem is None:
-                stem = self.found[state][1]
-        if stem is not None:
-            return 0, stem
-        return self.found[state][0] if word else None
+                return best
+            for e, stem, length in self.found[state][1]:
+                if length <= len(word) and (best is None or e < best[0]):
+                    best = e, stem
+            if best and not best[0]:
+                return best
+        end = self.found[state][0] if word else None
+        return min((x for x in (best, end) if x), default=None)
 
 
 def context_scores(text: str, automaton: LexiconAutomaton, memo: dict) -> list[float]:
@@ -126,8 +130,7 @@ def context_scores(text: str, automaton: LexiconAutomaton, memo: dict) -> list[f
     open_hits = quoted = fuzzy = 0.0
     terms, strong = set(), [0, 0, 0]
     for i, (edits, term) in hits:
-        lo, hi = max(0, i - WINDOW), min(len(words), i + WINDOW + 1)
-        left, right = before[i] - before[lo], before[hi] - before[i + 1]
+        left, right = before[i], before[-1] - before[i + 1]
         if (left % 2 and right) or quotes[i] >= 2:
             quoted += 1
         else:

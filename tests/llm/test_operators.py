@@ -213,6 +213,19 @@ def test_quoted_hits_are_told_apart():
     assert free[0] > 0 and quoted[0] == 0 and quoted[2] > 0
 
 
+def test_stems_allow_edits():
+    automaton = toxicity.LexiconAutomaton([("lowei", True), ("abscheul", True), ("hass", True)])
+    assert [automaton.match(w) for w in ("lowexchen", "lwwei", "loeichen", "abxcheuliche", "bscheuliche", "haxsen", "loxxi")] == [(1, 0), (1, 0), (1, 0), (1, 1), (1, 1), None, None]
+    both = toxicity.LexiconAutomaton([("idiot", False), ("idiot", True)])
+    assert both.match("idiots") == (0, 1) and both.match("idiot")[0] == 0
+
+
+def test_quotation_reaches_over_the_whole_text():
+    far = " ".join(["so"] * 40)
+    got = toxicity.context_scores(f'they wrote "{far} idiot {far}" and left', toxicity.LexiconAutomaton([("idiot", False)]), {})
+    assert got[0] == 0 and got[2] > 0
+
+
 def test_weak_rules_counts_and_verdict(spark, docs, rows):
     got = {r.doc_id: r for r in weak_rules.judged_documents(docs).collect()}
     for i, t in rows:
