@@ -1,16 +1,22 @@
 """Line deduplication: lines whose byte shingles are at least 80 % alike are one line, and one occurrence of it stays.
 
 A line is a part of a text between line feeds; it is compared after lower-casing A-Z and collapsing white space. Lines of min_chars bytes or more take
-part: the queries pass 1, so that every line that is not blank does; by default (MIN_CHARS) shorter ones stay. Equal lines collapse first (128-bit hash),
-at any length. Distinct lines of MIN_CHARS bytes or more link where their SHINGLE-byte shingles are alike; among lines of SHORT_SHINGLE to SHORT_CHARS
-bytes those also link whose SHORT_SHINGLE-byte shingles are, since one letter changes too many of the longer ones there. A line under SHORT_SHINGLE bytes has only equals.
-A line's shingles are hashed once and dealt into bins whose minima are its signature (one permutation, empty bins
-borrow from the next one). SHINGLE: 64 bins, 16 bands of 4 minima (a pair at the threshold is missed with probability 2e-4); SHORT_SHINGLE: 128 bins, 24 bands of 5 minima (7e-5). Bands find candidates, the full shingle
-sets confirm them, and connected components give the groups. Of each group the occurrence with the smallest (doc_id, line number) stays.
+part: the queries pass 1, so that every line that is not blank does; by default (MIN_CHARS) shorter ones stay. Equal lines collapse first (128-bit hash). Distinct lines then link where 80 % of their shingles are common:
+lines of SHORT_SHINGLE to SHORT_CHARS bytes by 4-byte shingles, lines of LONG_CHARS bytes or more by 8-byte ones (those between take part in both,
+so that lines on either side of a limit still meet). Under SHORT_SHINGLE bytes only equal lines are one.
+
+Short lines are signed by SHORT_BANDS x SHORT_ROWS universal hash minima (24 x 5: a pair at the threshold is missed with probability 7e-5). A long
+line's shingles are hashed once and dealt into 64 bins, whose minima are its signature (an empty bin takes the minimum of another bin, chosen by
+hash): 16 bands of 4, 2e-4. Bands find candidates, the full shingle sets confirm them, and connected components give the groups. Of each group
+the occurrence with the smallest (doc_id, line number) stays.
+
+One pass over the texts hashes every line and signs each distinct one; occurrences and band entries then share one shuffle, in which equal bands meet.
 
 Edge cases. Null and empty texts have no lines to remove; blank lines stay. A group's other lines are removed from documents with their line feed; a document may become
-empty and stays as a row. Rows that repeat a doc_id share their line numbers: both keep or lose the same lines. Rows without doc_id neither
-lose lines nor take any from others. An empty table gives an empty result. Texts of any length are used whole; other columns are carried through.
+empty and stays as a row. Rows that repeat a doc_id share their line numbers: both lose the numbers that either has to lose, so that of tied
+occurrences (same doc_id, same number) all stay. Rows without doc_id neither lose lines nor take any from others. An empty table gives an empty
+result. Texts of any length are used whole; other columns are carried through, and own ones called n_lines, n_removed or places become own_<name>.
+Distinct lines are told apart by 128 bits where equal lines are removed and by 64 where links are looked up.
 """
 
 from __future__ import annotations
@@ -18,112 +24,164 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_of, durable, keep_ids, mix, texts_of
-from .linking import connected_components, link, shared_buckets
+from .common import BROADCAST_ROWS, MEMO_WORDS, column_of, durable, keep_ids, mix, texts_of
+from .linking import FLUSH, connected_components, counted, dealt, fine_parts, link, met, rows_of
 
-MIN_CHARS, SHINGLE, PERCENT = 40, 8, 80
-BINS, BANDS = 64, 16
-SHORT_CHARS, SHORT_SHINGLE, SHORT_BINS, SHORT_BANDS = 96, 4, 128, 24
+PERCENT, MIN_CHARS = 80, 40
+LONG_CHARS, SHINGLE, BINS, BANDS = 72, 8, 64, 16
+SHORT_CHARS, SHORT_SHINGLE, SHORT_BANDS, SHORT_ROWS = 96, 4, 24, 5
 #: A line's node for its short shingles is its hash with these bits turned.
 _TURN = 0x5851F42D4C957F2D
-#: Bins of each band.
-_GROUPS = np.arange(BINS).reshape(BANDS, -1)
-_SHORT_GROUPS = np.random.default_rng(1).permutation(SHORT_BINS)[: SHORT_BANDS * 5].reshape(SHORT_BANDS, 5)
 _BASE = 0x9E3779B97F4A7C15
+_NONE = np.iinfo(np.uint64).max
+_rng = np.random.default_rng(20_409)
+#: The bins from which an empty one may borrow, one after the other.
+_BORROW = _rng.integers(0, BINS, (BINS, BINS))
+#: x -> a x + b mod 2**32 with odd a.
+_A = _rng.integers(0, 2**31, SHORT_BANDS * SHORT_ROWS, dtype=np.uint64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _rng.integers(0, 2**32, SHORT_BANDS * SHORT_ROWS, dtype=np.uint64).astype(np.uint32)
 
 
 def normal(line: bytes) -> bytes:
     return b" ".join(line.lower().split())
 
 
-def eligible(text: bytes, min_chars: int = MIN_CHARS) -> list[tuple[int, bytes]]:
-    """(line number, normal form) of the lines that take part."""
+def lines_of(text: bytes, min_chars: int) -> list[tuple[int, bytes]]:
+    """(line number, normal form) of the lines that take part; blank ones never do."""
     low = max(1, min_chars)
-    return [(i, n) for i, line in enumerate(text.split(b"\n")) if len(line) >= low and len(n := normal(line)) >= low]
+    return [(i, n) for i, line in enumerate(text.split(b"\n")) if len(n := normal(line)) >= low]
 
 
-def shingle_hashes(data: bytes, shingle: int = SHINGLE) -> np.ndarray:
-    """Hashes of all `shingle` consecutive bytes: pairs, then pairs of pairs."""
-    h = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
-    step = 1
-    while step < shingle:
-        h = mix(h[:-step] * np.uint64(_BASE) + h[step:])
-        step *= 2
-    return h
+def shingle_hashes(data: bytes, shingle: int) -> np.ndarray:
+    """Hashes of all `shingle` consecutive bytes, 4 or 8: the bytes as one number, mixed one to one."""
+    n = max(len(data) - shingle + 1, 0)
+    windows = np.ndarray((n,), f"<u{shingle}", data, 0, (1,)) if n else np.zeros(0, np.uint64)
+    return mix(windows.astype(np.uint64) * np.uint64(_BASE))
 
 
-def _bands(lines: list[bytes], shingle: int, groups: np.ndarray, bins: int) -> np.ndarray:
-    """A row of band keys for each line; lines are of `shingle` bytes at least."""
-    if not lines:
-        return np.zeros((0, len(groups)), np.uint64)
+def _shingled(lines: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """All shingle hashes and the number of the line that each belongs to; lines are of `shingle` bytes at least."""
     h = shingle_hashes(b"\0".join(lines), shingle)
     lengths = np.array([len(x) for x in lines], np.int64)
     starts = np.cumsum(lengths + 1) - lengths - 1
     own = np.repeat(np.arange(len(lines)), lengths + 1)[: len(h)]
     inside = np.arange(len(h)) - starts[own] <= lengths[own] - shingle
-    h, own = h[inside], own[inside]
-    minima = np.full(len(lines) * bins, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(minima, own * bins + (h >> np.uint64(65 - bins.bit_length())).astype(np.int64), h)
-    minima = minima.reshape(-1, bins)
-    empty = minima == np.iinfo(np.uint64).max
-    for _ in range(bins):
-        if not empty.any():
+    return h[inside], own[inside]
+
+
+def _named(keys: np.ndarray, salt: int) -> np.ndarray:
+    """Each band has keys of its own."""
+    return mix(keys + np.arange(1 + salt, keys.shape[1] + 1 + salt, dtype=np.uint64) * np.uint64(_BASE))
+
+
+def long_bands(lines: list[bytes]) -> np.ndarray:
+    """A row of BANDS keys for each line."""
+    h, own = _shingled(lines, SHINGLE)
+    minima = np.full(len(lines) * BINS, _NONE, np.uint64)
+    np.minimum.at(minima, own * BINS + (h >> np.uint64(65 - BINS.bit_length())).astype(np.int64), h)
+    minima = minima.reshape(-1, BINS)
+    full, filled = minima != _NONE, minima.copy()
+    row, column = np.nonzero(~full)
+    for chosen in _BORROW:
+        if not len(row):
             break
-        borrowed = mix(np.roll(minima, -1, axis=1) + np.uint64(1))
-        take = empty & ~np.roll(empty, -1, axis=1)
-        minima[take] = borrowed[take]
-        empty &= ~take
-    keys = np.zeros((len(lines), len(groups)), np.uint64)
-    for r in range(groups.shape[1]):
-        keys = keys * np.uint64(_BASE) + minima[:, groups[:, r]]
-    return mix(keys + np.arange(1, len(groups) + 1, dtype=np.uint64) * np.uint64(_BASE))
+        source = chosen[column]
+        has = full[row, source]
+        filled[row[has], column[has]] = minima[row[has], source[has]]
+        row, column = row[~has], column[~has]
+    keys = np.zeros((len(lines), BANDS), np.uint64)
+    for r in range(0, BINS, BANDS):
+        keys = keys * np.uint64(_BASE) + filled[:, r : r + BANDS]
+    return _named(keys, 0)
+
+
+def short_bands(lines: list[bytes]) -> np.ndarray:
+    """A row of SHORT_BANDS keys for each line."""
+    h, own = _shingled(lines, SHORT_SHINGLE)
+    x = (h >> np.uint64(32)).astype(np.uint32)
+    starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    keys = np.zeros((len(lines), SHORT_BANDS), np.uint64)
+    for i in range(SHORT_BANDS * SHORT_ROWS):
+        band = i // SHORT_ROWS
+        keys[:, band] = keys[:, band] * np.uint64(_BASE) + np.minimum.reduceat(x * _A[i] + _B[i], starts)
+    return _named(keys, BANDS)
 
 
-def _listed(rows: np.ndarray, has: np.ndarray) -> pa.ListArray:
-    """Lists for all lines, empty where a line has no row."""
-    ends = np.concatenate([[0], np.cumsum(has)]) * rows.shape[1]
-    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(rows.view(np.int64).ravel()))
+def _in_steps(bands, lines: list[bytes], columns: int, step: int = 256) -> np.ndarray:
+    """Few lines at a time, whose minima stay in the processor's cache."""
+    return np.concatenate([np.zeros((0, columns), np.uint64), *(bands(lines[i : i + step]) for i in range(0, len(lines), step))])
 
 
-def _lines(min_chars: int):
+def _signed(parts: int, min_chars: int):
+    """Occurrences of all lines (kind 2) and band entries of the distinct ones, packed by linking.dealt()."""
+
     def run(it):
+        task = TaskContext.get().partitionId()
+        seen, flushes = set(), 0
+        found, keys, nodes, held = [], [], [], 0
+
+        def flush():
+            nonlocal found, keys, nodes, held, flushes
+            flushes += 1
+            if found:
+                wide, place = (np.concatenate(x, axis=-1) for x in zip(*found))
+                # Occurrences only travel along, so any part will do.
+                where = int(mix(np.array([task * 1_000_003 + flushes], np.uint64))[0] % np.uint64(parts))
+                yield rows_of([(where, 2, wide.tobytes() + place.tobytes())])
+            if keys:
+                yield dealt(np.concatenate(keys), np.concatenate(nodes), parts)
+            found, keys, nodes, held = [], [], [], 0
+
         for big in it:
             for at in range(0, big.num_rows, 256):
                 batch = big.slice(at, 256)
-                ids, docs, places, lines = column_of(batch, "doc_id").to_pylist(), [], [], []
-                for i, text in zip(ids, texts_of(batch)):
+                docs, places, lines = [], [], []
+                for i, text in zip(column_of(batch, "doc_id").to_pylist(), texts_of(batch)):
                     if i is not None:
-                        for n, line in eligible(text, min_chars):
+                        for n, line in lines_of(text, min_chars):
                             docs.append(i)
                             places.append(n)
                             lines.append(line)
-                full = [xxhash.xxh3_128_digest(x) for x in lines]
-                both = np.frombuffer(b"".join(full), np.int64).reshape(-1, 2)
-                lengths = np.array([len(x) for x in lines], np.int64)
-                wide, short = lengths >= MIN_CHARS, (lengths >= SHORT_SHINGLE) & (lengths <= SHORT_CHARS)
-                bands = _bands([x for x, w in zip(lines, wide) if w], SHINGLE, _GROUPS, BINS)
-                short_bands = _bands([x for x, w in zip(lines, short) if w], SHORT_SHINGLE, _SHORT_GROUPS, SHORT_BINS)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(docs, pa.int64()), pa.array(places, pa.int32()), _listed(bands, wide), _listed(short_bands, short)],
-                    names=["h1", "h2", "doc_id", "place", "bands", "short_bands"],
-                )
+                if not lines:
+                    continue
+                both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) for x in lines]), np.int64).reshape(-1, 2)
+                found.append((np.stack([both[:, 0], both[:, 1], np.array(docs, np.int64)]), np.array(places, np.int32)))
+                names, fresh = both[:, 0].tolist(), []
+                for i, x in enumerate(names):
+                    if x not in seen:
+                        seen.add(x)
+                        fresh.append(i)
+                if len(seen) > MEMO_WORDS:
+                    seen.clear()
+                for bands, columns, low, high, turn in ((long_bands, BANDS, LONG_CHARS, None, 0), (short_bands, SHORT_BANDS, SHORT_SHINGLE, SHORT_CHARS, _TURN)):
+                    own = [i for i in fresh if low <= len(lines[i]) and (high is None or len(lines[i]) <= high)]
+                    if own:
+                        keys.append(_in_steps(bands, [lines[i] for i in own], columns).ravel())
+                        nodes.append(np.repeat(both[own, 0] ^ np.int64(turn), columns))
+                        held += len(keys[-1])
+                if held > FLUSH:
+                    yield from flush()
+        yield from flush()
 
     return run
 
 
 def _wanted(it):
-    """The lines of a document at the places asked for; a payload starts with the length of its shingles."""
+    """The lines of a document at the places asked for; a payload starts with the length of its shingles. Rows that repeat a doc_id with another text hold other lines there: these are left out."""
     for batch in it:
         nodes, shorts, payloads = [], [], []
         for text, wanted in zip(texts_of(batch), column_of(batch, "wanted").to_pylist()):
             parts = text.split(b"\n")
             for w in wanted:
-                nodes.append(w["node"])
-                shorts.append(w["short"])
-                payloads.append(bytes([SHORT_SHINGLE if w["short"] else SHINGLE]) + normal(parts[w["place"]]))
+                line = normal(parts[w["place"]]) if w["place"] < len(parts) else b""
+                if int.from_bytes(xxhash.xxh3_128_digest(line)[:8], "little", signed=True) == w["h1"]:
+                    nodes.append(w["node"])
+                    shorts.append(w["node"] != w["h1"])
+                    payloads.append(bytes([SHORT_SHINGLE if shorts[-1] else SHINGLE]) + line)
         sizes = pa.array([len(_shingles(x)) for x in payloads], pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(shorts, pa.bool_()), sizes, pa.array(payloads, pa.binary())], names=["node", "short", "n", "payload"])
 
@@ -136,37 +194,44 @@ def _turned(column: str) -> "F.Column":
     return F.col(column).bitwiseXOR(F.lit(_TURN))
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, places): for documents with repeated lines, the numbers of the lines that go."""
-    docs = docs.select("doc_id", "text")
-    lines = durable(docs.mapInArrow(_lines(min_chars), "h1 long, h2 long, doc_id long, place int, bands array<long>, short_bands array<long>"), "lines")
-    # h1 names a distinct line; the other 64 bits tell apart lines that meet in it.
-    classes = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.min_by("place", "doc_id").alias("place"), F.first("bands").alias("bands"), F.first("short_bands").alias("short_bands"))
-    classes = durable(classes.withColumnRenamed("h1", "node"), "line-classes")
-    # The two kinds of shingles have nodes of their own, which never share a bucket.
-    pairs, members = shared_buckets(classes.select("node", "bands").union(classes.select(_turned("node"), "short_bands")), "lines")
-
-    # The text of every candidate line, found once; its shingles are hashed where it is compared.
-    nodes = members.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
-    short = classes.where(F.size("short_bands") > 0).select(_turned("node").alias("node"), "doc_id", "place", F.lit(True).alias("short"))
-    places = classes.where(F.size("bands") > 0).select("node", "doc_id", "place", F.lit(False).alias("short")).union(short)
-    wanted = places.join(nodes, "node").groupBy("doc_id").agg(F.collect_list(F.struct("node", "place", "short")).alias("wanted"))
+def _small(df: DataFrame, limit: int = BROADCAST_ROWS // 4) -> DataFrame:
+    """df, a written table, broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
+def line_components(docs: DataFrame, lines: DataFrame, entries: DataFrame) -> DataFrame:
+    """(h1, component) for the distinct lines that have links to others."""
+    pairs, members = counted(entries, "lines")
+    nodes = durable(members.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct(), "line-nodes")
+    # The text of every candidate line, found once; its shingles are hashed where it is compared. A node is h1 or, for short shingles, h1 turned.
+    both = nodes.select("node", F.explode(F.array("node", _turned("node"))).alias("h1"))
+    places = lines.join(_small(durable(both, "line-names")), "h1").groupBy("node", "h1").agg(F.min(F.struct("doc_id", "place")).alias("at"))
+    wanted = places.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("node", "h1", "at.place")).alias("wanted"))
     wanted = durable(wanted, "wanted")
-    found = keep_ids(docs, wanted.select("doc_id"), "doc_id", wanted.count()).join(wanted, "doc_id").select("text", "wanted")
+    n = wanted.count()
+    held = keep_ids(docs, wanted.select("doc_id"), "doc_id", n)
+    found = held.join(F.broadcast(wanted) if n <= BROADCAST_ROWS // 20 else wanted, "doc_id").select("text", "wanted")
     found = durable(found.mapInArrow(_wanted, "node long, short boolean, n long, payload binary").dropDuplicates(["node"]), "wanted-lines")
     comps = link(pairs, members, found.select("node", "n", "payload"), PERCENT, _shingles, "lines")
     # A line's two nodes are one.
     twins = comps.join(found.where("short").select("node"), "node", "left_semi").select("node", _turned("node"))
-    comps = connected_components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(twins))
-    named = lines.select("h1", "h2", "doc_id", "place").join(comps.withColumnRenamed("node", "h1"), "h1", "left")
+    return connected_components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(twins)).withColumnRenamed("node", "h1")
+
+
+def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc_id, places): for documents with repeated lines, the numbers of the lines that go."""
+    docs = docs.select("doc_id", "text")
+    sent = docs.mapInArrow(_signed(fine_parts(docs.sparkSession), min_chars), "part int, kind int, blob binary")
+    both = durable(met(sent), "lines")
+    lines = both.where("kind = 2").select(F.col("a").alias("h1"), F.col("b").alias("h2"), F.col("c").alias("doc_id"), F.col("d").alias("place"))
+    comps = line_components(docs, lines, both.where("kind = 0").select(F.col("a").alias("key"), F.col("b").alias("node")))
     # A line without links is its own group, under both halves of its hash.
+    named = lines.join(_small(durable(comps, "line-groups")), "h1", "left")
     named = named.select("doc_id", "place", F.coalesce("component", "h1").alias("g1"), F.when(F.col("component").isNull(), F.col("h2")).otherwise(F.lit(0)).alias("g2"))
-    named = durable(named, "named-lines")
-    # One occurrence of a group in each document can stay: the others of that document go in any case.
-    inside = named.groupBy("g1", "g2", "doc_id").agg(F.min("place").alias("place"))
-    first = inside.groupBy("g1", "g2").agg(F.min("doc_id").alias("doc_id"), F.min_by("place", "doc_id").alias("place")).select("doc_id", "place")
-    gone = named.select("doc_id", "place").distinct().join(first, ["doc_id", "place"], "left_anti")
-    return gone.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    groups = named.groupBy("g1", "g2").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    groups = durable(groups.select("g1", "g2", F.col("first.doc_id").alias("first_doc"), F.col("first.place").alias("first_place")), "repeated-lines")
+    gone = named.join(_small(groups), ["g1", "g2"]).where("doc_id <> first_doc or place <> first_place")
+    return gone.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
 
 
 def _without(it):

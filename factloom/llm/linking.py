@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, column_of, durable, gathered, parts_for
+from .common import BROADCAST_ROWS, column_of, durable, gathered, mix, parts_for
 
 #: Buckets up to this many members compare all pairs of different components in one round.
 SMALL_BUCKET = 48
@@ -54,18 +54,138 @@ def connected_components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def shared_buckets(signatures: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
-    """signatures (node, bands array<bigint>) to the pairs of two-member buckets (a, b), and the members (key, node, w, n) of larger ones; w is how many members a node's buckets hold, n how many the bucket holds."""
-    rows = signatures.select("node", F.explode("bands").alias("key"))
-    multi = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b"))
-    multi = durable(multi.where("n > 1"), f"{label}-buckets")
-    keys = multi.where("n > 2").select("key", "n")
-    if keys.count() <= BROADCAST_ROWS:
+#: Entries (key, node) that a map task holds before it deals them out.
+FLUSH = 1 << 21
+#: A key with more nodes than this in one flush sends only two of them to meet the others: it is known to be shared.
+KNOWN = 8
+#: Fine parts of a shuffle partition; a task works on one at a time.
+FINE = 4
+_DEALT = "part int, kind int, blob binary"
+_MET = "kind int, a long, b long, c long, d int"
+
+
+def fine_parts(spark) -> int:
+    return FINE * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Keys of 64 mixed bits to 0 .. parts - 1, in the order of the keys."""
+    return (((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+
+
+def dealt(keys: np.ndarray, nodes: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Entries (key, node) packed by parts of the key space, as rows (part, kind, blob).
+
+    Kind 0 are keys and nodes that have to meet those of other tasks. Kind 1 are entries of keys that many nodes here share: all but two of
+    these nodes are members whatever the other tasks hold, so they are dealt evenly, and a key that a third of all rows have never fills one part.
+    """
+    order = np.lexsort((nodes, keys))
+    keys, nodes = keys[order], nodes[order]
+    fresh = np.append(True, (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1]))[: len(keys)]
+    keys, nodes = keys[fresh], nodes[fresh]
+    begins = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    sizes = np.diff(np.append(begins, len(keys)))
+    place = np.arange(len(keys)) - np.repeat(begins, sizes)
+    known = (np.repeat(sizes, sizes) > KNOWN) & (place > 1)
+    rows = []
+    for kind, (k, n) in enumerate(((keys[~known], nodes[~known]), (keys[known], nodes[known]))):
+        if kind:
+            where = _part_of(mix(n.view(np.uint64)), parts)
+            order = np.argsort(where, kind="stable")
+            k, n, where = k[order], n[order], where[order]
+        else:
+            where = _part_of(k, parts)
+        cuts = np.flatnonzero(np.append(True, where[1:] != where[:-1])[: len(where)])
+        for x, y in zip(cuts, np.append(cuts[1:], len(where))):
+            rows.append((int(where[x]), kind, k[x:y].tobytes() + n[x:y].tobytes()))
+    return rows_of(rows)
+
+
+def rows_of(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    part, kind, blob = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], names=["part", "kind", "blob"])
+
+
+def _deal_bands(parts: int):
+    def run(it):
+        keys, nodes, held = [], [], 0
+        for batch in it:
+            bands = column_of(batch, "bands")
+            sizes = np.diff(bands.offsets.to_numpy())
+            keys.append(bands.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+            nodes.append(np.repeat(column_of(batch, "node").to_numpy(zero_copy_only=False).astype(np.int64), sizes))
+            held += len(keys[-1])
+            if held > FLUSH:
+                yield dealt(np.concatenate(keys), np.concatenate(nodes), parts)
+                keys, nodes, held = [], [], 0
+        if held:
+            yield dealt(np.concatenate(keys), np.concatenate(nodes), parts)
+
+    return run
+
+
+def _meet(it):
+    """Rows sorted by part to (kind 0: key a, node b) for the members of buckets that two nodes or more share, and to whatever else was sent along unaltered (kind 2: a, b, c, d)."""
+
+    def out(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
+        n = len(columns[0])
+        full = [*columns, *[np.zeros(n, np.int64)] * (3 - len(columns)), np.zeros(n, np.int32)][:4] if len(columns) < 4 else list(columns)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *map(pa.array, full)], names=["kind", "a", "b", "c", "d"])
+
+    def shared(blobs: list[bytes]) -> pa.RecordBatch:
+        halves = [np.frombuffer(x, np.int64).reshape(2, -1) for x in blobs]
+        keys, nodes = (np.concatenate([h[i] for h in halves]) for i in (0, 1))
+        order = np.argsort(keys, kind="stable")
+        keys, nodes = keys[order], nodes[order]
+        begins = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+        sizes = np.diff(np.append(begins, len(keys)))
+        multi = np.minimum.reduceat(nodes, begins) != np.maximum.reduceat(nodes, begins)
+        kept = np.repeat(multi, sizes)
+        return out(0, keys[kept], nodes[kept])
+
+    now, blobs = None, []
+    for batch in it:
+        for part, kind, blob in zip(*(column_of(batch, c).to_pylist() for c in ("part", "kind", "blob"))):
+            if part != now:
+                if blobs:
+                    yield shared(blobs)
+                now, blobs = part, []
+            if kind == 0:
+                blobs.append(blob)
+            elif kind == 1:
+                yield out(0, *np.frombuffer(blob, np.int64).reshape(2, -1))
+            else:
+                n = len(blob) // 28
+                wide = np.frombuffer(blob, np.int64, 3 * n).reshape(3, -1)
+                yield out(2, *wide, np.frombuffer(blob, np.int32, n, 24 * n))
+    if blobs:
+        yield shared(blobs)
+
+
+def met(sent: DataFrame) -> DataFrame:
+    """The rows (part, kind, blob) of all tasks brought together, part by part; to be made durable by the caller."""
+    n = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sent.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_meet, _MET)
+
+
+def counted(entries: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+    """Entries (key, node) of shared buckets to the pairs of two-member buckets (a, b), and the members (key, node, w, n) of larger ones; w is how many members a node's buckets hold, n how many the bucket holds."""
+    rows = durable(entries.distinct(), f"{label}-entries")
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).where("n > 1")
+    sizes = durable(sizes, f"{label}-buckets")
+    keys = sizes.where("n > 2").select("key", "n")
+    if keys.count() <= BROADCAST_ROWS // 4:
         keys = F.broadcast(keys)
     members = durable(rows.join(keys, "key"), f"{label}-members")
     weights = members.groupBy("node").agg(F.sum("n").alias("w"))
     members = durable(members.join(weights, "node").select("key", "node", "w", "n"), f"{label}-members")
-    return multi.where("n = 2 and a <> b").select("a", "b").distinct(), members
+    return sizes.where("n = 2").select("a", "b").distinct(), members
+
+
+def shared_buckets(signatures: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+    """signatures (node, bands array<bigint>) to the pairs and members of counted()."""
+    sent = signatures.select("node", "bands").mapInArrow(_deal_bands(fine_parts(signatures.sparkSession)), _DEALT)
+    return counted(met(sent).select(F.col("a").alias("key"), F.col("b").alias("node")), label)
 
 
 def overlaps(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> np.ndarray:

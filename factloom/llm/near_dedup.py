@@ -1,9 +1,11 @@
 """MinHash near-duplicate documents: many universal hash minima, banding, exact confirmation, star components.
 
+A class is all rows with one shingle set (128 bits); classes have numbers of their own, so that a doc_id is never mistaken for a text.
+
 Edge cases. Null, empty and blank texts have an empty set, link with nothing and are their own component; a text of one word has that word
-as its only shingle. Rows that repeat a doc_id are judged by their own text and share no state; a null doc_id never becomes a
-representative's smaller id (it sorts last), such a row keeps component_id null unless it copies another row. Long texts are used whole.
-An empty table gives an empty result. Columns other than doc_id and text are ignored, whatever their names.
+as its only shingle. Rows that repeat a doc_id are each judged by their own text: a row's component_id is the smallest doc_id among the rows whose texts are
+linked with its text, and rows of one doc_id with different texts may have different ones. Rows without doc_id take no part in any group: component_id is
+null and they are kept. Long texts are used whole. An empty table gives an empty result. Columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -87,7 +89,7 @@ def _sets(words: int):
                 sums = np.array([_sums(s) for s in sets], np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
                     [column_of(batch, "doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0].copy()), pa.array(sums[:, 1].copy()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    names=["node", "n", "f1", "f2", "payload"],
+                    names=["doc_id", "n", "f1", "f2", "payload"],
                 )
 
     return run
@@ -105,19 +107,24 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, percent: int = 80) ->
     """
     docs = docs.select("doc_id", "text")
     signed = durable(docs.mapInArrow(_signatures(words), _SIGNED), "signatures")
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    classes = durable(classes, "classes")
+    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    classes = durable(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     pairs, members = shared_buckets(classes, "near")
     # The full sets of all candidates, made once from their texts.
-    ids = durable(members.select(F.col("node").alias("doc_id")).union(pairs.select("a")).union(pairs.select("b")).distinct(), "ids")
-    sets = keep_ids(docs, ids, "doc_id", ids.count()).mapInArrow(_sets(words), "node long, n long, f1 long, f2 long, payload binary")
-    sets = durable(sets.where("n > 0").dropDuplicates(["node", "f1", "f2"]).select("node", "n", "payload"), "sets")
+    nodes = members.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    wanted = durable(classes.select("node", "doc_id", "f1", "f2").join(nodes, "node", "left_semi"), "wanted-sets")
+    sets = keep_ids(docs, wanted.select("doc_id").distinct(), "doc_id", wanted.count()).mapInArrow(_sets(words), "doc_id long, n long, f1 long, f2 long, payload binary")
+    sets = durable(sets.join(wanted, ["doc_id", "f1", "f2"]).select("node", "n", "payload").dropDuplicates(["node"]), "sets")
     comps = link(pairs, members, sets, percent, _members, "near")
-    named = classes.join(comps, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component"))
-    out = signed.join(named, ["f1", "f2"], "left")
+    named = classes.join(comps, "node", "left").select("f1", "f2", "doc_id", F.coalesce("component", "node").alias("component"))
+    named = durable(named, "near-named")
+    # A component is known by the smallest doc_id in it. Most classes are components of their own and need no grouping.
+    least = named.join(comps.select("component").distinct(), "component", "left_semi").groupBy("component").agg(F.min("doc_id").alias("least"))
+    named = named.join(least, "component", "left").select("f1", "f2", F.coalesce("least", "doc_id").alias("component_id"))
+    out = signed.drop("bands").join(named, ["f1", "f2"], "left")
     # An empty set has no class: such a row is alone.
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
