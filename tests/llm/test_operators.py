@@ -260,6 +260,114 @@ def test_lm_base_and_probability(docs, rows, empty):
     assert lm_mixing.lm_scores(empty).count() == 0
 
 
-def test_huffman_codes_fill_the_tree():
-    codes = lm_mixing.huffman([5, 1, 1, 9, 3])
-    assert sum(2.0 ** -len(c) for c in codes) == 1 and len({tuple(b for _, b in c) for c in codes}) == 5
+def plain_model(texts, train, i):
+    """Counts of sequences elsewhere and before, by dictionaries; then the decisions of each token as (kind, context total, known or not, share)."""
+    from collections import Counter
+
+    start = b""
+    tokens = [lm_mixing.lm_tokens(t) for t in texts]
+    padded = lambda w, n: [tuple(([start] * (n - 1) + w)[k : k + n]) for k in range(len(w))]
+    counts = {n: Counter(g for j, w in enumerate(tokens) if train[j] and j != i for g in padded(w, n)) for n in (1, 2, 3)}
+    documents = sum(t for j, t in enumerate(train) if j != i)
+    contexts = {n: Counter() for n in (2, 3)}
+    for n in (2, 3):
+        for g, c in counts[n].items():
+            contexts[n][g[:-1]] += c
+    total, out = sum(counts[1].values()), []
+    assert contexts[2][(start,)] == documents
+    for k in range(len(tokens[i])):
+        steps = []
+        for n in (3, 2, 1):
+            g = padded(tokens[i], n)[k]
+            seen = contexts[n][g[:-1]] if n > 1 else total
+            if seen:
+                steps.append((n, seen, counts[n][g] > 0, counts[n][g] / seen))
+                if counts[n][g]:
+                    break
+        out.append(steps)
+        for n in (1, 2, 3):
+            g = padded(tokens[i], n)[k]
+            counts[n][g] += 1
+            if n > 1:
+                contexts[n][g[:-1]] += 1
+        total += 1
+    return out
+
+
+def plain_mixing(bits):
+    """The mixer bit by bit: bits are (inputs, gate, bit) of one stretch."""
+    import math
+
+    weights = {g: [float(w) for w in lm_mixing.WEIGHTS[g]] for g in range(lm_mixing.GATES)}
+    cells, out = {}, 0.0
+    for x, g, y in bits:
+        dot = sum(a * b for a, b in zip(x, weights[g]))
+        p = 1 / (1 + math.exp(-dot))
+        weights[g] = [w + lm_mixing.RATE * (y - p) * v for w, v in zip(weights[g], x)]
+        cell = min(max(int((dot + 8) * lm_mixing.BUCKETS / 16), 0), lm_mixing.BUCKETS - 1)
+        r = cells.setdefault((g, cell), 1 / (1 + math.exp(-((cell + 0.5) / lm_mixing.BUCKETS * 16 - 8))))
+        cells[g, cell] += lm_mixing.MAP_RATE * (y - r)
+        q = 0.75 * p + 0.25 * r
+        out += math.log10(q if y else 1 - q)
+    return out
+
+
+def test_lm_mixing_equals_a_mixer_that_goes_bit_by_bit():
+    rng = np.random.default_rng(8)
+    lanes, parent = np.array([40, 7, 1, 90, 30]), np.array([-1, -1, -1, -1, 3])
+    n = lanes.sum()
+    x, bit, gate = rng.normal(size=(n, 4)).astype(np.float32), rng.integers(0, 2, n).astype(np.uint8), rng.integers(0, 5, n)
+    got = np.add.reduceat(lm_mixing.mixed(x, bit, gate, lanes, parent), np.cumsum(lanes) - lanes)
+    one = lambda a, b: plain_mixing(list(zip(x[a:b].tolist(), gate[a:b].tolist(), bit[a:b].tolist())))
+    want = [one(0, 40), one(40, 47), one(47, 48), one(48, 138)]
+    assert np.allclose(got[:4], want, rtol=1e-4) and np.isclose(got[4], one(48, 168) - one(48, 138), rtol=1e-3)
+
+
+def test_lm_counts_equal_plain_ones(rows):
+    """Every token's context totals and shares, taken back out of the operator, are those of a plain count elsewhere and before."""
+    from factloom.llm.common import WordHashes
+
+    texts = [(t or "").encode() for _, t in rows][:40]
+    train = [zlib.crc32(str(i).encode()) % 5 != 1 for i, _ in rows][:40]
+    block = lm_mixing.Block(texts, WordHashes())
+    mask, counts = np.array(train)[block.own], []
+    for h in block.hashes:
+        before, own = lm_mixing._own_counts(h, block.own)
+        _, where = np.unique(h, return_inverse=True)
+        counts.append(np.bincount(where, mask).astype(np.int64)[where] - np.where(mask, own, 0) + before)
+    ends = np.cumsum(block.sizes)
+    for i in (0, 1, 5, 11, 30):
+        plain = plain_model(texts, train, i)
+        for k, steps in enumerate(plain):
+            at = ends[i] - block.sizes[i] + k
+            for n, seen, known, share in steps:
+                assert (counts[n - 1][at] > 0) == known
+                if n > 1 and k:
+                    assert counts[n - 2][at - 1] == seen
+                assert counts[n - 1][at] / seen == share
+
+
+def test_lm_probabilities_of_all_next_tokens_sum_to_one_at_most():
+    """One document, each possible last word in turn (known ones, and unknown ones of one letter or none)."""
+    from factloom.llm.common import WordHashes
+
+    head, vocabulary = "a b a c a b a d b a", [b"a", b"b", b"c", b"d"]
+    spell = np.random.default_rng(1).normal(size=lm_mixing.SPELL_SLOTS).astype(np.float32)
+    total = 0.0
+    for w in [*vocabulary, *(bytes([c]) for c in range(256) if bytes([c]).split() and bytes([c]).lower() == bytes([c]) and bytes([c]) not in vocabulary)]:
+        text = head.encode() + b" " + w
+        block = lm_mixing.Block([text], WordHashes())
+        counts = [lm_mixing._own_counts(h, block.own)[0] for h in block.hashes]
+        logs = lm_mixing._scored_tokens(block, counts, np.zeros(len(block.own), np.int64), block.place.copy(), spell)
+        total += 10 ** logs[-2]
+    assert 0 < total <= 1
+
+
+def test_lm_scores_tell_copies_apart(spark, rows):
+    docs = spark.createDataFrame([*rows, (2000, rows[7][1]), (2001, "z" * 200_000 + " again" * 60_000)], "doc_id long, text string")
+    one = {r.doc_id: r.score for r in lm_mixing.lm_scores(docs.coalesce(1)).collect()}
+    many = {r.doc_id: r.score for r in lm_mixing.lm_scores(docs.repartition(7)).collect()}
+    # Counts are those of all blocks; only the spelling of unknown words is gathered block by block.
+    assert one.keys() == many.keys() and all(abs(one[k] - many[k]) <= 0.1 * abs(one[k]) for k in one), max((abs(one[k] - many[k]) / abs(one[k]), k) for k in one)
+    alone = {r.doc_id: r.score for r in lm_mixing.lm_scores(docs.where("doc_id <> 2000")).collect()}
+    assert one[7] > alone[7] * 0.6 > 2 * alone[7]
