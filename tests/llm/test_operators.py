@@ -371,3 +371,13 @@ def test_lm_scores_tell_copies_apart(spark, rows):
     assert one.keys() == many.keys() and all(abs(one[k] - many[k]) <= 0.1 * abs(one[k]) for k in one), max((abs(one[k] - many[k]) / abs(one[k]), k) for k in one)
     alone = {r.doc_id: r.score for r in lm_mixing.lm_scores(docs.where("doc_id <> 2000")).collect()}
     assert one[7] > alone[7] * 0.6 > 2 * alone[7]
+
+
+def test_lm_packing_keeps_counts_and_keys():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 7, 8, 9, 1000):
+        counts = rng.choice([0, 1, 1, 2, 5, 254, 255, 256, 10**12], n).astype(np.int64)
+        keys = rng.integers(0, 2**63, n).astype(np.uint64)
+        for order in (1, 2, 3):
+            got, c = lm_mixing._unpacked(order, lm_mixing._packed(order, keys, counts))
+            assert c.tolist() == counts.tolist() and got.tolist() == (keys if order == 1 else keys & np.uint64(2**40 - 1)).tolist()
