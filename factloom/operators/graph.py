@@ -1,4 +1,7 @@
-"""Graph operators over edge tables (src, dst): each round is a join of the frontier with the edges, written durably."""
+"""Graph operators over edge tables (src, dst): each round is a join of the frontier with the edges, written durably.
+
+What was visited is kept as one table that is rewritten every few rounds, so that no round reads a long union.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,9 @@ from pyspark.sql import functions as F
 
 from factloom.tables import durable
 
+#: Rounds after which the visited table is written as one.
+COMPACT = 6
+
 
 def distinct_edges(edges: DataFrame) -> DataFrame:
     """Edges without self-loops, each once."""
@@ -17,17 +23,20 @@ def reverse_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def reach_levels(edges: DataFrame, seeds: DataFrame, max_depth: int, first_level: int = 0) -> DataFrame:
-    """(node, level): the least number of steps from a seed, up to max_depth steps. Seeds have first_level."""
+def reach_levels(edges: DataFrame, seeds: DataFrame, max_depth: int | None, first_level: int = 0) -> DataFrame:
+    """(node, level): the least number of steps from a seed, up to max_depth steps (None: all). Seeds have first_level."""
     edges = durable(distinct_edges(edges), "edges")
     frontier = durable(seeds.select("node").where("node is not null").distinct().withColumn("level", F.lit(first_level)), "frontier")
-    visited = frontier
-    for step in range(1, max_depth + 1):
+    visited, step = frontier, 0
+    while max_depth is None or step < max_depth:
+        step += 1
         found = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         frontier = durable(found.join(visited, "node", "left_anti").withColumn("level", F.lit(first_level + step)), "frontier")
         if frontier.isEmpty():
             break
         visited = visited.union(frontier)
+        if step % COMPACT == 0:
+            visited = durable(visited, "visited")
     return visited
 
 
@@ -38,8 +47,36 @@ def levels_max(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     return expanded.join(distinct_edges(edges), F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg((F.max("level") + 1).alias("level"))
 
 
+def shortest_ways(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(node, level, steps): one shortest way from any seed to every node reached; of several the one with the smallest predecessor."""
+    one = seeds.select(F.lit("").alias("source"), "node")
+    return _ways(edges, one, max_depth).drop("source")
+
+
+def shortest_ways_by_source(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(source, node, level, steps): shortest_ways() from each seed on its own."""
+    return _ways(edges, seeds.select(F.col("node").cast("string").alias("source"), "node"), max_depth)
+
+
+def _ways(edges: DataFrame, seeds: DataFrame, max_depth: int | None) -> DataFrame:
+    edges = durable(distinct_edges(edges), "edges")
+    frontier = durable(seeds.distinct().select("source", "node", F.lit(0).alias("level"), F.array(F.col("node").cast("string")).alias("steps")), "ways")
+    visited, step = frontier, 0
+    while max_depth is None or step < max_depth:
+        step += 1
+        found = frontier.join(edges, F.col("node") == F.col("src")).join(visited.select("source", F.col("node").alias("dst")), ["source", "dst"], "left_anti")
+        found = found.groupBy("source", F.col("dst").alias("node")).agg(F.min_by("steps", "src").alias("steps"))
+        frontier = durable(found.select("source", "node", F.lit(step).alias("level"), F.concat("steps", F.array(F.col("node").cast("string"))).alias("steps")), "ways")
+        if frontier.isEmpty():
+            break
+        visited = visited.union(frontier)
+        if step % COMPACT == 0:
+            visited = durable(visited, "visited")
+    return visited
+
+
 def simple_paths(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
-    """(node, level, path): every cycle-free path of at most max_depth steps from a seed, joined with arrows."""
+    """(node, level, path): every cycle-free path of at most max_depth steps from a seed, joined with arrows. Their number grows with the degree to the power of the depth: for few steps; shortest_ways() gives one each."""
     edges = durable(distinct_edges(edges), "edges")
     frontier = seeds.select("node", F.array(F.col("node").cast("string")).alias("steps"))
     every = None
@@ -65,6 +102,8 @@ def spread(edges: DataFrame, seeds: DataFrame, keys: list[str], rounds: int | No
         if frontier.isEmpty():
             break
         seen = seen.union(frontier)
+        if k % COMPACT == 0:
+            seen = durable(seen, "seen")
     return seen
 
 
@@ -78,4 +117,6 @@ def follow_origin(origins: DataFrame, inherits: DataFrame, rounds: int) -> DataF
         if frontier.isEmpty():
             break
         found = found.union(frontier)
+        if hop % COMPACT == 0:
+            found = durable(found, "origins")
     return found

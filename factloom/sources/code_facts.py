@@ -1,33 +1,58 @@
-"""Facts of TypeScript and JavaScript files as tables, found by Spark's own regular expressions.
+"""Facts of TypeScript and JavaScript files as tables.
 
-Declarations that stand on their own lines are recognised; there is no syntax tree and no type checker (see the README). Every function takes
-files (path, content) and returns one row per fact; source lines are 1-based.
+A file's nodes (see outline.py) are read once, one file at a time inside Spark tasks; all facts are selections of them, or of Spark's own regular
+expressions over the text without comments. Resolution and everything else is joins. Source lines and columns are 1-based.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.scalars import any_suffix, base_name, extension, format_size, glob_regex, package_name
+from factloom.functions.scalars import any_suffix, base_name, default_export_name, extension, file_kind, folder_of, format_size, glob_regex, package_name
+from factloom.sources import outline
 
-#: Folders and files that are not scanned, and what an import may leave out, in the order tried.
-IGNORED = ["**/node_modules/**", "**/dist/**", "**/build/**", "**/.git/**"]
+#: Globs that the scanner and the parser leave out, code and other suffixes, and what an import may leave out, in the order tried.
+SCAN_IGNORED = ["node_modules/**/*", ".git/**/*", "**/__test__/**", "**/*.test.{ts,tsx,js,jsx}"]
+PARSE_IGNORED = ["**/node_modules/**", "**/dist/**", "**/build/**", "**/test/**", "**/public/**", "**/static/**"]
 CODE = [".ts", ".tsx", ".js", ".jsx"]
 LEFT_OUT = ["", ".ts", ".tsx", ".d.ts", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.d.ts", "/index.js", "/index.jsx"]
 CSS, MARKDOWN = [".css", ".less", ".scss", ".sass"], [".md", ".mdx"]
+DECLARATIONS = ["function", "class", "interface", "type", "enum", "variable"]
+_NODE = "path string, id int, parent int, depth int, kind string, name string, pos int, end int, start_line int, end_line int, start_column int, exported boolean, text string, more map<string,string>"
 
 
-def scan(spark, root: str, ignored: list[str] = IGNORED) -> DataFrame:
-    """(path, file_name, ext, size_bytes, size_text, content) of the files below root; path is relative."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    path = F.regexp_replace("path", r"^file:/*", "/")
-    rel = F.substring(path, F.lit(len(root.rstrip("/")) + 2), F.length(path))
-    files = raw.select(rel.alias("path"), F.col("length").alias("size_bytes"), F.col("content").cast("string").alias("content"))
+def scan(spark, root: str, ignored: list[str] = SCAN_IGNORED) -> DataFrame:
+    """(path, file_name, ext, file_type, size_bytes, size_text, content) of the files below root; path is relative.
+
+    Paths alone are listed first, without reading any file; then only the folders that hold files to keep are read.
+    """
+    root = root.rstrip("/")
+
+    def relative(df: DataFrame) -> DataFrame:
+        # The part of the full path behind the root, whatever scheme the reader puts in front.
+        tail = root.split("://", 1)[-1].lstrip("/")
+        return df.withColumn("full", F.col("path")).withColumn("path", F.expr(f"substring(path, locate('{tail}/', path) + {len(tail) + 1})"))
+
+    keep = F.lit(True)
+    for g in ignored:
+        keep = keep & ~F.col("path").rlike(glob_regex(g) if g.startswith("**/") else glob_regex("**/" + g))
+    listed = relative(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")).where(keep)
+    folders = [r.folder for r in listed.select(folder_of(F.col("full")).alias("folder")).distinct().toLocalIterator()]
+    if not folders:
+        folders = [root]
+    raw = relative(spark.read.format("binaryFile").load(folders)).where(keep)
+    files = raw.select("path", F.col("length").alias("size_bytes"), F.col("content").cast("string").alias("content"))
+    return files.select("path", base_name(F.col("path")).alias("file_name"), extension(F.col("path")).alias("ext"), file_kind(F.col("path")).alias("file_type"), "size_bytes", format_size(F.col("size_bytes")).alias("size_text"), "content")
+
+
+def parsed_files(files: DataFrame, ignored: list[str] = PARSE_IGNORED) -> DataFrame:
+    """files without those that a project parse leaves out."""
     keep = F.lit(True)
     for g in ignored:
         keep = keep & ~F.col("path").rlike(glob_regex(g))
-    return files.where(keep).select("path", base_name(F.col("path")).alias("file_name"), extension(F.col("path")).alias("ext"), "size_bytes", format_size(F.col("size_bytes")).alias("size_text"), "content")
+    return files.where(keep)
 
 
 def code_files(files: DataFrame) -> DataFrame:
@@ -39,6 +64,31 @@ def listed(files: DataFrame, suffixes: list[str]) -> DataFrame:
     return files.where(any_suffix(F.col("path"), suffixes)).select("path")
 
 
+def nodes(files: DataFrame) -> DataFrame:
+    """One row per node of every file: kind, name, extent, the id of the declaration around it (parent, -1 at the top), and what is particular to its kind (more)."""
+
+    def run(it):
+        names = [f.split()[0] for f in _NODE.split(", ")]
+        schema = pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}.get(f.split()[1], pa.map_(pa.string(), pa.string()))) for n, f in zip(names, _NODE.split(", "))])
+        for batch in it:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = outline.nodes(content or "")
+                yield pa.RecordBatch.from_pylist([{**n, "path": path, "more": list(n["more"].items())} for n in found], schema=schema)
+
+    return files.select("path", "content").mapInArrow(run, _NODE)
+
+
+def plain(files: DataFrame) -> DataFrame:
+    """(path, content): comments blanked, positions kept."""
+
+    def run(it):
+        for batch in it:
+            texts = [outline.blanked(t or "", strings=False) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["path", "content"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, content string")
+
+
 def _found(files: DataFrame, pattern: str) -> DataFrame:
     every = F.expr(f"regexp_extract_all(content, r'{pattern}', 0)")
     return files.select("path", F.posexplode(every).alias("decl_idx", "raw"))
@@ -46,110 +96,142 @@ def _found(files: DataFrame, pattern: str) -> DataFrame:
 
 def _names(text: Column) -> Column:
     """Names of a braces list: (module, identifier), `a as b` split."""
-    entries = F.filter(F.transform(F.split(text, ","), lambda x: F.regexp_replace(F.trim(x), r"^type\s+", "")), lambda x: x != "")
+    entries = F.filter(F.transform(F.split(text, ","), lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, r"\s+", " ")), r"^type ", "")), lambda x: x != "")
     return F.transform(entries, lambda x: F.struct(F.regexp_extract(x, r"^(\S+)", 1).alias("module"), F.regexp_extract(x, r"(\S+)$", 1).alias("identifier")))
 
 
-def imports(files: DataFrame) -> DataFrame:
-    """(path, decl_idx, import_module, module_type, identifier, specifier, raw). Side-effect imports have one row of type side_effect."""
-    rows = _found(files, r"(?m)^[ \t]*import\s[^;]*?[\x22\x27][^\x22\x27\n]+[\x22\x27]").withColumn("specifier", F.regexp_extract("raw", "[\"']([^\"']+)[\"']$", 1))
-    head = F.regexp_extract("raw", r"(?s)import\s+(?:type\s+)?(.*?)\s*from\s*[\"']", 1)
-    rows = rows.withColumn("head", head)
+_MODULE = "array<struct<import_module:string,module_type:string,identifier:string>>"
+
+
+def imports(plain_files: DataFrame) -> DataFrame:
+    """(path, decl_idx, import_module, module_type, identifier, specifier, raw). Side-effect imports have one row of type side_effect, `import()` one of type dynamic (dynamic_variable where a variable takes it)."""
+    rows = _found(plain_files, r"(?m)^[ \t]*import\s[^;]*?[\x22\x27][^\x22\x27\n]+[\x22\x27]").withColumn("specifier", F.regexp_extract("raw", "[\"']([^\"']+)[\"']$", 1))
+    rows = rows.withColumn("head", F.regexp_extract("raw", r"(?s)import\s+(?:type\s+)?(.*?)\s*from\s*[\"']", 1))
     named = F.transform(_names(F.regexp_extract("head", r"(?s)\{(.*)\}", 1)), lambda x: F.struct(x.module.alias("import_module"), F.when(x.module == "default", "default").otherwise("named").alias("module_type"), x.identifier.alias("identifier")))
-    space = F.regexp_extract("head", r"\*\s+as\s+([\w$]+)", 1)
-    default = F.regexp_extract("head", r"^([\w$]+)", 1)
-    one = lambda name, module, kind: F.when(name != "", F.array(F.struct(F.lit(module).alias("import_module"), F.lit(kind).alias("module_type"), name.alias("identifier")))).otherwise(F.array().cast("array<struct<import_module:string,module_type:string,identifier:string>>"))
-    found = F.concat(one(default, "default", "default"), one(space, "*", "namespace"), named)
-    rows = rows.withColumn("m", F.when(F.size(found) > 0, found).otherwise(F.array(F.struct(F.lit("").alias("import_module"), F.lit("side_effect").alias("module_type"), F.lit("").alias("identifier")))))
-    static = rows.select("path", "decl_idx", F.explode("m").alias("m"), "specifier", "raw").select("path", "decl_idx", "m.*", "specifier", "raw")
-    lazy = _found(files, r"import\(\s*[\x22\x27][^\x22\x27]+[\x22\x27]\s*\)").select("path", (F.col("decl_idx") + 1_000_000).alias("decl_idx"), F.lit("default").alias("import_module"), F.lit("dynamic").alias("module_type"), F.lit("default").alias("identifier"), F.regexp_extract("raw", "[\"']([^\"']+)[\"']", 1).alias("specifier"), "raw")
-    return static.unionByName(lazy)
+    space, default = F.regexp_extract("head", r"\*\s+as\s+([\w$]+)", 1), F.regexp_extract("head", r"^([\w$]+)", 1)
 
+    def one(name: Column, module: str, kind: str) -> Column:
+        entry = F.struct(F.lit(module).alias("import_module"), F.lit(kind).alias("module_type"), name.alias("identifier"))
+        return F.when(name != "", F.array(entry)).otherwise(F.array().cast(_MODULE))
 
-def re_exports(files: DataFrame) -> DataFrame:
-    """(path, name, origin_name, specifier): names taken over from another module; `*` for all of them."""
-    rows = _found(files, r"(?m)^[ \t]*export\s[^;]*?from\s*[\x22\x27][^\x22\x27\n]+[\x22\x27]").withColumn("specifier", F.regexp_extract("raw", "[\"']([^\"']+)[\"']$", 1))
-    named = _names(F.regexp_extract("raw", r"(?s)\{(.*)\}", 1))
+    found = F.concat(one(default, "default", "default"), one(space, "*", "namespace"), named)
+    nothing = F.array(F.struct(F.lit("").alias("import_module"), F.lit("side_effect").alias("module_type"), F.lit("").alias("identifier")))
+    rows = rows.select("path", "decl_idx", F.explode(F.when(F.size(found) > 0, found).otherwise(nothing)).alias("m"), "specifier", "raw")
+    lazy = _found(plain_files, r"(?:(?:const|let|var)\s+[\w$]+\s*=\s*(?:await\s+)?)?import\(\s*[\x22\x27][^\x22\x27]+[\x22\x27]\s*\)")
+    variable = F.regexp_extract("raw", r"(?:const|let|var)\s+([\w$]+)", 1)
+    lazy = lazy.select(
+        "path", (F.col("decl_idx") + 1_000_000).alias("decl_idx"), F.lit("default").alias("import_module"), F.when(variable == "", "dynamic").otherwise("dynamic_variable").alias("module_type"),
+        F.when(variable == "", "default").otherwise(variable).alias("identifier"), F.regexp_extract("raw", "[\"']([^\"']+)[\"']", 1).alias("specifier"), "raw",
+    )
+    return rows.select("path", "decl_idx", "m.*", "specifier", "raw").unionByName(lazy)
+
+
+def re_exports(plain_files: DataFrame) -> DataFrame:
+    """(path, name, origin_name, export_type, specifier): names taken over from another module; `*` for all of them."""
+    rows = _found(plain_files, r"(?m)^[ \t]*export\s[^;{]*?(?:\{[^}]*\}\s*)?from\s*[\x22\x27][^\x22\x27\n]+[\x22\x27]").withColumn("specifier", F.regexp_extract("raw", "[\"']([^\"']+)[\"']$", 1))
     star = F.array(F.struct(F.lit("*").alias("module"), F.coalesce(F.nullif(F.regexp_extract("raw", r"\*\s+as\s+([\w$]+)", 1), F.lit("")), F.lit("*")).alias("identifier")))
-    rows = rows.select("path", "specifier", F.explode(F.when(F.col("raw").rlike(r"export\s+(type\s+)?\*"), star).otherwise(named)).alias("m"))
-    return rows.select("path", F.col("m.identifier").alias("name"), F.col("m.module").alias("origin_name"), "specifier")
+    is_star = F.col("raw").rlike(r"export\s+(type\s+)?\*")
+    rows = rows.select("path", "specifier", is_star.alias("star"), F.explode(F.when(is_star, star).otherwise(_names(F.regexp_extract("raw", r"(?s)\{(.*)\}", 1)))).alias("m"))
+    kind = F.when(F.col("star"), "namespace").when(F.col("m.identifier") == "default", "default").otherwise("named")
+    return rows.select("path", F.col("m.identifier").alias("name"), F.col("m.module").alias("origin_name"), kind.alias("export_type"), "specifier")
 
 
-def exports(files: DataFrame) -> DataFrame:
-    """(path, name, kind, line): local exports of functions, classes, variables, interfaces, types and enums, braces lists and the default."""
-    at = lines(files)
-    declared = at.withColumn("m", F.regexp_extract("text", r"^\s*export\s+(?:declare\s+|abstract\s+|async\s+)*(function\*?|class|const|let|var|interface|type|enum)\s+[\w$]+", 1)).where("m <> ''")
-    declared = declared.select("path", F.regexp_extract("text", r"(?:function\*?|class|const|let|var|interface|type|enum)\s+([\w$]+)", 1).alias("name"), F.regexp_replace("m", r"\*|const|let|var", "").alias("kind"), "line")
-    declared = declared.withColumn("kind", F.when(F.col("kind") == "", "variable").otherwise(F.col("kind"))).where("name not in ('enum')")
-    default = at.where(F.col("text").rlike(r"^\s*export\s+default\b")).select("path", F.lit("default").alias("name"), F.lit("default").alias("kind"), "line")
-    listed_ = _found(files, r"(?m)^[ \t]*export\s+(?:type\s+)?\{[^}]*\}(?!\s*from)").select("path", F.explode(_names(F.regexp_extract("raw", r"(?s)\{(.*)\}", 1))).alias("m"))
-    return declared.union(default).union(listed_.select("path", F.col("m.identifier").alias("name"), F.lit("list").alias("kind"), F.lit(None).cast("int").alias("line")))
+def exports(plain_files: DataFrame, node_rows: DataFrame) -> DataFrame:
+    """(path, name, kind, export_type, local_name, line): local exports of declarations, braces lists and the default; one row for each (path, name), declarations and defaults before lists."""
+    top = node_rows.where(F.col("exported") & F.col("kind").isin(DECLARATIONS))
+    by_default = F.coalesce(F.col("more")["default"], F.lit("false")) == "true"
+    declared = top.select("path", F.when(by_default, "default").otherwise(F.col("name")).alias("name"), F.when(by_default, "default").otherwise(F.col("kind")).alias("kind"), F.col("name").alias("local_name"), F.col("start_line").alias("line"), F.lit(0).alias("source"))
+    default = lines(plain_files).where(F.col("text").rlike(r"^\s*export\s+default\b")).select("path", F.lit("default").alias("name"), F.lit("default").alias("kind"), default_export_name(F.col("text")).alias("local_name"), "line", F.lit(1).alias("source"))
+    lists = _found(plain_files, r"(?m)^[ \t]*export\s+(?:type\s+)?\{[^}]*\}(?!\s*from)").select("path", F.explode(_names(F.regexp_extract("raw", r"(?s)\{(.*)\}", 1))).alias("m"))
+    lists = lists.select("path", F.col("m.identifier").alias("name"), F.lit("list").alias("kind"), F.col("m.module").alias("local_name"), F.lit(None).cast("int").alias("line"), F.lit(2).alias("source"))
+    rows = declared.union(default).union(lists).groupBy("path", "name").agg(F.min_by(F.struct("kind", "local_name", "line"), "source").alias("s"))
+    return rows.select("path", "name", "s.kind", F.when(F.col("name") == "default", "default").otherwise("named").alias("export_type"), "s.local_name", "s.line")
 
 
 def lines(files: DataFrame) -> DataFrame:
     return files.select("path", F.posexplode(F.split("content", "\n")).alias("at", "text")).select("path", (F.col("at") + 1).alias("line"), "text")
 
 
-def matches_in_lines(files: DataFrame, pattern: str) -> DataFrame:
-    """(path, line, raw) for every match: `any` keywords, `as` assertions, JSX tags, calls, returns."""
-    hits = F.expr(f"size(regexp_extract_all(text, r'{pattern}', 0))")
-    return lines(files).withColumn("n", hits).where("n > 0").select("path", "line", F.trim("text").alias("raw"), F.explode(F.sequence(F.lit(1), F.col("n"))).alias("match"))
+def calls(node_rows: DataFrame) -> DataFrame:
+    """(path, line, chain, argument): call chains such as a.b.c and the raw first argument."""
+    return node_rows.where("kind = 'call'").select("path", F.col("start_line").alias("line"), F.split("name", r"\.").alias("chain"), F.col("more")["argument"].alias("argument"))
+
 
+def jsx_elements(node_rows: DataFrame) -> DataFrame:
+    """(path, line, component, chain, attributes, spread)."""
+    listed_ = lambda k: F.filter(F.split(F.col("more")[k], ","), lambda x: x != "")
+    return node_rows.where("kind = 'jsx'").select("path", F.col("start_line").alias("line"), F.col("name").alias("component"), F.split("name", r"\.").alias("chain"), listed_("attributes").alias("attributes"), listed_("spread").alias("spread"))
 
-def any_keywords(files: DataFrame) -> DataFrame:
-    return matches_in_lines(files, r"(?<=[:<,|&\(\s])any(?=\s*[\[\]>,;=\)|&}]|$)")
 
+def keywords(node_rows: DataFrame, kind: str) -> DataFrame:
+    """(path, line, column, raw) of `any` keywords, `as` assertions or returns."""
+    return node_rows.where(F.col("kind") == kind).select("path", F.col("start_line").alias("line"), F.col("start_column").alias("column"), F.col("text").alias("raw"))
 
-def assertions(files: DataFrame) -> DataFrame:
-    return matches_in_lines(files, r"(?<=[\w\)\]}\x22\x27])\s+as\s+(?!const\b)[\w{\[\(]").where(~F.col("raw").rlike(r"^(import|export)\b"))
 
+def variables(node_rows: DataFrame) -> DataFrame:
+    """(path, line, identifier, source, declared, type): every bound name, destructured ones too; source is the name on the right where there is just one."""
+    m = F.col("more")
+    return node_rows.where("kind = 'variable'").select("path", F.col("start_line").alias("line"), F.col("name").alias("identifier"), F.nullif(m["source"], F.lit("")).alias("source"), m["declared"].alias("declared"), m["type"].alias("type"))
 
-def calls(files: DataFrame) -> DataFrame:
-    """(path, line, chain, argument): call chains such as a.b.c and the raw first argument."""
-    found = lines(files).select("path", "line", F.explode(F.expr(r"regexp_extract_all(text, r'([\w$]+(?:\.[\w$]+)*)\(\s*([^,\)]*)', 0)")).alias("raw"))
-    return found.select("path", "line", F.split(F.regexp_extract("raw", r"^([\w$.]+)", 1), r"\.").alias("chain"), F.trim(F.regexp_extract("raw", r"\(\s*(.*)$", 1)).alias("argument"))
+
+def functions(node_rows: DataFrame) -> DataFrame:
+    """(path, name, start_line, end_line, exported, is_default, returns, parameters): declarations, and variables that hold a function."""
+    m = F.col("more")
+    own = node_rows.where((F.col("kind") == "function") | ((F.col("kind") == "variable") & (m["function"] == "true")))
+    own = own.select("path", "id", "name", "start_line", "end_line", "exported", (F.coalesce(m["default"], F.lit("false")) == "true").alias("is_default"), F.coalesce(m["returns"], F.lit("")).alias("returns"))
+    given = node_rows.where("kind = 'parameter'").select("path", F.col("parent").alias("id"), F.struct(F.col("id").alias("nth"), "name", m["type"].alias("type"), (m["optional"] == "true").alias("optional"), (m["rest"] == "true").alias("rest"), m["default"].alias("default")).alias("p"))
+    given = given.groupBy("path", "id").agg(F.array_sort(F.collect_list("p")).alias("parameters"))
+    return own.join(given, ["path", "id"], "left").drop("id")
 
 
-def jsx_elements(files: DataFrame) -> DataFrame:
-    """(path, line, component): opening tags with an upper-case name."""
-    found = lines(files).select("path", "line", F.explode(F.expr(r"regexp_extract_all(text, r'<([A-Z][\w$.]*)(?=[\s/>])', 1)")).alias("component"))
-    return found
+def type_members(node_rows: DataFrame) -> DataFrame:
+    """(path, type, member, text) of interfaces and object types."""
+    inner = node_rows.where("kind = 'member'").select("path", F.col("parent").alias("id"), F.col("name").alias("member"), F.col("more")["type"].alias("text"))
+    return inner.join(_types(node_rows), ["path", "id"]).select("path", "type", "member", "text")
 
 
-def variables(files: DataFrame) -> DataFrame:
-    """(path, line, identifier, source): `const y = x` with a plain identifier on the right, and names taken apart from one."""
-    plain = lines(files).select("path", "line", F.regexp_extract("text", r"^\s*(?:export\s+)?(?:const|let|var)\s+([\w$]+)(?:\s*:[^=]+)?\s*=\s*[\w$]+\s*;?\s*$", 1).alias("identifier"), F.regexp_extract("text", r"=\s*([\w$]+)\s*;?\s*$", 1).alias("source")).where("identifier <> ''")
-    apart = lines(files).withColumn("names", F.regexp_extract("text", r"^\s*(?:export\s+)?(?:const|let|var)\s+\{([^}]*)\}\s*=\s*[\w$]+\s*;?\s*$", 1)).where("names <> ''")
-    apart = apart.select("path", "line", F.explode(F.split("names", r"\s*,\s*")).alias("n"), F.regexp_extract("text", r"=\s*([\w$]+)\s*;?\s*$", 1).alias("source")).select("path", "line", F.trim(F.regexp_extract("n", r"([\w$]+)\s*$", 1)).alias("identifier"), "source")
-    return plain.union(apart.where("identifier <> ''"))
+def type_references(node_rows: DataFrame) -> DataFrame:
+    """(path, type, reference, places): which other types an interface, class or alias refers to, and where ('' for the alias itself, `extends`, or a member)."""
+    inner = node_rows.where("kind = 'reference'").select("path", F.col("parent").alias("id"), F.col("name").alias("reference"), F.col("more")["place"].alias("place"))
+    return inner.join(_types(node_rows), ["path", "id"]).groupBy("path", "type", "reference").agg(F.array_sort(F.collect_set("place")).alias("places"))
 
 
-def symbols(files: DataFrame) -> DataFrame:
-    """(path, name, start_line, end_line, exported): top-level declarations; each ends before the next one."""
-    head = r"^(export\s+)?(?:default\s+)?(?:declare\s+|abstract\s+|async\s+)*(?:function\*?|class|const|let|var|interface|type|enum)\s+([\w$]+)"
-    found = lines(files).withColumn("name", F.regexp_extract("text", head, 2))
-    last = lines(files).groupBy("path").agg(F.max("line").alias("last"))
-    from pyspark.sql import Window
+def _types(node_rows: DataFrame) -> DataFrame:
+    return node_rows.where("kind in ('interface', 'type', 'class')").select("path", "id", F.col("name").alias("type"))
 
-    begun = found.where("name <> ''").join(last, "path")
-    after = F.lead("line").over(Window.partitionBy("path").orderBy("line"))
-    return begun.select("path", "name", F.col("line").alias("start_line"), F.coalesce(after - 1, "last").alias("end_line"), F.col("text").startswith("export").alias("exported"))
+
+def symbols(node_rows: DataFrame, export_rows: DataFrame) -> DataFrame:
+    """(path, name, kind, start_line, end_line, exported, export_type): functions, classes, interfaces, types and enums at any depth, and top-level variables."""
+    own = node_rows.where(F.col("kind").isin(DECLARATIONS) & ((F.col("kind") != "variable") | (F.col("parent") == -1) | (F.col("depth") == 0) | F.col("exported"))).where("name <> ''")
+    out = export_rows.select("path", F.col("local_name").alias("name"), "export_type").groupBy("path", "name").agg(F.min("export_type").alias("export_type"))
+    return own.join(out, ["path", "name"], "left").select("path", "name", "kind", "start_line", "end_line", F.col("export_type").isNotNull().alias("exported"), "export_type")
 
 
 def resolve(facts: DataFrame, files: DataFrame, aliases: DataFrame) -> DataFrame:
-    """facts (path, specifier, ...) with src_type and src_path: each specifier's ranked candidates are joined to the files, the first hit wins.
+    """facts (path, specifier, ...) with src_type, src_path and npm_pkg: each specifier's ranked candidates are joined to the files, the first hit wins.
 
-    aliases (alias, target): a specifier that is `alias` or starts with `alias/` is looked up below target, the longest alias first; there are few.
+    aliases (alias, target), or (config_dir, alias, target) for those of the nearest configuration: a specifier that is `alias` or starts with `alias/` is
+    looked up below target, the longest alias first. Aliases meet the specifier's own leading parts in an equi-join, so their number does not matter.
     """
     facts = facts.withColumn("_id", F.struct("path", "specifier"))
     wanted = facts.select("_id", "path", "specifier").distinct()
-    folder = F.regexp_replace("path", r"/?[^/]*$", "")
-    near = wanted.where(F.col("specifier").startswith(".")).withColumn("stem", F.concat_ws("/", F.nullif(folder, F.lit("")), "specifier")).withColumn("rank", F.lit(0))
-    hit = (F.col("specifier") == F.col("alias")) | F.col("specifier").startswith(F.concat("alias", F.lit("/")))
-    far = wanted.join(F.broadcast(aliases.limit(10_000)), hit).withColumn("stem", F.expr("concat(target, substring(specifier, length(alias) + 1))")).withColumn("rank", -F.length("alias"))
-    bare = wanted.where(~F.col("specifier").startswith(".")).withColumn("stem", F.col("specifier")).withColumn("rank", F.lit(1))
+    near = wanted.where(F.col("specifier").startswith(".")).withColumn("stem", F.concat_ws("/", F.nullif(folder_of(F.col("path")), F.lit("")), "specifier")).withColumn("rank", F.lit(0))
+    parts = F.split("specifier", "/")
+    heads = wanted.where(~F.col("specifier").startswith(".")).withColumn("alias", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))))
+    keys = ["alias"]
+    if "config_dir" in aliases.columns:
+        from factloom.sources.tsconfig import nearest
+
+        heads = nearest(heads, aliases.select("config_dir").distinct())
+        keys = ["config_dir", "alias"]
+    far = heads.join(aliases, keys).withColumn("stem", F.expr("concat_ws('/', nullif(target, ''), nullif(substring(specifier, length(alias) + 2), ''))")).withColumn("rank", -F.length("alias"))
+    bare = wanted.where(~F.col("specifier").startswith(".")).withColumn("stem", F.col("specifier")).withColumn("rank", F.lit(2))
     stems = near.select("_id", "stem", "rank").union(far.select("_id", "stem", "rank")).union(bare.select("_id", "stem", "rank"))
-    stems = stems.withColumn("stem", _plain_path(F.col("stem")))
+    if "config_dir" in aliases.columns:
+        # The empty alias is a configuration's base folder.
+        base = nearest(wanted.where(~F.col("specifier").startswith(".")), aliases.select("config_dir").distinct()).join(aliases.where("alias = ''"), "config_dir")
+        stems = stems.union(base.select("_id", F.concat_ws("/", F.nullif("target", F.lit("")), "specifier").alias("stem"), F.lit(1).alias("rank")))
+    stems = stems.withColumn("stem", plain_path(F.col("stem")))
     tried = stems.select("_id", "rank", F.posexplode(F.array(*[F.concat("stem", F.lit(e)) for e in LEFT_OUT])).alias("nth", "src_path"))
     found = tried.join(files.select(F.col("path").alias("src_path")), "src_path").groupBy("_id").agg(F.min_by("src_path", F.struct("rank", "nth")).alias("src_path"))
     out = facts.join(found, "_id", "left").drop("_id")
@@ -157,7 +239,7 @@ def resolve(facts: DataFrame, files: DataFrame, aliases: DataFrame) -> DataFrame
     return out.withColumn("npm_pkg", F.when(npm & ~F.col("specifier").startswith("."), package_name(F.col("specifier")))).withColumn("src_type", F.when(npm, "npm").otherwise("file"))
 
 
-def _plain_path(path: Column) -> Column:
+def plain_path(path: Column) -> Column:
     """`.` and `..` taken out."""
     step = lambda done, part: F.when((part == ".") | (part == ""), done).when(part == "..", F.when(F.size(done) > 0, F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(done)).otherwise(F.concat(done, F.array(part)))
     return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
@@ -167,10 +249,16 @@ def packages(manifests: DataFrame) -> DataFrame:
     """(workspace, path, name, dep_type, version) of package.json files (path, content): of one name in several lists the last list counts."""
     kinds = ["dependencies", "devDependencies", "peerDependencies"]
     parsed = manifests.withColumn("j", F.from_json("content", "struct<" + ",".join(f"{k}:map<string,string>" for k in kinds) + ">"))
-    folder = F.regexp_replace("path", r"/?package\.json$", "")
-    parsed = parsed.withColumn("workspace", F.when(folder == "", "root").otherwise(base_name(folder)))
+    parsed = parsed.withColumn("workspace", F.when(folder_of(F.col("path")) == "", "root").otherwise(base_name(folder_of(F.col("path")))))
     rows = None
     for rank, kind in enumerate(kinds):
         one = parsed.select("workspace", "path", F.explode(F.col("j")[kind]).alias("name", "version"), F.lit(kind).alias("dep_type"), F.lit(rank).alias("rank"))
         rows = one if rows is None else rows.union(one)
     return rows.groupBy("workspace", "path", "name").agg(F.max_by("version", "rank").alias("version"), F.max_by("dep_type", "rank").alias("dep_type"))
+
+
+def installed_versions(package_rows: DataFrame, manifests: DataFrame) -> DataFrame:
+    """package_rows with the version installed below node_modules (manifests (path, content) of a scan that keeps them), null where there is none."""
+    own = manifests.where(F.col("path").rlike(r"(^|/)node_modules/(@[^/]+/)?[^/]+/package\.json$"))
+    own = own.select(F.regexp_extract("path", r"node_modules/((?:@[^/]+/)?[^/]+)/package\.json$", 1).alias("name"), F.get_json_object("content", "$.version").alias("installed"))
+    return package_rows.join(own.groupBy("name").agg(F.min("installed").alias("installed")), "name", "left")

@@ -1,26 +1,61 @@
-"""Unified diffs to changed lines, by windows over the lines of each hunk."""
+"""Unified diffs to changed lines: split into files, then hunks, then counted line by line inside each hunk."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions.scalars import absolute
+
+
+def diff_texts(spark, kind: str, value: str) -> DataFrame:
+    """(text) from a string, a file or folder of files, or a table that holds it (`table`, column text)."""
+    if kind == "auto":
+        kind = "string" if "diff --git " in value else "file"
+    if kind == "string":
+        return spark.createDataFrame([(value,)], "text string")
+    if kind == "file":
+        return spark.read.text(value, wholetext=True).select(F.col("value").alias("text"))
+    if kind == "table":
+        return spark.read.parquet(value).select("text")
+    raise ValueError(f"unknown diff source: {kind}")
+
+
+def blocks(diffs: DataFrame) -> DataFrame:
+    """(diff, block, path, old_path, text) for every file of a diff; path is the new one, or the old where there is no other."""
+    # A diff is named by its hash, so that equal diffs count once and no whole text is compared.
+    d = diffs.where("text is not null").select(F.sha2(F.col("text").cast("binary"), 256).alias("diff"), F.regexp_replace("text", "\r\n", "\n").alias("text")).dropDuplicates(["diff"])
+    parts = d.select("diff", F.posexplode(F.split("text", r"(?m)^diff --git ")).alias("block", "text")).where("block > 0")
+    head = F.substring_index("text", "\n", 1)
+    new = F.nullif(F.regexp_extract(head, r" b/(.+)$", 1), F.lit(""))
+    old = F.nullif(F.regexp_extract(head, r"^a/(.+?)(?: b/|$)", 1), F.lit(""))
+    return parts.select("diff", "block", F.coalesce(new, old).alias("path"), old.alias("old_path"), "text")
+
 
 def changed_lines(diffs: DataFrame) -> DataFrame:
-    """(path, line) of added lines that are not blank; binary files give line 0. diffs: (text)."""
-    # A diff is named by its hash: a row number would be given after the split, to each line.
-    d = diffs.select("text").distinct().select(F.sha2(F.col("text").cast("binary"), 256).alias("d"), F.posexplode(F.split("text", "\r?\n")).alias("at", "row"))
-    head = F.col("row").startswith("diff --git ")
-    by = Window.partitionBy("d").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("block", F.sum(head.cast("int")).over(by)).where("block > 0")
-    path = F.coalesce(F.nullif(F.regexp_extract("row", r" b/(.+)$", 1), F.lit("")), F.regexp_extract("row", r" a/(\S+)", 1))
-    in_block = Window.partitionBy("d", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("path", F.first(F.when(head, path), ignorenulls=True).over(in_block))
-    start = F.when(F.col("row").rlike(r"^@@ .*\+\d+"), F.regexp_extract("row", r"\+(\d+)", 1).cast("int"))
-    d = d.withColumn("start", start).withColumn("hunk", F.sum(F.col("start").isNotNull().cast("int")).over(in_block))
-    in_hunk = Window.partitionBy("d", "block", "hunk").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    counted = (F.col("start").isNull() & ~F.col("row").startswith("-") & ~F.col("row").startswith("\\")).cast("int")
-    d = d.withColumn("line", F.first("start", ignorenulls=True).over(in_hunk) + F.sum(counted).over(in_hunk) - 1)
-    added = d.where((F.col("hunk") > 0) & F.col("row").startswith("+") & (F.trim(F.substring("row", 2, 1 << 30)) != "")).select("path", "line")
-    binary = d.where(F.col("row").startswith("Binary files ") | F.col("row").startswith("GIT binary patch")).select("path", F.lit(0).alias("line"))
+    """(path, line) of added lines that are not blank; binary files give line 0. diffs: (text). No window is larger than a hunk."""
+    every = blocks(diffs)
+    hunks = every.select("diff", "block", "path", F.posexplode(F.split("text", r"(?m)^(?=@@ )")).alias("hunk", "text")).where("hunk > 0")
+    start = F.regexp_extract("text", r"^@@ [^+\n]*\+(\d+)", 1).cast("int")
+    rows = hunks.where(F.regexp_extract("text", r"^@@ [^+\n]*\+(\d+)", 1) != "").select("diff", "block", "hunk", "path", start.alias("start"), F.posexplode(F.split("text", "\n")).alias("at", "row")).where("at > 0")
+    counted = (~F.col("row").startswith("-") & ~F.col("row").startswith("\\")).cast("int")
+    before = Window.partitionBy("diff", "block", "hunk").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("line", F.col("start") + F.sum(counted).over(before) - 1)
+    added = rows.where(F.col("row").startswith("+") & (F.trim(F.substring("row", 2, 1 << 30)) != "")).select("path", F.col("line").cast("int").alias("line"))
+    binary = every.where(F.col("text").rlike(r"(?m)^(Binary files |GIT binary patch)")).select("path", F.lit(0).alias("line"))
     return added.union(binary).distinct()
+
+
+def changed_lines_of_api(entries: DataFrame) -> DataFrame:
+    """changed_lines() of entries (new_path, diff) as a merge-request interface gives them: hunks without a head."""
+    return changed_lines(entries.select(F.concat(F.lit("diff --git a/"), "new_path", F.lit(" b/"), "new_path", F.lit("\n"), F.coalesce("diff", F.lit(""))).alias("text")))
+
+
+def changed_files(diffs: DataFrame) -> DataFrame:
+    """(path): the old paths of all files that the diffs touch."""
+    return blocks(diffs).select(F.coalesce("old_path", "path").alias("path")).distinct()
+
+
+def under_root(changed: DataFrame, root: str) -> DataFrame:
+    """changed with absolute paths."""
+    return changed.withColumn("path", absolute(F.col("path"), root))
