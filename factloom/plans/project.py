@@ -309,13 +309,15 @@ def project_json_values(spark, d):
     return results.json_values(part, "$.size").select("path", "k", F.col("found").alias("size"))
 
 
-@_query("""select path, 'var' as fact, cast(null as varchar) as hidden from f where false""")
+@_query("""select k, '{"size":' || size || ',"inner":{"folder":"' || folder || '"}}' as value from f""")
 def project_stripped_fields(spark, d):
-    own = facts(spark, d)["nodes"].where("false").select("path", F.lit("var").alias("fact"), F.struct(F.lit("").alias("raw"), F.col("name").alias("kept")).alias("s"))
-    return results.without_fields(own, ["raw"]).select("path", "fact", F.col("s.kept").alias("hidden"))
+    size, folder = F.col("p_size").alias("size"), F.expr(_folder("p_brand"))
+    nested = F.struct(size, F.col("p_name").alias("raw"), F.struct(folder.alias("folder"), F.col("p_type").alias("raw"), size.alias("hidden")).alias("inner"))
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("k"), nested.alias("s"))
+    return results.without_fields(part, ["raw", "s.inner.hidden"]).select("k", F.to_json("s").alias("value"))
 
 
-@_query(f""", walk(path, level) as (select 'src/b11/p' || a || '.ts', 0 from ends where folder = 'src/b11' union select src, level + 1 from walk join fe on dst = path where level < 12)
+@_query(f""", walk(path, level) as (select 'src/b11/p' || a || '.ts', 0 from ends where folder = 'src/b11' union select src, level + 1 from walk join fe on dst = path where level < 100)
     select path, min(level) as level from walk where path <> (select 'src/b11/p' || a || '.ts' from ends where folder = 'src/b11') group by 1""")
 def project_find_callers(spark, d):
     first = facts(spark, d)["files"].where("path like 'src/b11/p%'").agg(F.min_by("path", F.regexp_extract("path", r"p(\d+)\.ts", 1).cast("long"))).first()[0]
