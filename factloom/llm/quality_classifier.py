@@ -1,11 +1,12 @@
 """Quality classifier: random Fourier features of document statistics, ridge regression by summed normal equations, isotonic calibration.
 
 Statistics are computed once per document and stored; fitting and scoring read the small table. FEATURES random cosines approximate a
-Gaussian kernel of width WIDTH over standardised statistics. Each task adds its rows' share of the normal equations, shares are summed in two
-levels, and the driver solves one FEATURES x FEATURES system. Scores are calibrated by pooling adjacent violators over at most BINS score bins.
+Gaussian kernel of width WIDTH over standardised statistics. Each task adds its rows' share of the normal equations, shares are summed by a tree of
+FAN_IN at a time, and the driver solves one FEATURES x FEATURES system. Scores are calibrated by pooling adjacent violators over at most BINS score bins.
 
 Edge cases. Null and empty texts have all statistics 0 and get the score of such a document. Labels that are null count as missing. Without any label to
-learn from every score is 0.5. Repeated rows are scored each; a repeated label counts each time. Columns other than doc_id, text and quality are ignored.
+learn from every score is 0.5. Repeated rows are scored each; a repeated label counts each time, and of tied scores all get the same value. An empty table gives an
+empty result. Very long texts are taken whole. Columns other than doc_id, text and quality are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,12 +15,13 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column_of, durable, split_column, texts_of
 
-FEATURES, WIDTH, RIDGE, BINS = 256, 4.0, 1e-3, 1024
+FEATURES, WIDTH, RIDGE, BINS, FAN_IN = 256, 4.0, 1e-3, 1024, 64
 _UPPER, _DIGITS, _SYMBOLS = bytes(range(65, 91)), bytes(range(48, 58)), b"#*$%&|<>"
 _ENDS, _BREAKS = b".,;:", b"!?"
 
@@ -62,7 +64,7 @@ def _cosines(x: np.ndarray, mean: np.ndarray, std: np.ndarray) -> np.ndarray:
 
 
 def _shares(mean, std):
-    """A task's share of the normal equations, as bytes, under one of 64 salts."""
+    """A task's share of the normal equations, as bytes, under the number of the task."""
 
     def run(it):
         total, seen = np.zeros((FEATURES + 2, FEATURES + 2)), 0
@@ -70,14 +72,17 @@ def _shares(mean, std):
             z = np.hstack([_cosines(_matrix(batch), mean, std), column_of(batch, "y").to_numpy(zero_copy_only=False).astype(float)[:, None]])
             total, seen = total + z.T @ z, seen + len(z)
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen % 64], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["salt", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["salt", "part"])
 
     return run
 
 
-def _added(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, np.float64) for x in table["part"].to_pylist())
-    return pa.table({"salt": table["salt"][:1], "part": pa.array([total.tobytes()], pa.binary())})
+def _added(fan_in: int):
+    def run(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.float64) for x in table.column("part").to_pylist())
+        return pa.table({"salt": pa.array([table.column("salt")[0].as_py() // fan_in], pa.int32()), "part": pa.array([total.tobytes()], pa.binary())})
+
+    return run
 
 
 def isotonic(score: np.ndarray, hits: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +108,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held_out_mod: int = 3, he
     if moments[0] is None:
         return x.select("doc_id", held, F.lit(0.5).alias("score"), F.lit(1).alias("predicted"))
     mean, std = np.array(moments[:16]), np.maximum(np.array(moments[16:]), 1e-6)
-    parts = train.select("x", "y").mapInArrow(_shares(mean, std), "salt int, part binary").groupBy("salt").applyInArrow(_added, "salt int, part binary")
+    parts = durable(train.select("x", "y").mapInArrow(_shares(mean, std), "salt int, part binary"), "shares")
+    # A tree: sums of FAN_IN shares at a time, until few are left.
+    while parts.count() > FAN_IN:
+        parts = durable(parts.groupBy((F.col("salt") / FAN_IN).cast("int").alias("g")).applyInArrow(_added(FAN_IN), "salt int, part binary"), "shares")
     z = sum(np.frombuffer(r.part, np.float64) for r in parts.collect()).reshape(FEATURES + 2, FEATURES + 2)
     n = z[FEATURES, FEATURES]
     weights = np.linalg.solve(z[:-1, :-1] + RIDGE * n / FEATURES * np.eye(FEATURES + 1), z[:-1, -1])
