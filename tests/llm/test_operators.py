@@ -377,7 +377,10 @@ def test_lm_packing_keeps_counts_and_keys():
     rng = np.random.default_rng(2)
     for n in (0, 1, 7, 8, 9, 1000):
         counts = rng.choice([0, 1, 1, 2, 5, 254, 255, 256, 10**12], n).astype(np.int64)
-        keys = rng.integers(0, 2**63, n).astype(np.uint64)
-        for order in (1, 2, 3):
-            got, c = lm_mixing._unpacked(order, lm_mixing._packed(order, keys, counts))
-            assert c.tolist() == counts.tolist() and got.tolist() == (keys if order == 1 else keys & np.uint64(2**40 - 1)).tolist()
+        keys = np.sort(rng.integers(0, 2**63, n).astype(np.uint64))
+        for parts in (48, 800_000):
+            for order in (1, 2, 3):
+                got, c = lm_mixing._unpacked(order, lm_mixing._packed(order, keys, counts, parts), parts)
+                lost = np.uint64(8 * (8 - lm_mixing._width(order, parts)))
+                assert c.tolist() == counts.tolist() and got.tolist() == (keys >> lost << lost).tolist()
+        assert lm_mixing._width(1, 48) == lm_mixing._width(2, 800_000) == 8 and lm_mixing._width(3, 48) == 6
