@@ -67,9 +67,51 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op7, which SQL can express."""
+    return judged_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def lm_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts that op2's scores rest on."""
+    return lm_scores(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens")
+
+
 def queries() -> dict:
-    return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
+    return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()} | {f.__name__: f for f in (quality_counts, lm_counts)}
+
+
+_WORD = r"'[^\x20\x09-\x0D]+'"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: crc32(doc_id as text), bit by bit.
+_CRC = """xor(list_reduce(list_concat([4294967295::ubigint], list_transform(range(1, length(doc_id::varchar) + 1), lambda i: ascii(substr(doc_id::varchar, i::int, 1))::ubigint)),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], list_transform(range(8), lambda i: 0::ubigint)), lambda x, y: xor(x >> 1, case when x & 1 = 1 then 3988292384::ubigint else 0::ubigint end))), 4294967295::ubigint)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_substring_dedup": f"""with d as (select doc_id, regexp_extract_all(coalesce(text, ''), {_WORD}) as w from documents),
+            win as (select doc_id, i, array_to_string(w[i:i + 19], ' ') as t from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from d)),
+            late as (select doc_id, i from (select doc_id, i, row_number() over (partition by t order by doc_id, i) as r from win) where r > 1),
+            gone as (select distinct doc_id, unnest(range(i, i + 20)) as j from late),
+            kept as (select x.doc_id, string_agg(x.t, ' ' order by x.j) as k, count(*) as n from (select doc_id, unnest(w) as t, unnest(range(1, len(w) + 1)) as j from d) x
+                left join gone g on g.doc_id = x.doc_id and g.j = x.j where g.j is null group by 1)
+            select d.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(k, '')) as kept_sha256 from d left join kept using (doc_id)""",
+        "op8_minhash_dedup": f"""with recursive d as (select doc_id, regexp_extract_all({_LOWER}, {_WORD}) as w from documents),
+            s as (select doc_id, case when len(w) < 2 then w else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end as s from d),
+            e as (select doc_id, len(s) as n, unnest(s) as g from s),
+            links as (select a.doc_id as x, b.doc_id as y from e a join e b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2 having 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+            walk(doc_id, node) as (select doc_id, doc_id from s union select walk.doc_id, y from walk join links on node = x),
+            c as (select doc_id, min(node) as component_id from walk group by 1)
+            select doc_id, cast(len(s) as bigint) as n_shingles, component_id, doc_id = component_id as kept from s join c using (doc_id)""",
+        "quality_counts": f"""with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), {_WORD}) as w from documents),
+            win as (select doc_id, i, count(*) over (partition by doc_id, t) as n from (select doc_id, i, array_to_string(w[i:i + 4], ' ') as t from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from d))),
+            rep as (select doc_id, count(distinct j) as r from (select doc_id, unnest(range(i, i + 5)) as j from win where n > 1) group by 1),
+            l as (select doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {_WORD})) as l from d)
+            select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars,
+                cast(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols, cast(len(l) - len(list_distinct(l)) as bigint) as n_dup_lines,
+                cast(coalesce(r, 0) as bigint) as n_repeat_words, len(w) < 10 or 100 * coalesce(r, 0) > 20 * len(w) as base_failed from d join l using (doc_id) left join rep using (doc_id)""",
+        "lm_counts": f"""with d as (select doc_id, list_concat(regexp_extract_all({_LOWER}, {_WORD}), [chr(10)]) as w, {_CRC} % 5 = 1 as held_out from documents),
+            t as (select doc_id, held_out, unnest(w) as t from d), c as (select t, count(*) as c from t where not held_out group by 1)
+            select doc_id, held_out, count(*) as n_tokens, count(c) as n_known, cast((select sum(c) from c) as bigint) as train_tokens from t left join c using (t) group by 1, 2""",
+    }
