@@ -13,17 +13,30 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may do without one, and gets a temporary folder."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-"))
         path = sc.getCheckpointDir()
     return path.rstrip("/")
 
 
+def intermediates(spark: SparkSession) -> str:
+    """Where this application writes its intermediate tables."""
+    return f"{shared_dir(spark)}/factloom/{spark.sparkContext.applicationId}"
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application; to be called when no frame that came from them is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(intermediates(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def durable(df: DataFrame, label: str) -> DataFrame:
     """df written to the shared folder and read again; cuts its lineage."""
-    path = f"{shared_dir(df.sparkSession)}/factloom/{label}-{uuid.uuid4().hex}"
+    path = f"{intermediates(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
