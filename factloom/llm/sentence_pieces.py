@@ -1,22 +1,28 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-compile_model() turns a model file into one transducer: the normaliser (a space becomes the word mark, one mark is put in
-front), a trie of the pieces, and byte fallback for characters outside the alphabet. A state is (position, last piece). Arcs carry weights
-of the tropical semiring: for a unigram model the negated piece score; for a BPE model 0 if the piece may follow the last one
-and infinity if not. Two pieces may follow one another exactly if merging their joined text by score gives them back; a
-sequence whose neighbours all may is what the merges give for the whole text, so that the path of weight 0 is unique and
-a state needs to remember one piece only. encode() composes the transducer with an input and takes the shortest path.
-
-The input is composed pre-token by pre-token: no piece spans a word mark that follows another character, nor a character
-outside the alphabet, so the shortest path of a text is the chain of its pre-tokens' paths, and a path found once serves every repetition.
-
-Edge cases. Null and empty texts have no ids. The word mark itself in a text counts as a space, as in the library, and decodes to one.
+compile_model() turns a model file into transducers over characters. The normaliser has one state: an arc from a space to the word mark, an arc
+from every other character to itself, and one arc from nothing to the mark in front. The piece transducer has an arc for every piece, found along a
+trie of their characters, and byte fallback: from every character outside the alphabet an arc that writes its UTF-8 bytes as byte pieces.
+Composed with an input, a state is (position, last piece). Arcs carry weights of the tropical semiring: for a unigram model the negated piece score
+(fallback costs more than any piece); for a BPE model 0 if the piece may follow the last one and infinity if not, fallback 0. Two pieces may follow one
+another exactly if merging their joined text by score gives them back; a sequence whose neighbours all may is what the merges give for the
+whole text, so that the path of weight 0 is unique and a state needs to remember one piece only; behind a fallback arc there is no last piece. encode()
+composes the transducers with an input and takes the shortest path.
+
+The input is composed pre-token by pre-token: no piece spans a word mark that follows another character, so the shortest path of a
+text is the chain of its pre-tokens' paths, and a path found once serves every repetition. So does the proof that its pieces spell the pre-token: a document
+round-trips if all its pre-tokens do, since decoding puts the surfaces of pieces one behind the other.
+
+Edge cases. Null and empty texts have no ids. The word mark itself in a text counts as a space, as in the library, and decodes to one. Repeated rows are
+encoded each, rows without doc_id too; an empty table gives an empty result; very long texts are encoded whole; other columns are ignored, whatever their
+names. Ties between paths of a unigram model go to the shorter first piece.
 Only the identity normaliser without white-space removal is compiled; other models raise ValueError.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 from itertools import chain
 
@@ -27,6 +33,8 @@ from pyspark.sql import DataFrame
 from .common import MEMO_WORDS, column_of
 
 MARK = "▁"
+#: Pre-tokens of a generation of remembered paths.
+PATHS = 400_000
 _INF = float("inf")
 
 
@@ -67,12 +75,19 @@ class PieceTransducer:
         feed = "" if "\n" in self.alphabet else "\n"
         self.pretoken = re.compile(f"[{feed}]+|{MARK}*[^{MARK}{feed}]+|{MARK}+" if feed else f"{MARK}*[^{MARK}]+|{MARK}+")
         self._follows: dict[int, bool] = {}
+        #: Arcs of the normaliser that change a character, and what it writes first.
+        self.arcs, self.first = {" ": MARK}, MARK if self.dummy else ""
+        #: Weight of a fallback arc.
+        self.fallback = 0.0 if self.bpe else max(0.0, -min(self.scores.values(), default=0.0)) + 10.0
 
     # -- normaliser -------------------------------------------------------
     def normalise(self, text: str) -> str:
+        """The normaliser's output for an input: its only path. Its arcs write no character that another of them reads, so they may be run one after the other."""
         if not text:
             return ""
-        return (MARK if self.dummy else "") + text.replace(" ", MARK)
+        for read, written in self.arcs.items():
+            text = text.replace(read, written)
+        return self.first + text
 
     # -- constraint between neighbours of a BPE path ----------------------
     def _merged(self, text: str) -> list[int]:
@@ -102,25 +117,18 @@ class PieceTransducer:
 
     # -- composition and shortest path ------------------------------------
     def shortest_path(self, text: str) -> list[int]:
-        """Ids of the path of least weight through the transducer composed with a normalised text."""
-        out: list[int] = []
-        start = 0
-        for at, c in enumerate(text):
-            if c not in self.alphabet:  # byte fallback: its arcs leave from and lead to a state without a last piece
-                out += self._path(text[start:at])
-                out += [self.byte_ids[b] for b in c.encode()]
-                start = at + 1
-        return out + self._path(text[start:])
-
-    def _path(self, text: str) -> list[int]:
+        """Ids of the path of least weight through the piece transducer composed with a normalised text."""
         n = len(text)
-        weight, last, back = [_INF] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
+        # Of each position: least weight, last piece of that path (-1: none), where its last arc began, whether that was a fallback arc.
+        weight, last, back, fell = [_INF] * (n + 1), [-1] * (n + 1), [0] * (n + 1), [False] * (n + 1)
         weight[0] = 0.0
-        trie, bpe, score, follows = self.trie.get, self.bpe, self.score, self._follows.get
+        trie, bpe, score, follows, alphabet = self.trie.get, self.bpe, self.score, self._follows.get, self.alphabet
         for i in range(n):
             w = weight[i]
             if w == _INF:
                 continue
+            if text[i] not in alphabet and w + self.fallback < weight[i + 1]:
+                weight[i + 1], last[i + 1], back[i + 1], fell[i + 1] = w + self.fallback, -1, i, True
             before = last[i]
             for j in range(i + 1, n + 1):
                 piece = trie(text[i:j])
@@ -136,12 +144,12 @@ class PieceTransducer:
                 else:
                     step = -score[piece]
                 if w + step < weight[j]:
-                    weight[j], last[j], back[j] = w + step, piece, i
-        out = []
+                    weight[j], last[j], back[j], fell[j] = w + step, piece, i, False
+        arcs = []
         while n:
-            out.append(last[n])
+            arcs.append([self.byte_ids[b] for b in text[n - 1].encode()] if fell[n] else [last[n]])
             n = back[n]
-        return out[::-1]
+        return list(chain.from_iterable(arcs[::-1]))
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(self.shortest_path(p) for p in self.pretoken.findall(self.normalise(text))))
@@ -152,19 +160,26 @@ class PieceTransducer:
 
 
 class _Paths(dict):
-    """Pre-token to its path, found once and remembered; bounded. Long pre-tokens are not kept."""
+    """Pre-token to its path as packed ids, found once and remembered. Two generations of PATHS entries: what is used again outlives the older one. Long
+    pre-tokens are not kept. `lost` are those that their pieces do not spell."""
 
     def __init__(self, model: PieceTransducer):
         super().__init__()
-        self.model = model
-
-    def __missing__(self, pretoken: str) -> list[int]:
-        path = self.model.shortest_path(pretoken)
+        self.model, self.older, self.lost = model, {}, set()
+
+    def __missing__(self, pretoken: str) -> bytes:
+        packed = self.older.get(pretoken)
+        if packed is None:
+            path = self.model.shortest_path(pretoken)
+            if b"".join(map(self.model.surface.__getitem__, path)) != pretoken.replace(MARK, " ").encode():
+                self.lost.add(pretoken)
+            packed = array("i", path).tobytes()
         if len(pretoken) <= 48:
-            if len(self) >= MEMO_WORDS:
+            if len(self) >= PATHS:
+                self.older = dict(self)
                 self.clear()
-            self[pretoken] = path
-        return path
+            self[pretoken] = packed
+        return packed
 
 
 @lru_cache(maxsize=2)
@@ -176,24 +191,22 @@ def compile_model(path: str) -> PieceTransducer:
     return _paths(path).model
 
 
-def _encoder(path: str, decode: bool):
+def _encoder(path: str):
     def run(it):
         memo = _paths(path)
         model = memo.model
         for big in it:
             for at in range(0, big.num_rows, 512):
                 batch = big.slice(at, 512)
-                sizes, flat, same = [0], [], []
+                sizes, flat, same = [0], [np.zeros(0, np.int32)], []
                 for text in column_of(batch, "text").to_pylist():
-                    text = text or ""
-                    ids = list(chain.from_iterable(map(memo.__getitem__, model.pretoken.findall(model.normalise(text)))))
-                    flat.append(np.array(ids, np.int32))
-                    sizes.append(len(ids))
-                    if decode:
-                        same.append(model.decode(ids) == text.replace(MARK, " "))
-                ids = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32)))
-                columns = [column_of(batch, "doc_id").cast(pa.int64()), pa.array(sizes[1:], pa.int64()), ids] + ([pa.array(same, pa.bool_())] if decode else [])
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_pieces", "ids", "round_trip"][: len(columns)])
+                    parts = model.pretoken.findall(model.normalise(text)) if text else []
+                    ids = b"".join(map(memo.__getitem__, parts))
+                    flat.append(np.frombuffer(ids, np.int32))
+                    sizes.append(len(ids) // 4)
+                    same.append(not memo.lost or memo.lost.isdisjoint(parts))
+                ids = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(np.concatenate(flat)))
+                yield pa.RecordBatch.from_arrays([column_of(batch, "doc_id").cast(pa.int64()), pa.array(sizes[1:], pa.int64()), ids, pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids", "round_trip"])
 
     return run
 
@@ -203,7 +216,7 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
 
     One pass over the rows without a shuffle: no row depends on another one.
     """
-    return docs.select("doc_id", "text").mapInArrow(_encoder(model_path, True), "doc_id long, n_pieces long, ids array<int>, round_trip boolean")
+    return docs.select("doc_id", "text").mapInArrow(_encoder(model_path), "doc_id long, n_pieces long, ids array<int>, round_trip boolean")
 
 
 def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
