@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, MEMO_WORDS, column_of, durable, keep_ids, mix, texts_of
-from .linking import FLUSH, connected_components, counted, dealt, fine_parts, link, met, rows_of
+from .linking import FLUSH, broadcast_if_few, connected_components, counted, dealt, fine_parts, link, met, rows_of
 
 PERCENT, MIN_CHARS = 80, 40
 LONG_CHARS, SHINGLE, BINS, BANDS = 72, 8, 64, 16
@@ -194,18 +194,13 @@ def _turned(column: str) -> "F.Column":
     return F.col(column).bitwiseXOR(F.lit(_TURN))
 
 
-def _small(df: DataFrame, limit: int = BROADCAST_ROWS // 4) -> DataFrame:
-    """df, a written table, broadcast if it has few rows."""
-    return F.broadcast(df) if df.count() <= limit else df
-
-
 def line_components(docs: DataFrame, lines: DataFrame, entries: DataFrame) -> DataFrame:
     """(h1, component) for the distinct lines that have links to others."""
     pairs, members = counted(entries, "lines")
     nodes = durable(members.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct(), "line-nodes")
     # The text of every candidate line, found once; its shingles are hashed where it is compared. A node is h1 or, for short shingles, h1 turned.
     both = nodes.select("node", F.explode(F.array("node", _turned("node"))).alias("h1"))
-    places = lines.join(_small(durable(both, "line-names")), "h1").groupBy("node", "h1").agg(F.min(F.struct("doc_id", "place")).alias("at"))
+    places = lines.join(broadcast_if_few(durable(both, "line-names")), "h1").groupBy("node", "h1").agg(F.min(F.struct("doc_id", "place")).alias("at"))
     wanted = places.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("node", "h1", "at.place")).alias("wanted"))
     wanted = durable(wanted, "wanted")
     n = wanted.count()
@@ -226,11 +221,11 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     lines = both.where("kind = 2").select(F.col("a").alias("h1"), F.col("b").alias("h2"), F.col("c").alias("doc_id"), F.col("d").alias("place"))
     comps = line_components(docs, lines, both.where("kind = 0").select(F.col("a").alias("key"), F.col("b").alias("node")))
     # A line without links is its own group, under both halves of its hash.
-    named = lines.join(_small(durable(comps, "line-groups")), "h1", "left")
+    named = lines.join(broadcast_if_few(durable(comps, "line-groups")), "h1", "left")
     named = named.select("doc_id", "place", F.coalesce("component", "h1").alias("g1"), F.when(F.col("component").isNull(), F.col("h2")).otherwise(F.lit(0)).alias("g2"))
     groups = named.groupBy("g1", "g2").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
     groups = durable(groups.select("g1", "g2", F.col("first.doc_id").alias("first_doc"), F.col("first.place").alias("first_place")), "repeated-lines")
-    gone = named.join(_small(groups), ["g1", "g2"]).where("doc_id <> first_doc or place <> first_place")
+    gone = named.join(broadcast_if_few(groups), ["g1", "g2"]).where("doc_id <> first_doc or place <> first_place")
     return gone.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
 
 

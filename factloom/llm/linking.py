@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, column_of, durable, gathered, mix, parts_for
+from .common import column_of, durable, gathered, mix, parts_for
 
 #: Buckets up to this many members compare all pairs of different components in one round.
 SMALL_BUCKET = 48
@@ -27,6 +27,8 @@ SMALL_BUCKET = 48
 PIVOTS = 512
 #: Nodes of a block, by expectation; a cell holds the pairs of two blocks.
 BLOCK = 256
+#: Rows of a few numbers up to which a table is broadcast (about 100 bytes each once hashed).
+FEW = 300_000
 #: From this many pairs on, a cell counts by matrix products over so many set members at a time.
 DENSE_PAIRS, STRIP = 24, 4096
 
@@ -174,9 +176,7 @@ def counted(entries: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
     sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).where("n > 1")
     sizes = durable(sizes, f"{label}-buckets")
     keys = sizes.where("n > 2").select("key", "n")
-    if keys.count() <= BROADCAST_ROWS // 4:
-        keys = F.broadcast(keys)
-    members = durable(rows.join(keys, "key"), f"{label}-members")
+    members = durable(rows.join(broadcast_if_few(keys), "key"), f"{label}-members")
     weights = members.groupBy("node").agg(F.sum("n").alias("w"))
     members = durable(members.join(weights, "node").select("key", "node", "w", "n"), f"{label}-members")
     return sizes.where("n = 2").select("a", "b").distinct(), members
@@ -188,6 +188,11 @@ def shared_buckets(signatures: DataFrame, label: str) -> tuple[DataFrame, DataFr
     return counted(met(sent).select(F.col("a").alias("key"), F.col("b").alias("node")), label)
 
 
+def broadcast_if_few(table: DataFrame) -> DataFrame:
+    """A written table, broadcast when it has at most FEW rows: joins with it then deal nothing by a key, hot or not. Larger ones are shuffled, and adaptive execution splits hot keys."""
+    return F.broadcast(table) if table.count() <= FEW else table
+
+
 def overlaps(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
     """How many members sets[rows[i]] and sets[columns[j]] share, for all rows[i] other than columns[j]; sets are sorted and distinct."""
     _, member, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -313,9 +318,11 @@ def set_confirmer(members: DataFrame, sets: DataFrame, percent: int, decode: Cal
     spark, n_homes = sets.sparkSession, homes.count()
 
     def confirm(candidates: DataFrame) -> DataFrame:
-        parts = parts_for(spark, candidates.count() + n_homes)
-        left, right = (gathered(homes.toDF(*(x + c for c in ("", "least", "most", "block"))), parts, x) for x in "ab")
-        sized = gathered(gathered(candidates, parts, "a").join(left, "a"), parts, "b").join(right, "b")
+        # A bucket's leader stands in a pair with every member, so pairs are not dealt by one of their ends where that can be helped.
+        left, right = (homes.toDF(*(x + c for c in ("", "least", "most", "block"))) for x in "ab")
+        if n_homes <= FEW:
+            left, right = F.broadcast(left), F.broadcast(right)
+        sized = candidates.join(left, "a").join(right, "b")
         # Sets whose sizes alone rule a link out.
         sized = sized.where(F.col("amost") * 100 >= F.col("bleast") * percent).where(F.col("bmost") * 100 >= F.col("aleast") * percent)
         cells = durable(sized.select(F.xxhash64(F.least("ablock", "bblock"), F.greatest("ablock", "bblock")).alias("cell"), "a", "b"), f"{label}-cells")
@@ -338,8 +345,8 @@ def link(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int, de
     confirm = set_confirmer(members, sets, percent, decode, label)
     spark, n_members = members.sparkSession, members.count()
     parts = parts_for(spark, n_members)
-    members = gathered(members, parts, "key")
-    leader = members.groupBy("key").agg(F.max(F.struct("w", "node")).alias("top")).select("key", F.col("top.node").alias("a"))
+    leader = durable(members.groupBy("key").agg(F.max(F.struct("w", "node")).alias("top")).select("key", F.col("top.node").alias("a")), f"{label}-leaders")
+    leader = broadcast_if_few(leader)
     first = members.join(leader, "key").where("node <> a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
     tested = durable(gathered(pairs.union(first), parts, "a", "b").distinct(), f"{label}-pairs")
     links = durable(confirm(tested), f"{label}-links")
@@ -349,14 +356,14 @@ def link(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int, de
         if comps is None:
             comps = durable(connected_components(links), f"{label}-comps")
         now = gathered(state, parts, "node").join(gathered(comps, parts, "node"), "node", "left").select("key", "node", "w", "done", F.coalesce("component", "node").alias("comp"))
-        now = gathered(now, parts, "key")
+        now = durable(now, f"{label}-state")
         left = now.where("not done").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
-        now = durable(now.join(left, "key"), f"{label}-open")
-        n_open = now.count()
-        if not n_open:
+        left = durable(left, f"{label}-open-keys")
+        if left.isEmpty():
             return comps
+        now = durable(now.join(broadcast_if_few(left), "key"), f"{label}-open")
+        n_open = now.count()
         parts = parts_for(spark, n_open)
-        now = gathered(now, parts, "key")
         x, y = now.where("not done").alias("x"), now.where("not done").alias("y")
         near = x.where(F.col("n") <= SMALL_BUCKET).join(y, F.expr("x.key = y.key and x.node < y.node and x.comp <> y.comp")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         big = now.where("not done").where(F.col("n") > SMALL_BUCKET)
