@@ -128,7 +128,8 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, percent: int = 80) ->
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs without those rows whose document is not the smallest of its group. A row without doc_id stays."""
-    groups = near_duplicate_groups(docs, words, percent)
-    gone = durable(groups.where("not kept and doc_id is not null").select("doc_id").distinct(), "gone")
+    """docs without those rows whose document is not the smallest of its group. A row without doc_id stays, and so does a doc_id that any of its rows keeps."""
+    groups = durable(near_duplicate_groups(docs, words, percent).where("doc_id is not null").select("doc_id", "kept"), "groups")
+    gone = groups.where("not kept").select("doc_id").distinct().join(groups.where("kept"), "doc_id", "left_anti")
+    gone = durable(gone, "gone")
     return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti")

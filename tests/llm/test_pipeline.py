@@ -19,3 +19,16 @@ def test_stages_take_effect_in_order(spark):
     out = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert out.count() == before and out.where("not round_trip").count() == 0
     assert near_duplicate_groups(docs).where("not kept").count() == 0
+
+
+def test_stages_keep_rows_of_a_repeated_id_and_pass_empty_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    one, other = docs.select("text").where("length(text) > 400").limit(2).collect()
+    rows = [(1, one.text), (2, one.text), (2, other.text), (None, other.text), (3, None)]
+    odd = spark.createDataFrame([(i, t, "en", "s", 1, "more") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, kept string")
+    assert sorted(str(r.doc_id) for r in corpus_pipeline.near_copies(spark, odd, SF).collect()) == ["1", "2", "2", "3", "None"]
+    left = odd.limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, left, SF)
+        assert left.columns == corpus_pipeline.COLUMNS and left.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, left, SF).count() == 0
