@@ -1,4 +1,10 @@
-"""The corpus pipeline: five stages over documents, each over all that the one before it kept."""
+"""The corpus pipeline: five stages over documents, each over all that the one before it kept.
+
+Edge cases. Null and empty texts are scored like any other by the classifier; those it keeps have an empty text after line dedup and stay as long as no line
+was taken from them. A document that line dedup leaves without any text goes. Rows without doc_id pass stages 1 to 4 (they can be named in no list of
+documents that go) and are encoded. Of rows that repeat a doc_id stages 1 and 3 drop the id only if they would drop all of its rows; stage 2 takes the same line numbers from
+all of them; stage 4 drops them all if one holds a benchmark item. Empty tables pass through. Columns beyond those of documents are left behind at the first stage.
+"""
 
 from __future__ import annotations
 
@@ -19,7 +25,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     scores = quality_scores(docs, table(spark, sf_dir, "labels"))
-    rejected = durable(scores.where("predicted = 0").select("doc_id").distinct(), "rejected")
+    rejected = durable(scores.groupBy("doc_id").agg(F.max("predicted").alias("best")).where("best = 0").select("doc_id"), "rejected")
     return docs.join(rejected, "doc_id", "left_anti").select(COLUMNS)
 
 
