@@ -9,7 +9,8 @@ in number and one follows, wherever they stand in the text, or where its own wor
 A logistic model over these sums and over the hits and hit density of each strength, fitted on the same bounded rows, gives the score.
 
 Edge cases. Null and empty texts have no hits and get the score of a clean text. Without any toxic label the lexicon is empty and every score is the same. Repeated
-rows are scored each. Labels that are null count as missing. Columns other than doc_id, text and toxic are ignored.
+rows are scored each. Labels that are null count as missing. An empty table gives an empty result; very long texts are read whole; of tied terms the shorter kind and
+the first by letters is taken. Columns other than doc_id, text and toxic are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import column_of, durable, keep_ids, split_column
 
-LABEL_ROWS, MIN_DOCS, PRECISION, MAX_TERMS = 40_000, 8, 0.97, 2_000
+LABEL_ROWS, MIN_DOCS, PRECISION = 40_000, 8, 0.97
 MIN_RATE, STRONG_RATE, MIN_LLR = 3, 12, 30
 _TRIM = "\"'“”‘’«»„.,;:!?()[]{}*#$%&|<>-"
 _QUOTE = re.compile("[\"“”«»„]")
@@ -170,7 +171,7 @@ def _term_rows(counts) -> pa.RecordBatch:
 
 
 def choose_terms(rows: list[tuple[str, bool, float]]) -> list[tuple[str, bool]]:
-    """Of words and stems with their evidence, the strongest first: no stem beside its own longer forms, and at most MAX_TERMS."""
+    """Of words and stems with their evidence, the strongest first: no stem beside its own longer forms. All of them are taken; their number is bounded by what stands in LABEL_ROWS rows."""
     chosen: list[tuple[str, bool]] = []
     stems: set[str] = set()
     starts: set[str] = set()
@@ -181,7 +182,7 @@ def choose_terms(rows: list[tuple[str, bool, float]]) -> list[tuple[str, bool]]:
         starts.update(term[:k] for k in range(4, len(term) + 1))
         if stem:
             stems.add(term)
-    return chosen[:MAX_TERMS]
+    return chosen
 
 
 def learn_lexicon(labelled: DataFrame) -> tuple[list[tuple[str, bool]], list[int]]:
