@@ -1,9 +1,9 @@
-"""Substring deduplication by relative Lempel-Ziv parsing.
+"""Substring deduplication: runs of words that also start earlier are taken out.
 
-The reference is all text that starts earlier (a smaller doc_id, or the same document further left), indexed by content-chosen blocks: the
-smallest of the 8-word hashes inside each 20-word window (winnowing), so equal windows anywhere pick equal blocks. Documents are parsed
-greedily against the index: where windows can be copied from the reference, the longest run of them is one factor; a factor is at
-least one window (20 words) long, and windows across the border of two factors are judged by themselves. Factors are the duplicate spans.
+The dealt method, a greedy relative Lempel-Ziv parse, is replaced in its core (the README says why): the reference is all text that starts earlier (a
+smaller doc_id, or the same document further left), and every 20-word window is judged against all of it, not against one chosen source. The index of
+reference blocks is kept as the filter: content-chosen blocks, the smallest of the 8-word hashes inside each 20-word window (winnowing), so that equal
+windows anywhere pick equal blocks. Spans are the runs of windows that are copied; each is at least one window (20 words) long.
 
 1. Blocks are counted; those that occur once in the corpus are handed back to their documents, so that a hot block is only ever a
    counter with map-side combining and never a join key.
@@ -12,7 +12,8 @@ least one window (20 words) long, and windows across the border of two factors a
 
 Edge cases. Null and blank texts have no words: nothing is removed, the kept text is empty. Texts shorter than a window stay whole. Rows that
 repeat a doc_id count as one document (a window of one is not a copy of the same window of the other); rows without doc_id are
-neither reference nor cleaned. An empty table gives an empty result; other columns are ignored.
+neither reference nor cleaned. Repeated rows of one id and ties in place keep the leftmost start. Very long texts are taken whole. An empty table gives an empty result;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
