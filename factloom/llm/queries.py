@@ -10,6 +10,7 @@ from .common import table
 from .decontamination import contaminated
 from .line_dedup import remove_repeated_lines
 from .lm_mixing import lm_scores
+from .merkle import tampered_manifest
 from .near_dedup import near_duplicate_groups
 from .quality_classifier import quality_scores
 from .sentence_pieces import encode_documents
@@ -79,6 +80,10 @@ def op11_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(table(spark, sf_dir, "documents"), word_bpe())
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tampered_manifest(table(spark, sf_dir, "documents"))
+
+
 def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base columns of op7, which SQL can express."""
     return judged_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")

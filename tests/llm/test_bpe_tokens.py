@@ -65,8 +65,8 @@ def test_a_small_memo_changes_nothing(monkeypatch):
 def test_documents(spark, odd, library):  # noqa: F811
     encoded = bpe_tokens.encode_documents(odd, word_bpe())
     rows = encoded.collect()
-    texts = [r.text for r in odd.select("text").collect()]
-    expected = [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    given = odd.select("doc_id", "text").collect()
+    expected = [e.ids for e in library.encode_batch([r.text or "" for r in given], add_special_tokens=False)]
     assert sorted((r.n_tokens, r.ids) for r in rows) == sorted((len(e), e) for e in expected)
     assert sorted(str(r.doc_id) for r in rows) == sorted(str(r.doc_id) for r in odd.select("doc_id").collect())
     decoded = bpe_tokens.decode_documents(encoded, word_bpe())
@@ -74,7 +74,7 @@ def test_documents(spark, odd, library):  # noqa: F811
     digests = {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe_tokens.encoding_digests(odd, word_bpe()).collect()}
     sha = lambda b: hashlib.sha256(b).hexdigest()
     assert digests == {
-        (r.doc_id, len(e), sha(array("I", e).tobytes()), sha(library.decode(e, skip_special_tokens=False).encode())) for r, e in zip(odd.collect(), expected)
+        (r.doc_id, len(e), sha(array("I", e).tobytes()), sha(library.decode(e, skip_special_tokens=False).encode())) for r, e in zip(given, expected)
     }
     assert bpe_tokens.encoding_digests(odd.limit(0), word_bpe()).count() == 0
     nulls = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
