@@ -105,8 +105,47 @@ _CRC = """xor(list_reduce(list_concat([4294967295::ubigint], list_transform(rang
     lambda c, b: list_reduce(list_concat([xor(c, b)], list_transform(range(8), lambda i: 0::ubigint)), lambda x, y: xor(x >> 1, case when x & 1 = 1 then 3988292384::ubigint else 0::ubigint end))), 4294967295::ubigint)"""
 
 
+def _merkle_sql(levels: int = 8) -> str:
+    """16-ary levels, spelled out; a level above a tree's root leaves its only node as it is. 8 levels hold 4e9 leaves."""
+
+    def tree(name: str, leaves: str) -> str:
+        """Tables {name}0 .. {name}{levels} (tree, i, d), and in {name}k the children (c) of each node."""
+        out = [f"{name}0 as ({leaves})"]
+        for k in range(1, levels + 1):
+            out.append(
+                f"""{name}{k} as (select tree, i // 16 as i, case when any_value(n) = 1 then any_value(d) else sha256(string_agg(d, '' order by i)) end as d,
+                case when any_value(n) = 1 then [] else list(d order by i) end as c from (select *, count(*) over (partition by tree) as n from {name}{k - 1}) group by tree, i // 16)"""
+            )
+        return ", ".join(out)
+
+    def siblings(name: str, i: str) -> tuple[str, str]:
+        """Joins to the parents of node i, and for each level the children without the node's own."""
+        at = [f"({i} // {16**k})" for k in range(levels + 1)]
+        joins = " ".join(f"join {name}{k} on {name}{k}.tree is not distinct from x.tree and {name}{k}.i = {at[k]}" for k in range(1, levels + 1))
+        lists = ", ".join(f"{{'at': {at[k]} % 16 + 1, 'c': {name}{k + 1}.c}}" for k in range(levels))
+        return joins, f"list_filter([{lists}], lambda s: len(s.c) > 0)"
+
+    f = {c: f"coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')" for c in ("doc_id", "source", "lang", "n_chars", "text")}
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    shown = f"coalesce(strlen({low})::varchar || ':' || {low}, '-')"
+    lower_joins, lower_list = siblings("l", "x.i")
+    upper_joins, upper_list = siblings("u", "x.i")
+    return f"""with h as (select doc_id, source, sha256({' || '.join(f.values())}) as leaf, case when doc_id is not null and {_CRC} % 5 = 0 then sha256({' || '.join([*f.values()][:4])} || {shown}) end as altered from documents),
+        x as (select *, source as tree, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as i from h),
+        {tree('l', 'select tree, i, leaf as d from x')}, roots as (select tree as source, d from l{levels}),
+        {tree('u', "select 'all' as tree, row_number() over (order by source nulls first) - 1 as i, d from roots")},
+        su as (select 'all' as tree, source, d as subroot, row_number() over (order by source nulls first) - 1 as i from roots),
+        up as (select source, subroot, {upper_list} as steps from su x {upper_joins}),
+        lo as (select x.doc_id, x.source, leaf, altered, {lower_list} as steps from x {lower_joins}),
+        p as (select lo.doc_id, leaf, coalesce(altered, leaf) as start, subroot, list_concat(lo.steps, up.steps) as steps, (select d from u{levels}) as root from lo join up on up.source is not distinct from lo.source),
+        q as (select *, list_transform(steps, lambda s: {{'b': array_to_string(s.c[:s.at - 1], ''), 'a': array_to_string(s.c[s.at + 1:], '')}}) as sides from p),
+        r as (select *, list_reduce(list_concat([start], list_transform(sides, lambda s: s.b || '|' || s.a)), lambda d, s: sha256(split_part(s, '|', 1) || d || split_part(s, '|', 2))) as folded_root from q)
+        select doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(sides, lambda s: s.b || s.a), '')) as proof_sha256, folded_root, folded_root = root as verified from r"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op12_merkle_manifest": _merkle_sql(),
         "op5_substring_dedup": f"""with d as (select doc_id, regexp_extract_all(coalesce(text, ''), {_WORD}) as w from documents),
             win as (select doc_id, i, array_to_string(w[i:i + 19], ' ') as t from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from d)),
             late as (select doc_id, i from (select doc_id, i, row_number() over (partition by t order by doc_id, i) as r from win) where r > 1),
