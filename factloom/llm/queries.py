@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .bpe_tokens import encoding_digests
 from .common import table
+from .conversation_repair import damaged, repair_report
 from .decontamination import contaminated
 from .line_dedup import remove_repeated_lines
 from .lm_mixing import lm_scores
@@ -84,6 +85,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tampered_manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(damaged(table(spark, sf_dir, "conversations")))
+
+
 def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base columns of op7, which SQL can express."""
     return judged_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
