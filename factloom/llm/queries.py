@@ -105,11 +105,17 @@ def queries() -> dict:
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-#: crc32(doc_id as text), bit by bit.
-_CRC = """xor(list_reduce(list_concat([4294967295::ubigint], list_transform(range(1, length(doc_id::varchar) + 1), lambda i: ascii(substr(doc_id::varchar, i::int, 1))::ubigint)),
+
+
+def _crc(text: str) -> str:
+    """crc32 of an ASCII text, bit by bit."""
+    return f"""xor(list_reduce(list_concat([4294967295::ubigint], list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i::int, 1))::ubigint)),
     lambda c, b: list_reduce(list_concat([xor(c, b)], list_transform(range(8), lambda i: 0::ubigint)), lambda x, y: xor(x >> 1, case when x & 1 = 1 then 3988292384::ubigint else 0::ubigint end))), 4294967295::ubigint)"""
 
 
+_CRC = _crc("doc_id::varchar")
+
+
 def _merkle_sql(levels: int = 8) -> str:
     """16-ary levels, spelled out; a level above a tree's root leaves its only node as it is. 8 levels hold 4e9 leaves."""
 
@@ -148,8 +154,41 @@ def _merkle_sql(levels: int = 8) -> str:
         select doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(sides, lambda s: s.b || s.a), '')) as proof_sha256, folded_root, folded_root = root as verified from r"""
 
 
+def _repair_sql() -> str:
+    """Forward over the rows: the least (cost, audit) of each state, with up to two insertions behind each row."""
+    blank = r"[^\x20\x09-\x0D]"
+    new = "case state when 'u' then 'a' else 'u' end"
+    insert = """select conv_id, k, state, cost, audit, script from s union all select conv_id, k, {new}, cost + 5, audit || 'I', list_append(script, case state when 'u' then 'assistant:' else 'user:' end) from s
+        union all select conv_id, k, case when state = 'u' then 'u' else 'a' end, cost + 10, audit || 'II', list_concat(script, case when state = 'u' then ['assistant:', 'user:'] else ['user:', 'assistant:'] end) from s""".format(new=new)
+    return f"""with recursive c as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key from conversations),
+        f as (select *, {_crc('key')} % 20 as fate from c),
+        d as (select conv_id, turn, case when fate = 4 then 'user' else role end as role, case fate when 1 then '' when 2 then translate(text, '.!?', '') else text end as text,
+            unnest(range(case fate when 0 then 0 when 3 then 2 else 1 end)) as copy from f),
+        o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text), copy) as k from d),
+        t as (select *, case when not regexp_matches(text, '{blank}') then 'blank' when row_number() over (partition by conv_id, role, text order by k) > 1 then 'duplicate'
+            when not regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') then 'truncated' else '' end as fault, substr(role, 1, 1) as x, lag(substr(role, 1, 1)) over (partition by conv_id order by k) as w from o),
+        best(conv_id, k, state, cost, audit, script) as (
+            with s as (select distinct conv_id, cast(0 as bigint) as k, '' as state, cast(0 as bigint) as cost, '' as audit, cast([] as varchar[]) as script from c)
+            {insert}
+            union all
+            (with step as (select b.*, r.role, r.text, r.x, r.fault, case when r.fault = 'truncated' then 5 else 0 end as more from best b join t r on r.conv_id is not distinct from b.conv_id and r.k = b.k + 1),
+            s as (select conv_id, k + 1 as k, state, cost + 2 as cost, audit || 'D' as audit, script from step
+                union all select conv_id, k + 1, x, cost + more, audit || 'K', list_append(script, role || ':' || text) from step
+                    where fault not in ('blank', 'duplicate') and ((x = 's' and state = '') or (x = 'u' and state <> 'u') or (x = 'a' and state = 'u'))
+                union all select conv_id, k + 1, {new}, cost + 1 + more, audit || 'R', list_append(script, case state when 'u' then 'assistant:' else 'user:' end || text) from step where fault not in ('blank', 'duplicate')),
+            i as ({insert})
+            select conv_id, k, state, cost, audit, script from i qualify row_number() over (partition by conv_id, state order by cost, audit) = 1)),
+        n as (select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+            count(*) filter (fault = 'truncated') as truncated, count(*) filter (w is not null and w || x not in ('su', 'ua', 'au')) as illegal from t group by 1),
+        ids as (select distinct conv_id from c)
+        select ids.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, cost, audit, sha256(array_to_string(script, chr(10))) as repaired_sha256
+        from ids left join n on n.conv_id is not distinct from ids.conv_id join best on best.conv_id is not distinct from ids.conv_id and best.k = coalesce(n.n, 0) and best.state in ('', 'a')
+        qualify row_number() over (partition by ids.conv_id order by cost, audit) = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op13_conversation_repair": _repair_sql(),
         "op12_merkle_manifest": _merkle_sql(),
         "op5_substring_dedup": f"""with d as (select doc_id, regexp_extract_all(coalesce(text, ''), {_WORD}) as w from documents),
             win as (select doc_id, i, array_to_string(w[i:i + 19], ' ') as t from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from d)),
