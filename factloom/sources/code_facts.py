@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.scalars import any_suffix, base_name, default_export_name, extension, file_kind, folder_of, format_size, glob_regex, package_name
 from factloom.sources import outline
+from factloom.sources.tokens import Tokens
 
 #: Globs that the scanner and the parser leave out, code and other suffixes, and what an import may leave out, in the order tried.
 SCAN_IGNORED = ["node_modules/**/*", ".git/**/*", "**/__test__/**", "**/*.test.{ts,tsx,js,jsx}"]
@@ -72,7 +73,7 @@ def nodes(files: DataFrame) -> DataFrame:
         schema = pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}.get(f.split()[1], pa.map_(pa.string(), pa.string()))) for n, f in zip(names, _NODE.split(", "))])
         for batch in it:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = outline.nodes(content or "")
+                found = outline.nodes(content or "", not path.endswith(".ts"))
                 yield pa.RecordBatch.from_pylist([{**n, "path": path, "more": list(n["more"].items())} for n in found], schema=schema)
 
     return files.select("path", "content").mapInArrow(run, _NODE)
@@ -83,7 +84,7 @@ def plain(files: DataFrame) -> DataFrame:
 
     def run(it):
         for batch in it:
-            texts = [outline.blanked(t or "", strings=False) for t in batch.column(1).to_pylist()]
+            texts = [Tokens(t or "", not p.endswith(".ts")).blanked(strings=False) for p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["path", "content"])
 
     return files.select("path", "content").mapInArrow(run, "path string, content string")
@@ -105,7 +106,8 @@ _MODULE = "array<struct<import_module:string,module_type:string,identifier:strin
 
 def imports(plain_files: DataFrame) -> DataFrame:
     """(path, decl_idx, import_module, module_type, identifier, specifier, raw). Side-effect imports have one row of type side_effect, `import()` one of type dynamic (dynamic_variable where a variable takes it)."""
-    rows = _found(plain_files, r"(?m)^[ \t]*import\s[^;]*?[\x22\x27][^\x22\x27\n]+[\x22\x27]").withColumn("specifier", F.regexp_extract("raw", "[\"']([^\"']+)[\"']$", 1))
+    rows = _found(plain_files, r"(?m)(?:^|;)[ \t]*import\b(?!\s*[(.])[^;=(]*?[\x22\x27][^\x22\x27\n]+[\x22\x27]").withColumn("raw", F.regexp_replace("raw", r"^[;\s]+", ""))
+    rows = rows.withColumn("specifier", F.regexp_extract("raw", "[\"']([^\"']+)[\"']$", 1))
     rows = rows.withColumn("head", F.regexp_extract("raw", r"(?s)import\s+(?:type\s+)?(.*?)\s*from\s*[\"']", 1))
     named = F.transform(_names(F.regexp_extract("head", r"(?s)\{(.*)\}", 1)), lambda x: F.struct(x.module.alias("import_module"), F.when(x.module == "default", "default").otherwise("named").alias("module_type"), x.identifier.alias("identifier")))
     space, default = F.regexp_extract("head", r"\*\s+as\s+([\w$]+)", 1), F.regexp_extract("head", r"^([\w$]+)", 1)
@@ -153,8 +155,8 @@ def lines(files: DataFrame) -> DataFrame:
 
 
 def calls(node_rows: DataFrame) -> DataFrame:
-    """(path, line, chain, argument): call chains such as a.b.c and the raw first argument."""
-    return node_rows.where("kind = 'call'").select("path", F.col("start_line").alias("line"), F.split("name", r"\.").alias("chain"), F.col("more")["argument"].alias("argument"))
+    """(path, line, chain, argument): call chains such as a.b.c, whose head may be any text, and the raw first argument."""
+    return node_rows.where("kind = 'call'").select("path", F.col("start_line").alias("line"), F.split(F.col("more")["chain"], "\x1f").alias("chain"), F.col("more")["argument"].alias("argument"))
 
 
 def jsx_elements(node_rows: DataFrame) -> DataFrame:

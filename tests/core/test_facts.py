@@ -43,7 +43,7 @@ def test_calls_parameters_and_tags():
 def test_keywords_outside_of_comments_and_strings_only():
     assert found("any", "start_line") == [(4,)] and found("as", "start_line") == [(11,)] and len(found("return", "start_line")) == 3
     node = next(n for n in outline.nodes("const a = b as string;") if n["kind"] == "as")
-    assert (node["start_line"], node["start_column"], node["text"]) == (1, 13, "const a = b as string;")
+    assert (node["start_line"], node["start_column"], node["text"]) == (1, 10, "const a = b as string;")
 
 
 def test_type_references_and_members():
