@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.scalars import in_excluded, is_test_file, squeezed, unquoted
-from factloom.operators import graph, relational
-from factloom.sources import code_facts
+from factloom.operators import binding, graph, relational
+from factloom.sources import code_facts, names
 from factloom.tables import durable
 
 #: Modules of the runtime that need no declaration.
@@ -38,7 +38,7 @@ class Facts(Mapping):
     """The facts of a project by name. Each is found when first asked for and written down, so that all analyzers that follow read tables."""
 
     NAMES = [
-        "files", "plain", "nodes", "imports", "re_exports", "exports", "calls", "jsx", "variables", "functions", "members", "type_refs", "symbols", "any", "as", "returns", "packages", "origins",
+        "files", "plain", "nodes", "imports", "re_exports", "exports", "calls", "jsx", "variables", "functions", "members", "type_refs", "symbols", "any", "as", "returns", "packages", "origins", "names", "bindings", "uses",
     ]
 
     def __init__(self, files: DataFrame, aliases: DataFrame):
@@ -79,6 +79,9 @@ class Facts(Mapping):
             "returns": lambda: code_facts.keywords(self["nodes"], "return"),
             "packages": lambda: code_facts.packages(self._files.where("path = 'package.json' or path like '%/package.json'")),
             "origins": lambda: _origins(self),
+            "names": lambda: names.names(code),
+            "bindings": lambda: binding.bound_names(self["names"]),
+            "uses": lambda: binding.resolved_uses(self["names"], self["bindings"]),
         }[name]()
 
     def _jsx(self) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators import graph
+from factloom.operators.containment import enclosing
 
 #: Groups of kinds.
 CATEGORIES = {
@@ -36,10 +37,10 @@ def parents(node_rows: DataFrame) -> DataFrame:
 
 
 def ancestors(node_rows: DataFrame) -> DataFrame:
-    """(path, id, ancestor, distance): all declarations around each node. Files are joined with themselves only where extents hold each other."""
-    inner = node_rows.select("path", "id", "pos", "end", "depth")
-    outer = node_rows.where(F.col("kind").isin(*CATEGORIES["declaration"][:6])).select("path", F.col("id").alias("ancestor"), F.col("pos").alias("p"), F.col("end").alias("e"), F.col("depth").alias("d"))
-    return inner.join(outer, "path").where("p <= pos and end <= e and d < depth").select("path", "id", "ancestor", (F.col("depth") - F.col("d")).alias("distance"))
+    """(path, id, ancestor, distance): all declarations around each node, the nearest at distance 1."""
+    outer = of_kind(node_rows, *CATEGORIES["declaration"][:6])
+    pairs = enclosing(outer.select("path", "id", "pos", "end"), node_rows.select("path", F.col("id").alias("item"), "pos", "end"), one_table=True)
+    return pairs.select("path", F.col("item").cast("int").alias("id"), F.col("id").cast("int").alias("ancestor"), "distance")
 
 
 def first_ancestor(node_rows: DataFrame, *kinds: str) -> DataFrame:
@@ -58,18 +59,27 @@ def children(node_rows: DataFrame) -> DataFrame:
     return node_rows.where("parent >= 0").groupBy("path", F.col("parent").alias("id")).agg(F.array_sort(F.collect_list("id")).alias("children"))
 
 
+def _nearest(points: DataFrame, at: str, outer: DataFrame, kept: list[str]) -> DataFrame:
+    """points with the columns `kept` of the innermost row of outer (path, id, pos, end, nth) around column `at`."""
+    wanted = points.select("path", at).distinct()
+    # The place itself tells a point of a file apart.
+    hit = enclosing(outer.select("path", "id", "pos", "end", "nth"), wanted.select("path", F.col(at).cast("long").alias("item"), F.col(at).alias("pos"), (F.col(at) + 1).alias("end")), nearest=True)
+    hit = hit.select("path", F.col("item").alias("_at"), F.col("id").alias("_id"))
+    found = wanted.withColumn("_at", F.col(at).cast("long")).join(hit, ["path", "_at"]).join(outer.withColumn("_id", F.col("id").cast("long")).select("path", "_id", *kept), ["path", "_id"])
+    return found.select("path", at, *kept)
+
+
 def node_at(node_rows: DataFrame, points: DataFrame) -> DataFrame:
-    """points (path, offset) with the node of the smallest extent around: id, kind, name."""
-    hit = points.join(node_rows, "path").where("pos <= offset and offset < end")
-    best = hit.groupBy("path", "offset").agg(F.min_by(F.struct("id", "kind", "name"), F.struct(F.col("end") - F.col("pos"), F.col("id"))).alias("n"))
-    return best.select("path", "offset", "n.*")
+    """points (path, offset) with the node of the smallest extent around: id, kind, name; of equal extents the first."""
+    return _nearest(points, "offset", node_rows.withColumn("nth", -F.col("id")), ["id", "kind", "name"])
 
 
 def symbol_at(node_rows: DataFrame, points: DataFrame) -> DataFrame:
     """points (path, line) with the smallest declaration around: name, kind, start_line, end_line."""
-    hit = points.join(node_rows.where(F.col("kind").isin("function", "class", "interface", "type", "enum", "variable")), "path").where("line between start_line and end_line")
-    best = hit.groupBy("path", "line").agg(F.min_by(F.struct("name", "kind", "start_line", "end_line"), F.struct(F.col("end") - F.col("pos"), F.col("id"))).alias("n"))
-    return best.select("path", "line", "n.*")
+    # Extents in lines; of those that share their lines the one with the fewest letters is the innermost.
+    outer = of_kind(node_rows, "function", "class", "interface", "type", "enum", "variable").withColumn("nth", F.col("pos") - F.col("end"))
+    outer = outer.withColumn("pos", F.col("start_line")).withColumn("end", F.col("end_line") + 1)
+    return _nearest(points, "line", outer, ["name", "kind", "start_line", "end_line"])
 
 
 def symbol_ids(symbols: DataFrame) -> DataFrame:

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import analyzers, bundle, graph, impact, navigation, results
+from factloom.operators import analyzers, binding, bundle, graph, impact, navigation, results
 from factloom.plans.catalog import _PARTS, _part_edges
-from factloom.sources import tsconfig
+from factloom.sources import code_facts, tsconfig
 from factloom.tables import durable, table
 
 _QUERIES: dict = {}
@@ -290,6 +290,35 @@ def project_ancestors(spark, d):
     return named.join(nodes.select("path", F.col("id").alias("up"), "name"), ["path", "up"]).select("path", "name", "inner_name")
 
 
+@_query("""select path, kind, name, 'f' || k as around, cast(1 as integer) as distance from f, (values ('parameter', 'x'), ('any', ''), ('as', ''), ('return', '')) n(kind, name) where size % 3 = 0
+    union all select a.path, n.kind, n.p || b.k, 'T' || a.k, 1 from edges join f a on a.k = src join f b on b.k = dst, (values ('member', 'm'), ('reference', 'T')) n(kind, p)""")
+def project_enclosing(spark, d):
+    """All declarations around each node, with their distance."""
+    nodes = facts(spark, d)["nodes"]
+    pairs = navigation.ancestors(nodes).join(nodes.select("path", "id", "kind", "name"), ["path", "id"])
+    return pairs.join(nodes.select("path", F.col("id").alias("ancestor"), F.col("name").alias("around")), ["path", "ancestor"]).select("path", "kind", "name", "around", "distance")
+
+
+@_query("""select path, 'variable' as kind, 'v' || k as name from f union all select path, 'return', '' from f where size % 3 = 0 union all select path, 'parameter', 'x' from f where size % 3 = 0
+    union all select path, 'any', '' from f where size % 3 = 0 union all select path, 'as', '' from f where size % 3 = 0""")
+def project_node_at(spark, d):
+    """The innermost node at the places where some texts stand."""
+    marks = {"export const v": 7, "  return v": 2, "(x: any)": 1, ": any) {": 2, " as number": 1}
+    content = code_facts.code_files(files(spark, d)).where("path like 'src/b%/p%'")
+    found = F.array(*[F.instr("content", m) + (n - 1) - F.when(F.instr("content", m) == 0, 1 << 20).otherwise(0) for m, n in marks.items()])
+    points = content.select("path", F.explode(found).alias("offset")).where("offset >= 0")
+    return navigation.node_at(facts(spark, d)["nodes"], points).select("path", "kind", "name")
+
+
+@_query("""select x.path, 'v' || x.k as name, 1 + (x.size % 3 = 0)::int + (select count(*) from edges where dst = x.k) + (select count(*) from ends where b = x.k) as "references",
+        1 + (select count(*) from edges where dst = x.k) + (select count(*) from ends where b = x.k) as files from f x
+    union all select x.path, 'T' || x.k, 1 + 2 * (select count(*) from edges where dst = x.k), 1 + (select count(*) from edges where dst = x.k) from f x
+    union all select path, 'y' || k, 2, 1 from f union all select path, 'z' || k, 1, 1 from f union all select path, 'f' || k, 1, 1 from f where size % 3 = 0 union all select path, 'text', 1, 1 from f""")
+def project_references(spark, d):
+    """Uses of each declaration by scope; the parameter x of a function is not the imported x."""
+    return binding.reference_counts(facts(spark, d)).select("path", "name", "references", "files")
+
+
 @_query("""select b.path as def_path, 'v' || b.k as name, count(*) as files from edges join f b on b.k = dst group by 1, 2""")
 def project_definitions(spark, d):
     own = navigation.definitions(facts(spark, d)).where("name like 'v%' and path <> def_path")
