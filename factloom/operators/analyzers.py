@@ -130,7 +130,8 @@ def finding_stats(facts, kind: str) -> DataFrame:
 def _origins(facts) -> DataFrame:
     """(path, name, origin_path, origin_name): what a name of a file stands for, its own or taken over through any number of hops and stars.
 
-    One table keyed by (path, name, origin) grows by its frontier; every few rounds it is written anew, so that the lineage stays short.
+    A file's own and named exports stand before starred ones, which are never taken over them; a name that stars bring from two different origins is ambiguous and not exported, here
+    and wherever it would be taken on. One table keyed by (path, name, origin) grows by its frontier; every few rounds it is written anew, so that the lineage stays short.
     """
     hops = facts["re_exports"].where("src_type = 'file'").select("path", "name", "src_path", "origin_name")
     local = facts["exports"].select("path", "name").distinct()
@@ -139,18 +140,23 @@ def _origins(facts) -> DataFrame:
     through = lists.join(facts["imports"].where("src_type = 'file' and module_type in ('named', 'default')"), ["path", "identifier"]).select("path", "name", "src_path", F.col("import_module").alias("origin_name"))
     hops = durable(hops.union(through).distinct(), "hops")
     own = local.join(through.select("path", "name"), ["path", "name"], "left_anti")
+    named = durable(local.union(hops.where("name <> '*'").select("path", "name")).distinct(), "named-exports")
     known = durable(own.select("path", "name", F.col("path").alias("origin_path"), F.col("name").alias("origin_name")), "origins")
     fresh, rounds = known, 0
+    direct, stars = hops.where("name <> '*'"), hops.where("name = '*'").select("path", "src_path")
     while True:
         k = fresh.select(F.col("path").alias("src_path"), F.col("name").alias("n"), "origin_path", F.col("origin_name").alias("o"))
-        step = hops.join(k, "src_path").where("origin_name = n or (origin_name = '*' and name = '*' and n <> 'default')")
-        step = step.select("path", F.when(F.col("name") == "*", F.col("n")).otherwise(F.col("name")).alias("name"), "origin_path", F.col("o").alias("origin_name")).distinct()
+        by_name = direct.join(k.withColumnRenamed("n", "origin_name"), ["src_path", "origin_name"]).select("path", "name", "origin_path", F.col("o").alias("origin_name"))
+        by_star = stars.join(k.where("n <> 'default'"), "src_path").select("path", F.col("n").alias("name"), "origin_path", F.col("o").alias("origin_name")).join(named, ["path", "name"], "left_anti")
+        step = by_name.union(by_star.select("path", "name", "origin_path", "origin_name")).distinct()
         fresh = durable(step.join(known, ["path", "name", "origin_path", "origin_name"], "left_anti"), "origins")
         if fresh.isEmpty():
-            return known
+            break
         known, rounds = known.union(fresh), rounds + 1
         if rounds % 4 == 0:
             known = durable(known, "origins")
+    single = known.groupBy("path", "name").agg(F.count("*").alias("n"), F.first("origin_path").alias("origin_path"), F.first("origin_name").alias("origin_name"))
+    return single.where("n = 1").select("path", "name", "origin_path", "origin_name")
 
 
 def re_export_stats(facts) -> DataFrame:
@@ -265,8 +271,8 @@ def api_tracer(facts, api_paths: str) -> DataFrame:
 
 
 def component_of(paths: DataFrame, components: DataFrame) -> DataFrame:
-    """paths (path) with the component (name, root) whose root is the longest folder above."""
-    found = relational.longest_prefix(paths.select("path").distinct(), "path", components.select("root"), "root")
+    """paths (path) with the component (name, root) whose root stands in the path, at its start or below other folders; the longest root counts."""
+    found = relational.folder_at_any_depth(paths.select("path").distinct(), "path", components.select("root"), "root")
     return found.join(components.select("name", "root"), "root").select("path", F.col("name").alias("component"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.scalars import base_name, short_hash
@@ -60,6 +60,17 @@ def final_names(types: DataFrame) -> DataFrame:
     return named.withColumn("again", again).withColumn("final_name", F.when(F.col("again") > 1, F.concat_ws("_", "final_name", short_hash(F.col("path")))).otherwise(F.col("final_name"))).drop("nth", "again")
 
 
+#: What a declaration's text consists of: strings and comments, member names with their colon, names with their dots, anything else.
+_WORDS = r"""(?s)"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`|//[^\n]*|/\*.*?\*/|[A-Za-z_$][\w$]*\??:|[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*|[^A-Za-z_$"'`/]+|."""
+
+
+def renamed_text(text: Column, rules: Column) -> Column:
+    """text with all names of the map rules replaced at once, so that no rule meets what another one wrote; strings, comments and member names stay. Of a dotted name that is in no rule the first part counts."""
+    head = lambda w: F.substring_index(w, ".", 1)
+    one = lambda w: F.coalesce(rules[w], F.when(w.contains("."), F.concat(rules[head(w)], F.substring(w, F.length(head(w)) + 1, F.length(w)))), w)
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_WORDS), F.lit(0)), one), "")
+
+
 def bundle(facts, entries: DataFrame) -> DataFrame:
     """(final_name, path, type, text): the declarations of the closure, references rewritten to final names, in order of final names."""
     names = durable(final_names(closure(facts, entries)), "final-names")
@@ -68,9 +79,8 @@ def bundle(facts, entries: DataFrame) -> DataFrame:
     bound = _bindings(facts).join(names.toDF("to_path", "to_type", "final_name"), ["to_path", "to_type"]).where("reference <> final_name")
     bound = bound.join(facts["type_refs"].select("path", "type", "reference"), ["path", "reference"]).select("path", "type", "reference", "final_name")
     own = renamed.select(F.col("to_path").alias("path"), F.col("to_type").alias("type"), F.col("to_type").alias("reference"), "final_name")
-    rules = bound.union(own).groupBy("path", "type").agg(F.array_sort(F.collect_set(F.struct("reference", "final_name"))).alias("rules"))
-    # Words are replaced one rule after the other; a rule's word is quoted, so dots stand for themselves.
-    rewritten = F.expr(r"aggregate(coalesce(rules, array()), text, (t, r) -> regexp_replace(t, concat('(?<![\\w$.])', replace(r.reference, '.', '\\.'), '(?![\\w$])'), replace(r.final_name, '$', '\\$')))")
+    rules = bound.union(own).groupBy("path", "type").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("reference", "final_name")))).alias("rules"))
+    rewritten = renamed_text(F.col("text"), F.coalesce("rules", F.create_map().cast("map<string,string>")))
     out = names.join(texts, ["path", "type"]).join(rules, ["path", "type"], "left").select("final_name", "path", "type", rewritten.alias("text"))
     return out.orderBy("final_name")
 

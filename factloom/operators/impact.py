@@ -81,7 +81,10 @@ def by_risk(impacts: DataFrame, risk: str, name: str) -> DataFrame:
 def classify_changed(changed: DataFrame, manifest: DataFrame) -> DataFrame:
     """(path, category, name): changed files by manifest (name, type, path): component, functions or other; a component wins, then the deepest folder."""
     paths = changed.select("path").distinct()
-    hit = paths.join(manifest.select("name", F.col("type"), F.col("path").alias("folder")), in_folder(F.col("path"), F.col("folder")))
+    # A file is in a folder that is the path itself or one of its leading parts.
+    parts = F.split("path", "/")
+    up = paths.withColumn("folder", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))))
+    hit = up.join(manifest.select("name", F.col("type"), F.col("path").alias("folder")), "folder")
     best = hit.groupBy("path").agg(F.min_by(F.struct("type", "name"), F.struct(F.col("type") != "component", -F.length("folder"), F.col("name"))).alias("b"))
     return paths.join(best, "path", "left").select("path", F.coalesce("b.type", F.lit("other")).alias("category"), F.coalesce("b.name", F.lit("")).alias("name"))
 

@@ -38,6 +38,20 @@ def longest_prefix(items: DataFrame, path: str, prefixes: DataFrame, prefix: str
     return ancestors.join(prefixes.select(prefix).distinct(), prefix).groupBy(*items.columns).agg(F.max_by(prefix, F.length(prefix)).alias(prefix))
 
 
+def segment_runs(items: DataFrame, path: str, run: str) -> DataFrame:
+    """items with `run`, one row for every run of consecutive folders of the path, and `before`, how many folders stand before it. A folder at any depth is then found by an equi-join."""
+    folders = F.filter(F.split(F.regexp_replace(path, r"/?[^/]*$", ""), "/"), lambda x: x != "")
+    n = F.size(folders)
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.transform(F.sequence(i, F.greatest(n, i)), lambda j: F.struct((i - 1).alias("before"), F.array_join(F.slice(folders, i, j - i + 1), "/").alias("run")))))
+    return items.withColumn("_r", F.explode(runs)).select(*items.columns, F.col("_r.before").alias("before"), F.col("_r.run").alias(run))
+
+
+def folder_at_any_depth(items: DataFrame, path: str, folders: DataFrame, folder: str) -> DataFrame:
+    """Each item with the longest of the folders whose parts stand in its path one after the other; of equally long ones the first in the path."""
+    hits = segment_runs(items, path, folder).join(folders.select(folder).distinct(), folder)
+    return hits.groupBy(*items.columns).agg(F.max_by(folder, F.struct(F.length(folder), -F.col("before"), F.col(folder))).alias(folder))
+
+
 def starts_with_join(items: DataFrame, value: str, prefixes: DataFrame, prefix: str, length: int) -> DataFrame:
     """Items joined to all prefixes of one length."""
     return items.withColumn(prefix, F.substring(value, 1, length)).join(prefixes.select(prefix).distinct(), prefix)

@@ -99,11 +99,11 @@ def store_database(facts, folder: str, fmt: str = "parquet") -> None:
 
 def json_values(rows: DataFrame, path: str, text: str = "value") -> DataFrame:
     """rows with found: the value at a JSON path of the text (`$.a.b[0]`), as JSON; null where there is none. Conditions, sorting and grouping are for DataFrames."""
-    return rows.withColumn("found", F.expr(f"to_json(variant_get(try_parse_json({text}), '{path}', 'variant'))"))
+    return rows.withColumn("found", F.to_json(F.variant_get(F.try_parse_json(text), path, "variant")))
 
 
 def json_elements(rows: DataFrame, path: str, text: str = "value") -> DataFrame:
     """(source, key, nth, found): one row for each element of the array (or field of the object) at a JSON path of the text; texts without one give none."""
-    inner = rows.select(F.col(text).alias("source"), F.expr(f"variant_get(try_parse_json({text}), '{path}', 'variant')").alias("_v"))
+    inner = rows.select(F.col(text).alias("source"), F.variant_get(F.try_parse_json(text), path, "variant").alias("_v"))
     each = rows.sparkSession.tvf.variant_explode(F.col("_v").outer())
     return inner.lateralJoin(each).select("source", "key", F.col("pos").alias("nth"), F.expr("to_json(value)").alias("found"))

@@ -209,36 +209,44 @@ def symbols(node_rows: DataFrame, export_rows: DataFrame) -> DataFrame:
     return own.join(out, ["path", "name"], "left").select("path", "name", "kind", "start_line", "end_line", F.col("export_type").isNotNull().alias("exported"), "export_type")
 
 
-def resolve(facts: DataFrame, files: DataFrame, aliases: DataFrame) -> DataFrame:
-    """facts (path, specifier, ...) with src_type, src_path and npm_pkg: each specifier's ranked candidates are joined to the files, the first hit wins.
+def candidates(wanted: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(path, specifier, rank, nth, src_path): the files that each wanted (path, specifier) may mean, the least (rank, nth) first.
 
     aliases (alias, target), or (config_dir, alias, target) for those of the nearest configuration: a specifier that is `alias` or starts with `alias/` is
-    looked up below target, the longest alias first. Aliases meet the specifier's own leading parts in an equi-join, so their number does not matter.
-    """
-    facts = facts.withColumn("_id", F.struct("path", "specifier"))
-    wanted = facts.select("_id", "path", "specifier").distinct()
+    looked up below target, the longest alias first; the empty alias is a base folder, below which bare specifiers are tried last. Aliases meet the specifier's own leading parts in an
+    equi-join, so their number does not matter."""
+    wanted = wanted.select("path", "specifier").distinct()
     near = wanted.where(F.col("specifier").startswith(".")).withColumn("stem", F.concat_ws("/", F.nullif(folder_of(F.col("path")), F.lit("")), "specifier")).withColumn("rank", F.lit(0))
-    parts = F.split("specifier", "/")
-    heads = wanted.where(~F.col("specifier").startswith(".")).withColumn("alias", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))))
-    keys = ["alias"]
+    bare, keys = wanted.where(~F.col("specifier").startswith(".")), ["alias"]
     if "config_dir" in aliases.columns:
         from factloom.sources.tsconfig import nearest
 
-        heads = nearest(heads, aliases.select("config_dir").distinct())
-        keys = ["config_dir", "alias"]
-    far = heads.join(aliases, keys).withColumn("stem", F.expr("concat_ws('/', nullif(target, ''), nullif(substring(specifier, length(alias) + 2), ''))")).withColumn("rank", -F.length("alias"))
-    bare = wanted.where(~F.col("specifier").startswith(".")).withColumn("stem", F.col("specifier")).withColumn("rank", F.lit(2))
-    stems = near.select("_id", "stem", "rank").union(far.select("_id", "stem", "rank")).union(bare.select("_id", "stem", "rank"))
-    if "config_dir" in aliases.columns:
-        # The empty alias is a configuration's base folder.
-        base = nearest(wanted.where(~F.col("specifier").startswith(".")), aliases.select("config_dir").distinct()).join(aliases.where("alias = ''"), "config_dir")
-        stems = stems.union(base.select("_id", F.concat_ws("/", F.nullif("target", F.lit("")), "specifier").alias("stem"), F.lit(1).alias("rank")))
-    stems = stems.withColumn("stem", plain_path(F.col("stem")))
-    tried = stems.select("_id", "rank", F.posexplode(F.array(*[F.concat("stem", F.lit(e)) for e in LEFT_OUT])).alias("nth", "src_path"))
-    found = tried.join(files.select(F.col("path").alias("src_path")), "src_path").groupBy("_id").agg(F.min_by("src_path", F.struct("rank", "nth")).alias("src_path"))
-    out = facts.join(found, "_id", "left").drop("_id")
+        bare, keys = nearest(bare, aliases.select("config_dir").distinct()), ["config_dir", "alias"]
+    parts = F.split("specifier", "/")
+    heads = bare.withColumn("alias", F.explode(F.array_append(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/")), F.lit(""))))
+    rest = F.when(F.col("alias") == "", F.col("specifier")).otherwise(F.expr("substring(specifier, length(alias) + 2)"))
+    far = heads.join(aliases, keys).withColumn("stem", F.concat_ws("/", F.nullif("target", F.lit("")), F.nullif(rest, F.lit("")))).withColumn("rank", F.when(F.col("alias") == "", 1).otherwise(-F.length("alias")))
+    stems = near.select("path", "specifier", "stem", "rank").union(far.select("path", "specifier", "stem", "rank")).withColumn("stem", plain_path(F.col("stem")))
+    return stems.select("path", "specifier", "rank", F.posexplode(F.array(*[F.concat("stem", F.lit(e)) for e in LEFT_OUT])).alias("nth", "src_path"))
+
+
+def first_existing(tried: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, specifier, src_path): the first candidate of each specifier that is a file."""
+    hit = tried.join(files.select(F.col("path").alias("src_path")), "src_path")
+    return hit.groupBy("path", "specifier").agg(F.min_by("src_path", F.struct("rank", "nth")).alias("src_path"))
+
+
+def with_sources(facts: DataFrame, found: DataFrame) -> DataFrame:
+    """facts (path, specifier, ...) with src_type, src_path and npm_pkg, by found (path, specifier, src_path)."""
+    out = facts.join(found, ["path", "specifier"], "left")
     npm = F.col("src_path").isNull()
-    return out.withColumn("npm_pkg", F.when(npm & ~F.col("specifier").startswith("."), package_name(F.col("specifier")))).withColumn("src_type", F.when(npm, "npm").otherwise("file"))
+    out = out.withColumn("npm_pkg", F.when(npm & ~F.col("specifier").startswith("."), package_name(F.col("specifier")))).withColumn("src_type", F.when(npm, "npm").otherwise("file"))
+    return out.select(*facts.columns, "src_path", "npm_pkg", "src_type")
+
+
+def resolve(facts: DataFrame, files: DataFrame, aliases: DataFrame) -> DataFrame:
+    """facts (path, specifier, ...) with src_type, src_path and npm_pkg; aliases as in candidates()."""
+    return with_sources(facts, first_existing(candidates(facts, aliases), files))
 
 
 def plain_path(path: Column) -> Column:

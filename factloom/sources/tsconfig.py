@@ -53,13 +53,14 @@ def merged(config_rows: DataFrame) -> DataFrame:
 
 
 def aliases(config_rows: DataFrame) -> DataFrame:
-    """(config_dir, alias, target) for code_facts.resolve(): only the first target of a path counts; the base folder has the empty alias."""
+    """(config_dir, alias, target) for code_facts.resolve(): only the first target of a path counts; the base folder has the empty alias. Of several configurations in one folder the leading one counts."""
+    config_rows = leading(config_rows)
     base = F.coalesce("base_url", "config_dir")
     listed = config_rows.where("paths is not null").select("config_dir", base.alias("base"), F.explode("paths").alias("alias", "targets"))
     target = plain_path(F.concat_ws("/", F.nullif("base", F.lit("")), format_alias(F.element_at("targets", 1))))
     folder = config_rows.where("base_url is not null").select("config_dir", F.lit("").alias("alias"), F.col("base_url").alias("target"))
     none = config_rows.where("base_url is null and paths is null").select("config_dir", F.lit(" ").alias("alias"), F.lit("").alias("target"))
-    return listed.select("config_dir", format_alias(F.col("alias")).alias("alias"), target.alias("target")).union(folder).union(none).dropDuplicates(["config_dir", "alias"])
+    return listed.select("config_dir", format_alias(F.col("alias")).alias("alias"), target.alias("target")).union(folder).union(none)
 
 
 def nearest(items: DataFrame, folders: DataFrame) -> DataFrame:
@@ -68,6 +69,55 @@ def nearest(items: DataFrame, folders: DataFrame) -> DataFrame:
     return items.join(up.select("path", F.substring("_f", 2, 1 << 30).alias("config_dir")), "path")
 
 
+def leading(config_rows: DataFrame) -> DataFrame:
+    """One configuration for each folder: tsconfig.json, else jsconfig.json, else the first by name."""
+    name = F.regexp_replace("path", "^.*/", "")
+    order = F.struct(F.when(name == "tsconfig.json", 0).when(name == "jsconfig.json", 1).otherwise(2), F.col("path"))
+    return config_rows.join(config_rows.groupBy("config_dir").agg(F.min_by("path", order).alias("path")), ["config_dir", "path"], "left_semi")
+
+
+def glob_column(glob: Column) -> Column:
+    """A regular expression for each glob of a column; a folder stands for all files below it."""
+    bare = ~glob.contains("*") & ~F.regexp_replace(glob, "^.*/", "").contains(".")
+    whole = F.when(bare, F.concat(F.regexp_replace(glob, "/+$", ""), F.lit("/**"))).otherwise(glob)
+    out = F.regexp_replace(whole, r"([.+()\[\]{}^$|\\])", r"\\$1")
+    # Wildcards, the longer ones first; marks keep what is done apart from what is to do.
+    for mark, wild in (("\x01", r"\*\*/"), ("\x02", r"\*\*"), ("\x03", r"\*"), ("\x04", r"\?")):
+        out = F.regexp_replace(out, wild, mark)
+    for mark, text in (("\x01", "(?:.*/)?"), ("\x02", ".*"), ("\x03", "[^/]*"), ("\x04", "[^/]")):
+        out = F.replace(out, F.lit(mark), F.lit(text))
+    return F.concat(F.lit("^"), out, F.lit("$"))
+
+
+def globs(config_rows: DataFrame) -> DataFrame:
+    """(config, kind, head, pattern): include, exclude and files of configurations as rows, below their folders. head are the leading parts without a wildcard, pattern a regular expression.
+    Without include and files a configuration takes all files below its folder; without exclude it leaves out installed packages and, below them, nothing else."""
+    whole = F.array(F.lit("**/*"))
+    given = F.map_from_arrays(
+        F.array(F.lit("include"), F.lit("exclude"), F.lit("files")),
+        F.array(F.coalesce("include", F.when(F.col("files").isNull(), whole).otherwise(F.array().cast("array<string>"))), F.coalesce("exclude", F.array(F.lit("**/node_modules/**"))), F.coalesce("files", F.array().cast("array<string>"))),
+    )
+    rows = config_rows.select(F.col("path").alias("config"), "config_dir", F.explode(given).alias("kind", "list")).select("config", "config_dir", "kind", F.explode("list").alias("glob"))
+    wild = F.regexp_extract("glob", r"^([^*?]*/)?", 1)
+    inner = plain_path(F.concat_ws("/", F.nullif("config_dir", F.lit("")), F.when(F.col("glob").rlike(r"[*?]"), wild).otherwise(F.col("glob"))))
+    full = F.concat_ws("/", F.nullif(inner, F.lit("")), F.when(F.col("glob").rlike(r"[*?]"), F.regexp_replace("glob", r"^[^*?]*/", "")))
+    return rows.select("config", "config_dir", "kind", inner.alias("head"), glob_column(full).alias("pattern"))
+
+
+def owned(files: DataFrame, config_rows: DataFrame) -> DataFrame:
+    """(path, config): for each file (path) the configuration that owns it: of those whose include or files take it and whose exclude doesn't, the one in the deepest folder, the leading
+    name first. Every file meets only patterns that begin with its own leading parts, in an equi-join; files that are listed cannot be excluded."""
+    rows = globs(config_rows)
+    parts = F.split("path", "/")
+    up = files.select("path").distinct().withColumn("head", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))))
+    hits = up.join(rows, "head").where((F.col("kind") == "files") & (F.col("path") == F.col("head")) | (F.col("kind") != "files") & F.expr("path rlike pattern"))
+    kinds = hits.groupBy("path", "config", "config_dir").agg(F.collect_set("kind").alias("kinds"))
+    has = lambda k: F.array_contains("kinds", k)
+    name = F.regexp_replace("config", "^.*/", "")
+    order = F.struct(-F.length("config_dir"), F.when(name == "tsconfig.json", 0).when(name == "jsconfig.json", 1).otherwise(2), F.col("config"))
+    return kinds.where(has("files") | has("include") & ~has("exclude")).groupBy("path").agg(F.min_by("config", order).alias("config"))
+
+
 def matches(path: Column, patterns: list[str]) -> Column:
     """Whether a path matches one of the globs and none of those that start with `!`."""
     hit = lambda globs: F.lit(False) if not globs else path.rlike("|".join(glob_regex(g if "*" in g or "." in g.split("/")[-1] else g.rstrip("/") + "/**") for g in globs))
