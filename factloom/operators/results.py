@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.sources.versions import Versions
+
 
 @dataclass
 class Result:
@@ -90,11 +92,14 @@ DATABASE = [
 ]
 
 
-def store_database(facts, folder: str, fmt: str = "parquet") -> None:
-    """The eight tables below folder, each row under a key of its content instead of a counter."""
+def store_database(facts, folder: str, fmt: str = "parquet") -> int:
+    """The eight tables below folder, each row under a key of its content instead of a counter; all of them become visible together, as a new version. Read them with
+    Versions(spark, folder).table(name)."""
+    tables = {}
     for table, fact, columns in DATABASE:
         rows = facts[fact].select(*columns).distinct()
-        rows.select(F.sha2(F.to_json(F.struct(*columns)), 256).alias("id"), *columns).write.mode("overwrite").format(fmt).save(f"{folder}/{table}")
+        tables[table] = rows.select(F.sha2(F.to_json(F.struct(*columns)), 256).alias("id"), *columns)
+    return Versions(next(iter(tables.values())).sparkSession, folder).publish(tables, fmt=fmt)
 
 
 def json_values(rows: DataFrame, path: str, text: str = "value") -> DataFrame:

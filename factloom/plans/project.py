@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from factloom.operators import analyzers, binding, bundle, graph, impact, navigation, results
 from factloom.plans.catalog import _PARTS, _part_edges
 from factloom.sources import code_facts, tsconfig
-from factloom.tables import durable, table
+from factloom.tables import CLEANED, durable, table
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -53,8 +53,8 @@ def files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def facts(spark: SparkSession, d: str) -> analyzers.Facts:
-    """The facts of the project; found once a session and folder."""
-    key = (spark.sparkContext.applicationId, d)
+    """The facts of the project; found once a session and folder, and again after cleanup()."""
+    key = (spark.sparkContext.applicationId, CLEANED[0], d)
     if key not in _MADE:
         own = durable(files(spark, d), "project")
         merged = tsconfig.merged(tsconfig.configs(own))

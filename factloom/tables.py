@@ -29,8 +29,13 @@ def intermediates(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/factloom/{spark.sparkContext.applicationId}"
 
 
+#: How often intermediates were deleted; what remembers frames over them compares it.
+CLEANED = [0]
+
+
 def cleanup(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application; to be called when no frame that came from them is needed any more."""
+    CLEANED[0] += 1
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(intermediates(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from factloom.functions import scalars
 from factloom.operators import analyzers, bundle, impact, navigation, results
 from factloom.sources import code_facts, diff, manifest, outline, tsconfig
+from factloom.sources.versions import Versions
 
 SOURCE = """import a, { b as c } from './x' // a comment: any
 export const enum Color { Red, Blue }
@@ -161,7 +162,7 @@ def test_results_and_fields(spark, tmp_path):
     assert row.list[0].asDict() == {"k": "y"} and row.m == {"o": "n"}
     assert results.without_fields(df, ["list.k"]).first().list[0].asDict() == {"raw": "x"}
     results.store_database(facts, str(tmp_path / "db"))
-    assert spark.read.parquet(str(tmp_path / "db/imports")).where("id is null").count() == 0
+    assert Versions(spark, str(tmp_path / "db")).table("imports").where("id is null").count() == 0
     texts = spark.createDataFrame([('{"a": {"b": [1, 2]}}',), ("broken",)], "value string")
     assert [r.found for r in results.json_values(texts, "$.a.b[1]").collect()] == ["2", None]
     assert {r.found for r in results.json_elements(texts, "$.a.b").collect()} == {"1", "2"}
