@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.scalars import any_suffix, base_name, default_export_name, extension, file_kind, folder_of, format_size, glob_regex, package_name
-from factloom.sources import outline
+from factloom.sources import outline, readers
 from factloom.sources.tokens import Tokens
 
 #: Globs that the scanner and the parser leave out, code and other suffixes, and what an import may leave out, in the order tried.
@@ -25,27 +25,14 @@ _NODE = "path string, id int, parent int, depth int, kind string, name string, p
 
 
 def scan(spark, root: str, ignored: list[str] = SCAN_IGNORED) -> DataFrame:
-    """(path, file_name, ext, file_type, size_bytes, size_text, content) of the files below root; path is relative.
-
-    Paths alone are listed first, without reading any file; then only the folders that hold files to keep are read.
-    """
-    root = root.rstrip("/")
+    """(path, file_name, ext, file_type, size_bytes, size_text, content) of the files below root; path is relative. Ignored folders are never listed, and tasks list the others (see readers.py)."""
+    files = readers.source_tree(spark, root, ignored)
+    return files.select("path", base_name(F.col("path")).alias("file_name"), extension(F.col("path")).alias("ext"), file_kind(F.col("path")).alias("file_type"), "size_bytes", format_size(F.col("size_bytes")).alias("size_text"), "content")
 
-    def relative(df: DataFrame) -> DataFrame:
-        # The part of the full path behind the root, whatever scheme the reader puts in front.
-        tail = root.split("://", 1)[-1].lstrip("/")
-        return df.withColumn("full", F.col("path")).withColumn("path", F.expr(f"substring(path, locate('{tail}/', path) + {len(tail) + 1})"))
 
-    keep = F.lit(True)
-    for g in ignored:
-        keep = keep & ~F.col("path").rlike(glob_regex(g) if g.startswith("**/") else glob_regex("**/" + g))
-    listed = relative(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")).where(keep)
-    folders = [r.folder for r in listed.select(folder_of(F.col("full")).alias("folder")).distinct().toLocalIterator()]
-    if not folders:
-        folders = [root]
-    raw = relative(spark.read.format("binaryFile").load(folders)).where(keep)
-    files = raw.select("path", F.col("length").alias("size_bytes"), F.col("content").cast("string").alias("content"))
-    return files.select("path", base_name(F.col("path")).alias("file_name"), extension(F.col("path")).alias("ext"), file_kind(F.col("path")).alias("file_type"), "size_bytes", format_size(F.col("size_bytes")).alias("size_text"), "content")
+def scan_project(spark, root: str) -> DataFrame:
+    """The files that a parse takes: scan() without built, public, static and test folders."""
+    return scan(spark, root, SCAN_IGNORED + PARSE_IGNORED)
 
 
 def parsed_files(files: DataFrame, ignored: list[str] = PARSE_IGNORED) -> DataFrame:

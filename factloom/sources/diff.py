@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.scalars import absolute
+from factloom.sources.readers import revision_diff
 
 
-def diff_texts(spark, kind: str, value: str) -> DataFrame:
-    """(text) from a string, a file or folder of files, or a table that holds it (`table`, column text)."""
+def diff_texts(spark, kind: str, value: str, repository: str = ".") -> DataFrame:
+    """(text) from a string, a file or folder of files, a table that holds it (`table`, column text), the revisions `base...head` or `base` (against HEAD) of a repository (`revision`),
+    or a merge request's changes as its interface gives them, saved as JSON (`api`: a file or folder)."""
     if kind == "auto":
         kind = "string" if "diff --git " in value else "file"
     if kind == "string":
@@ -18,6 +20,11 @@ def diff_texts(spark, kind: str, value: str) -> DataFrame:
         return spark.read.text(value, wholetext=True).select(F.col("value").alias("text"))
     if kind == "table":
         return spark.read.parquet(value).select("text")
+    if kind == "revision":
+        base, _, head = value.partition("...")
+        return revision_diff(spark, repository, base, head or "HEAD")
+    if kind == "api":
+        return _of_api(merge_request_changes(spark, value))
     raise ValueError(f"unknown diff source: {kind}")
 
 
@@ -46,9 +53,23 @@ def changed_lines(diffs: DataFrame) -> DataFrame:
     return added.union(binary).distinct()
 
 
+def merge_request_changes(spark, path: str) -> DataFrame:
+    """(iid, old_path, new_path, diff) of merge requests saved as JSON: an object with `changes`, or a list of changes, a file each."""
+    entry = "struct<old_path string, new_path string, diff string, new_file boolean, deleted_file boolean>"
+    texts = spark.read.text(path, wholetext=True)
+    whole = F.from_json("value", f"struct<iid bigint, changes array<{entry}>>")
+    rows = texts.select(F.when(F.col("value").rlike(r"^\s*\["), F.struct(F.lit(None).cast("bigint").alias("iid"), F.from_json("value", f"array<{entry}>").alias("changes"))).otherwise(whole).alias("m"))
+    return rows.select("m.iid", F.explode("m.changes").alias("c")).select("iid", "c.old_path", "c.new_path", "c.diff")
+
+
+def _of_api(entries: DataFrame) -> DataFrame:
+    """(text) of entries (new_path, diff), whose hunks have no head."""
+    return entries.select(F.concat(F.lit("diff --git a/"), F.coalesce("old_path", "new_path") if "old_path" in entries.columns else F.col("new_path"), F.lit(" b/"), "new_path", F.lit("\n"), F.coalesce("diff", F.lit(""))).alias("text"))
+
+
 def changed_lines_of_api(entries: DataFrame) -> DataFrame:
-    """changed_lines() of entries (new_path, diff) as a merge-request interface gives them: hunks without a head."""
-    return changed_lines(entries.select(F.concat(F.lit("diff --git a/"), "new_path", F.lit(" b/"), "new_path", F.lit("\n"), F.coalesce("diff", F.lit(""))).alias("text")))
+    """changed_lines() of entries (new_path, diff) as a merge-request interface gives them."""
+    return changed_lines(_of_api(entries))
 
 
 def changed_files(diffs: DataFrame) -> DataFrame:
