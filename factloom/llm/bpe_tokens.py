@@ -30,7 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import column_of
+from .common import column_of, hold
 
 #: Symbols of a word up to which it takes part in the rounds.
 LONG = 512
@@ -250,6 +250,7 @@ def _slices(it):
 def _encoded(path: str):
     def run(it):
         model = bpe_model(path)
+        hold("bpe", bpe_model.cache_clear)
         for batch in _slices(it):
             packed = model.encode_batch(column_of(batch, "text").to_pylist())
             sizes = np.array([len(p) // 4 for p in packed], np.int64)

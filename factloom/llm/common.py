@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
@@ -19,6 +23,27 @@ BROADCAST_ROWS = 2_000_000
 MEMO_WORDS = 400_000
 
 
+#: How to clear what operators remember in this Python worker between tasks, by operator.
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def hold(owner: str, clear: Callable[[], None]) -> None:
+    """An operator remembers something in this worker; `clear` lets it go."""
+    _HELD[owner] = clear
+
+
+def release() -> None:
+    """At the start of another operator's task: let go what is held in this worker, and give the memory back to the system. Workers outlive stages, so that in a pipeline each
+    would otherwise keep what every stage before has remembered."""
+    if not _HELD:
+        return
+    while _HELD:
+        _HELD.popitem()[1]()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # not every system has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

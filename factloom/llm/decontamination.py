@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, column_of, durable, texts_of
+from .common import BROADCAST_ROWS, column_of, durable, release, texts_of
 
 K1, B = 1.2, 0.75
 PASSAGE, SHARD_ITEMS, SHARD_BYTES, BLOCKS = 64, 20_000, 16 << 20, 50
@@ -166,6 +166,7 @@ def _indexes(shard) -> list[ItemIndex]:
 
 def _searched(shard):
     def run(it):
+        release()
         indexes = _indexes(shard)
         for batch in it:
             rows = []

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, WordHashes, column_of, durable, hashed_words, keep_ids, mix, rolling, texts_of
+from .common import BROADCAST_ROWS, WordHashes, column_of, durable, hashed_words, keep_ids, mix, release, rolling, texts_of
 from .linking import link, shared_buckets
 
 BANDS, ROWS = 56, 8
@@ -61,6 +61,7 @@ _SIGNED = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"
 
 def _signatures(words: int):
     def run(it):
+        release()
         memo = WordHashes()
         for big in it:
             for at in range(0, big.num_rows, 512):
@@ -81,6 +82,7 @@ def _sets(words: int):
     """A row of node, size, both sums and the set itself for each text."""
 
     def run(it):
+        release()
         memo = WordHashes()
         for big in it:
             for at in range(0, big.num_rows, 512):

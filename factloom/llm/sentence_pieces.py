@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import MEMO_WORDS, column_of
+from .common import MEMO_WORDS, column_of, hold
 
 MARK = "▁"
 #: Pre-tokens of a generation of remembered paths.
@@ -194,6 +194,7 @@ def compile_model(path: str) -> PieceTransducer:
 def _encoder(path: str):
     def run(it):
         memo = _paths(path)
+        hold("sentence pieces", _paths.cache_clear)
         model = memo.model
         for big in it:
             for at in range(0, big.num_rows, 512):
