@@ -271,6 +271,15 @@ def project_type_closure(spark, d):
     return bundle.closure(facts(spark, d), first.select(F.lit("src/b11/index.ts").alias("path"), "type"))
 
 
+@_query(""", walk(entry, k) as (select folder || '/index.ts:T' || a, a from ends where folder in ('src/b11', 'src/b12', 'src/b13') union select entry, dst from walk join edges on src = k)
+    select entry, f.path, 'T' || f.k as type from walk join f using (k)""")
+def project_type_closures(spark, d):
+    """The types that each of three entries needs, by entry."""
+    first = facts(spark, d)["nodes"].where("kind = 'interface'").select(F.regexp_extract("path", "^src/b1[123]/", 0).alias("folder"), F.col("name").alias("type"), F.substring("name", 2, 20).cast("long").alias("k")).where("folder <> ''")
+    entries = first.groupBy("folder").agg(F.min_by("type", "k").alias("type")).select(F.concat("folder", F.lit("index.ts")).alias("path"), "type")
+    return bundle.closures(facts(spark, d), entries)
+
+
 @_query("""select f.path, 'f' || k as name, [{'name': 'x', 'type': 'any'}] as parameters from f where size % 3 = 0""")
 def project_functions(spark, d):
     own = facts(spark, d)["functions"]

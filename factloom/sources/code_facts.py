@@ -200,19 +200,23 @@ def candidates(wanted: DataFrame, aliases: DataFrame) -> DataFrame:
     """(path, specifier, rank, nth, src_path): the files that each wanted (path, specifier) may mean, the least (rank, nth) first.
 
     aliases (alias, target), or (config_dir, alias, target) for those of the nearest configuration: a specifier that is `alias` or starts with `alias/` is
-    looked up below target, the longest alias first; the empty alias is a base folder, below which bare specifiers are tried last. Aliases meet the specifier's own leading parts in an
+    looked up below target, the longest alias first (a null config_dir: those of every file); the empty alias is a base folder, below which bare specifiers are tried last. Aliases meet the specifier's own leading parts in an
     equi-join, so their number does not matter."""
     wanted = wanted.select("path", "specifier").distinct()
     near = wanted.where(F.col("specifier").startswith(".")).withColumn("stem", F.concat_ws("/", F.nullif(folder_of(F.col("path")), F.lit("")), "specifier")).withColumn("rank", F.lit(0))
-    bare, keys = wanted.where(~F.col("specifier").startswith(".")), ["alias"]
-    if "config_dir" in aliases.columns:
-        from factloom.sources.tsconfig import nearest
-
-        bare, keys = nearest(bare, aliases.select("config_dir").distinct()), ["config_dir", "alias"]
+    bare = wanted.where(~F.col("specifier").startswith("."))
     parts = F.split("specifier", "/")
     heads = bare.withColumn("alias", F.explode(F.array_append(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/")), F.lit(""))))
     rest = F.when(F.col("alias") == "", F.col("specifier")).otherwise(F.expr("substring(specifier, length(alias) + 2)"))
-    far = heads.join(aliases, keys).withColumn("stem", F.concat_ws("/", F.nullif("target", F.lit("")), F.nullif(rest, F.lit("")))).withColumn("rank", F.when(F.col("alias") == "", 1).otherwise(-F.length("alias")))
+    if "config_dir" in aliases.columns:
+        from factloom.sources.tsconfig import nearest
+
+        # Aliases without a configuration hold everywhere.
+        own, everywhere = aliases.where("config_dir is not null"), aliases.where("config_dir is null").drop("config_dir")
+        far = nearest(heads, own.select("config_dir").distinct()).join(own, ["config_dir", "alias"]).drop("config_dir").unionByName(heads.join(everywhere, "alias"))
+    else:
+        far = heads.join(aliases, "alias")
+    far = far.withColumn("stem", F.concat_ws("/", F.nullif("target", F.lit("")), F.nullif(rest, F.lit("")))).withColumn("rank", F.when(F.col("alias") == "", 1).otherwise(-F.length("alias")))
     stems = near.select("path", "specifier", "stem", "rank").union(far.select("path", "specifier", "stem", "rank")).withColumn("stem", plain_path(F.col("stem")))
     return stems.select("path", "specifier", "rank", F.posexplode(F.array(*[F.concat("stem", F.lit(e)) for e in LEFT_OUT])).alias("nth", "src_path"))
 
