@@ -23,13 +23,14 @@ TOOLS = [
     "rollup", "@babel/core", "@babel/cli", "babel-loader", "ts-node", "nodemon", "react-scripts", "customize-cra", "react-app-rewired", "@vitejs/plugin-react", "vite-tsconfig-paths",
     "eslint-plugin-react", "eslint-plugin-import", "eslint-config-airbnb", "eslint-config-prettier", "@typescript-eslint/eslint-plugin", "@typescript-eslint/parser", "stylelint-config-standard", "postcss",
 ]
-#: Fixed values of the classification of unreferenced files: parts of a path that leave a file out, beginnings of names that do, and what makes a file under src suspicious.
+#: Fixed values of the classification of unreferenced files: parts of a path that leave a file out, beginnings of names that do, well-known entry points, and what makes a file under src suspicious.
 IGNORED_PARTS = [".test.", ".spec.", "__tests__", "__mocks__", ".d.ts", ".story.", ".stories."]
 CONFIG_NAMES = [
     "webpack.config", "vite.config", "rollup.config", "babel.config", "prettier.config", ".prettierrc", "eslint.config", ".eslintrc", "jest.config", "karma.conf", "gulpfile", "gruntfile",
     "tsconfig", "jsconfig", "postcss.config", "tailwind.config", "commitlint.config", ".commitlintrc", "lint-staged.config", "stylelint.config", ".stylelintrc", "nodemon.json", "nodemon-debug.json",
     "build.config", "vitest.config", "cypress.config", "playwright.config",
 ]
+ENTRY_FILES = ["index.ts", "index.tsx", "main.ts", "main.tsx", "App.ts", "App.tsx", "src/index.ts", "src/index.tsx"]
 ENTRY_NAMES = ["index.", "main.", "app.", "root.", "entry."]
 CORE_WORDS = ["router", "route", "store", "state", "theme", "i18n", "locale", "config", "setting", "constant", "util", "helper", "service", "api", "http", "request", "axios", "fetch", "polyfill"]
 
@@ -205,20 +206,24 @@ def unreferenced_class(path: Column, excluded: list[str]) -> Column:
 
 
 def unreferenced_files(facts, entrypoint: str = "", include_entry_dirs: bool = False, exclude: str = "") -> DataFrame:
-    """(path, verdict): files that nothing refers to; with entry points (comma-separated) those that they reach are left out too,
-    and with include_entry_dirs every file in an entry point's folder is an entry point."""
-    edges, files = file_edges(facts), code_facts.code_files(facts["files"]).select("path")
-    alone = files.join(edges.select(F.col("dst").alias("path")), "path", "left_anti")
-    if entrypoint:
-        entries = [e.strip() for e in entrypoint.split(",") if e.strip()]
-        chosen = F.col("path").isin(entries)
-        if include_entry_dirs:
-            chosen = chosen | F.regexp_replace("path", r"/?[^/]*$", "").isin([e.rpartition("/")[0] for e in entries])
-        reached = graph.reach_levels(edges, files.where(chosen).select(F.col("path").alias("node")), None).select(F.col("node").alias("path"))
-        alone = files.join(reached, "path", "left_anti")
-    else:
-        alone = alone.where(~F.col("path").rlike(r"(^|/)(index|main)\.tsx?$"))
-    return alone.withColumn("verdict", unreferenced_class(F.col("path"), [e.strip() for e in exclude.split(",") if e.strip()]))
+    """(path, verdict): files that nothing refers to and that are no entry points. Entry points are those given (comma-separated), or with include_entry_dirs the well-known ones that
+    exist at the top; where there are none, files that end like an index or main file count as such. (A file that is reached from an entry point is referred to, so no search is needed.)"""
+    files = code_facts.code_files(facts["files"]).select("path")
+    taken = [facts[n].where("src_type = 'file'").select(F.col("src_path").alias("path")) for n in ("imports", "re_exports", "jsx")]
+    alone = files.join(taken[0].union(taken[1]).union(taken[2]).distinct(), "path", "left_anti")
+    entries = [e.strip() for e in entrypoint.split(",") if e.strip()]
+    if not entries and include_entry_dirs and not files.where(F.col("path").isin(ENTRY_FILES)).isEmpty():
+        entries = ENTRY_FILES
+    is_entry = F.col("path").isin(entries) if entries else _any_of([F.col("path").endswith(x) for x in ("index.ts", "index.tsx", "main.ts", "main.tsx")])
+    return alone.where(~is_entry).withColumn("verdict", unreferenced_class(F.col("path"), [e.strip() for e in exclude.split(",") if e.strip()]))
+
+
+def unreachable_files(facts, entrypoint: str, exclude: str = "") -> DataFrame:
+    """(path, verdict): files that the entry points (comma-separated) don't reach, whether or not other files of that kind refer to them."""
+    files = code_facts.code_files(facts["files"]).select("path")
+    entries = files.where(F.col("path").isin([e.strip() for e in entrypoint.split(",")])).select(F.col("path").alias("node"))
+    reached = graph.reach_levels(file_edges(facts), entries, None).select(F.col("node").alias("path"))
+    return files.join(reached, "path", "left_anti").withColumn("verdict", unreferenced_class(F.col("path"), [e.strip() for e in exclude.split(",") if e.strip()]))
 
 
 def unreferenced_stats(facts, **params) -> DataFrame:
@@ -228,11 +233,21 @@ def unreferenced_stats(facts, **params) -> DataFrame:
     return code_facts.code_files(facts["files"]).agg(F.count("*").alias("files")).crossJoin(verdicts.agg(count("unreferenced"), count("suspicious")))
 
 
-def npm_check(facts, registry: DataFrame | None = None) -> DataFrame:
-    """(name, problem, detail): implicit, unused and (against a registry snapshot (name, latest)) outdated dependencies."""
+def implicit_dependencies(facts) -> DataFrame:
+    """(name, path, raw): every import of a package that no manifest declares."""
+    used = facts["imports"].where("npm_pkg is not null").select(F.col("npm_pkg").alias("name"), "path", "raw").distinct()
+    own = used.where(~F.col("name").isin(BUILTINS) & ~F.col("name").startswith("node:"))
+    return own.join(facts["packages"].select("name").distinct(), "name", "left_anti")
+
+
+def npm_check(facts, registry: DataFrame | None = None, installed: DataFrame | None = None) -> DataFrame:
+    """(name, problem, detail): implicit, unused and (against a registry snapshot (name, latest)) outdated dependencies. installed: manifests (path, content) below node_modules, whose
+    versions stand before the declared ones."""
     used = facts["imports"].where("npm_pkg is not null").select(F.col("npm_pkg").alias("name"))
     declared = facts["packages"].select("name", "path", "version")
-    implicit = relational.undeclared(used.where(~F.col("name").isin(BUILTINS) & ~F.col("name").startswith("node:")), declared, "name")
+    if installed is not None:
+        declared = code_facts.installed_versions(declared, installed).select("name", "path", F.coalesce("installed", "version").alias("version"))
+    implicit = relational.undeclared(used.where(~F.col("name").isin(BUILTINS) & ~F.col("name").startswith("node:")), declared.select("name").distinct(), "name")
     idle = relational.unused(declared.groupBy("name").agg(F.min("path").alias("path")), used, "name", F.col("name").isin(TOOLS) | F.col("name").startswith("@types/"))
     out = implicit.select("name", F.lit("implicit").alias("problem"), F.col("uses").cast("string").alias("detail")).union(idle.select("name", F.lit("unused"), "path"))
     if registry is not None:

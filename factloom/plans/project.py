@@ -93,6 +93,8 @@ def oracle_sql() -> dict[str, str]:
 _BASE = f"""{_PARTS}, f as (select p_partkey as k, 'src/b' || regexp_replace(p_brand, '[^0-9]', '', 'g') as folder, p_size as size,
     'src/b' || regexp_replace(p_brand, '[^0-9]', '', 'g') || '/p' || p_partkey || '.ts' as path from part),
     ends as (select folder, min(k) as a, max(k) as b from f group by 1),
+    -- where things stand in a file: h lines of imports, as many of members (one empty line where there are none)
+    w as (select f.*, greatest((select count(*) from edges where src = k), 1)::int as h from f),
     fe as (select a.path as src, b.path as dst from edges join f a on a.k = src join f b on b.k = dst
         union select folder || '/index.ts', folder || '/p' || a || '.ts' from ends union select folder || '/index.ts', folder || '/p' || b || '.ts' from ends
         union select 'src/main.ts', folder || '/index.ts' from ends union select 'src/main.ts', 'src/p.css'),
@@ -151,17 +153,26 @@ def project_external_deps(spark, d):
 
 @_query(""", walk(path) as (select 'src/main.ts' union select dst from walk join fe on path = src)
     select path, 'unreferenced' as verdict from f where path not in (select path from walk)""")
+def project_unreachable(spark, d):
+    return analyzers.unreachable_files(facts(spark, d), "src/main.ts")
+
+
+@_query("select path, 'unreferenced' as verdict from f where path not in (select dst from fe)")
 def project_unreferenced(spark, d):
     return analyzers.unreferenced_files(facts(spark, d), entrypoint="src/main.ts")
 
 
-@_query(""", walk(path) as (select path from f where folder = 'src/b11' union select folder || '/index.ts' from ends where folder = 'src/b11' union select dst from walk join fe on path = src)
-    select (select count(*) from f) + (select count(*) from ends) + 1 as files, (select count(*) from f where path not in (select path from walk)) as unreferenced,
-    (select count(*) from ends where folder || '/index.ts' not in (select path from walk)) + 1 as suspicious""")
+@_query("""select (select count(*) from f) + (select count(*) from ends) + 1 as files, (select count(*) from f where path not in (select dst from fe)) as unreferenced, cast(1 as bigint) as suspicious""")
 def project_unreferenced_stats(spark, d):
+    """Entry points that are given stand for all, so that the main file is one of those left over."""
     return analyzers.unreferenced_stats(facts(spark, d), entrypoint="src/b11/index.ts", include_entry_dirs=True)
 
 
+@_query("""select 'pkg-' || size as name, path, 'import { x } from ' || chr(39) || 'pkg-' || size || chr(39) as raw from f where size > 45""")
+def project_implicit_dependencies(spark, d):
+    return analyzers.implicit_dependencies(facts(spark, d))
+
+
 @_query("""select 'pkg-' || size as name, 'implicit' as problem, cast(count(*) as varchar) as detail from f where size > 45 group by 1
     union all select 'pkg-' || n, 'unused', 'package.json' from range(1, 46) t(n) where n not in (select size from f)
     union all select 'left-pad', 'unused', 'package.json' union all select 'old-lib', 'unused', 'package.json'
@@ -176,14 +187,14 @@ def project_trace(spark, d):
     return analyzers.trace(facts(spark, d), "pkg-7, pkg-11")
 
 
-@_query("select path, '/parts/list' as api from f where size % 7 = 0")
+@_query("select path, 8 + 2 * h + case when size % 3 = 0 then 3 else 0 end as line, '/parts/list' as api from w where size % 7 = 0")
 def project_api_calls(spark, d):
-    return analyzers.api_tracer(facts(spark, d), "/parts/list,/other").select("path", "api")
+    return analyzers.api_tracer(facts(spark, d), "/parts/list,/other")
 
 
-@_query("select src, dst from ce")
+@_query("select a.c as src, b.c as dst, list(distinct a.path order by a.path) as files from fe join owner a on a.path = src join owner b on b.path = dst where a.c <> b.c group by 1, 2")
 def project_component_edges(spark, d):
-    return analyzers.component_edges(facts(spark, d), components(spark, d)).select("src", "dst")
+    return analyzers.component_edges(facts(spark, d), components(spark, d))
 
 
 @_query("""select folder[5:] as component, (select count(*) from owner where c = folder[5:]) as files, (select list(distinct dst order by dst) from ce where src = folder[5:]) as components,
@@ -192,17 +203,17 @@ def project_component_deps(spark, d):
     return analyzers.component_deps(facts(spark, d), components(spark, d)).drop("dependencies")
 
 
-@_query("""select a.c as src, b.c as dst, count(*) * 2 as symbols from edges join f x on x.k = src join f y on y.k = dst
-    join owner a on a.path = x.path join owner b on b.path = y.path where a.c <> b.c group by 1, 2""")
+@_query("""select a.c as src, b.c as dst, list(n.p || y.k || ' named ' || y.path || ' ' || x.path order by n.p || y.k || ' named ' || y.path || ' ' || x.path) as symbols from edges join f x on x.k = src join f y on y.k = dst
+    join owner a on a.path = x.path join owner b on b.path = y.path, (values ('v'), ('T')) n(p) where a.c <> b.c group by 1, 2""")
 def project_symbol_imports(spark, d):
-    return analyzers.symbol_imports(facts(spark, d), components(spark, d)).select("src", "dst", F.size("symbols").cast("long").alias("symbols"))
+    return analyzers.symbol_imports(facts(spark, d), components(spark, d)).select("src", "dst", F.array_sort(F.transform("symbols", lambda s: F.concat_ws(" ", s["name"], s["type"], s["from_file"], s["in_file"]))).alias("symbols"))
 
 
-@_query("""select 'src/b' || folder[6:] || '/p' || k || '.ts' as path, 'v' || k as name, 'named' as export_type,
-    (select count(distinct src) from edges where dst = k) + (k in (select b from ends))::int as refs from f""")
+@_query("""with_refs as (select b.path, n.p || b.k as name, a.path as ref from edges join f a on a.k = src join f b on b.k = dst, (values ('v'), ('T')) n(p) union select folder || '/p' || b || '.ts', 'v' || b, 'src/main.ts' from ends),
+        own as (select path, n.p || k as name from f, (values ('v'), ('T')) n(p) union all select path, 'f' || k from f where size % 3 = 0)
+    select c as component, own.path, own.name, 'named' as export_type, coalesce(list(distinct ref order by ref) filter (ref is not null), []) as ref_files from own join owner using (path) left join with_refs r on r.path = own.path and r.name = own.name group by 1, 2, 3""".replace("with_refs as", ", with_refs as", 1))
 def project_export_calls(spark, d):
-    own = analyzers.export_calls(facts(spark, d), components(spark, d)).where("name like 'v%'")
-    return own.select("path", "name", "export_type", F.size("ref_files").cast("long").alias("refs"))
+    return analyzers.export_calls(facts(spark, d), components(spark, d)).drop("ref_components")
 
 
 _CHANGED = "changed as (select path, folder, k from f where k in (select dst from edges where src <= 20 and dst <> src) and k % 2 = 0)"
@@ -215,9 +226,9 @@ def _changed(spark, d) -> DataFrame:
     return own.join(picked, "k").select("path", "line")
 
 
-@_query(f""", {_CHANGED} select path, 'v' || k as name, 'variable' as kind, true as exported from changed""")
+@_query(f""", {_CHANGED} select path, 'v' || k as name, 'variable' as kind, true as exported, 'named' as export_type, [3 + h] as lines from changed join w using (path, folder, k)""")
 def project_changed_symbols(spark, d):
-    return analyzers.changed_symbols(facts(spark, d), _changed(spark, d)).select("path", "name", "kind", "exported")
+    return analyzers.changed_symbols(facts(spark, d), _changed(spark, d))
 
 
 _IMPACT = f""", {_CHANGED}, direct as (select distinct a.path from edges join f a on a.k = src join changed c on c.k = dst where a.path not in (select path from changed)
@@ -255,14 +266,17 @@ def project_classified(spark, d):
     return impact.classify_changed(changed, components(spark, d).select("name", F.lit("component").alias("type"), F.col("root").alias("path")))
 
 
-@_query("""select 'interface' as kind, count(*) as n from f union all select 'function', count(*) from f where size % 3 = 0 union all select 'variable', 4 * count(*) from f""")
+@_query("""select path, 'v' || k as name, 'variable' as kind, 3 + h as start_line, 3 + h as end_line, true as exported, 'named' as export_type from w union all select path, 'T' || k, 'interface', 4 + h, 5 + 2 * h, true, 'named' from w
+    union all select path, 'y' || k, 'variable', 6 + 2 * h, 6 + 2 * h, false, null from w union all select path, 'z' || k, 'variable', 7 + 2 * h, 7 + 2 * h, false, null from w
+    union all select path, 'f' || k, 'function', 8 + 2 * h, 10 + 2 * h, true, 'named' from w where size % 3 = 0
+    union all select path, 'text', 'variable', l, l, false, null from (select path, 8 + 2 * h + case when size % 3 = 0 then 3 else 0 end + case when size % 7 = 0 then 1 else 0 end as l from w)""")
 def project_symbols(spark, d):
-    return facts(spark, d)["symbols"].groupBy("kind").agg(F.count("*").alias("n"))
+    return facts(spark, d)["symbols"]
 
 
-@_query("""select a.path, 'T' || a.k as type, 'T' || b.k as reference from edges join f a on a.k = src join f b on b.k = dst""")
+@_query("""select a.path, 'T' || a.k as type, 'T' || b.k as reference, ['m' || b.k] as places from edges join f a on a.k = src join f b on b.k = dst""")
 def project_type_references(spark, d):
-    return facts(spark, d)["type_refs"].select("path", "type", "reference")
+    return facts(spark, d)["type_refs"]
 
 
 @_query(""", walk(k) as (select a from ends where folder = 'src/b11' union select dst from walk join edges on src = k) select f.path, 'T' || f.k as type from walk join f using (k)""")

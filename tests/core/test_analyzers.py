@@ -53,6 +53,25 @@ def test_unreferenced(facts):
     assert as_set(analyzers.unreferenced_files(facts, "src/main.tsx"), "path", "verdict") == {("src/alone.ts", "unreferenced"), ("src/math.test.ts", "ignored")}
 
 
+def test_entry_points_and_files_that_only_dead_files_take(spark):
+    files = {"src/index.ts": "import './used'", "src/used.ts": "", "src/dead.ts": "import './kept'", "src/kept.ts": "", "src/lib/reindex.ts": "", "App.tsx": "", "src/self.ts": "import './self'"}
+    facts = analyzers.facts_of(spark.createDataFrame([(p, len(c), c) for p, c in files.items()], "path string, size_bytes long, content string"), spark.createDataFrame([], "alias string, target string"))
+    paths = lambda df: {r.path for r in df.collect()}
+    assert paths(analyzers.unreferenced_files(facts)) == {"src/dead.ts", "App.tsx"}
+    assert paths(analyzers.unreferenced_files(facts, "src/index.ts")) == {"src/dead.ts", "src/lib/reindex.ts", "App.tsx"}
+    assert paths(analyzers.unreferenced_files(facts, include_entry_dirs=True)) == {"src/dead.ts", "src/lib/reindex.ts"}
+    assert paths(analyzers.unreferenced_files(facts, "src/dead.ts", include_entry_dirs=True)) == {"src/index.ts", "src/lib/reindex.ts", "App.tsx"}
+    assert paths(analyzers.unreachable_files(facts, "src/index.ts")) == {"src/dead.ts", "src/kept.ts", "src/lib/reindex.ts", "App.tsx", "src/self.ts"}
+
+
+def test_installed_versions_and_places_of_implicit_dependencies(spark, facts):
+    installed = spark.createDataFrame([("node_modules/react/package.json", '{"version": "18.3.1"}'), ("node_modules/@types/x/package.json", '{"version": "1.0.0"}')], "path string, content string")
+    registry = spark.createDataFrame([("react", "18.3.1"), ("left-pad", "1.3.0")], "name string, latest string")
+    got = as_set(analyzers.npm_check(facts, registry, installed).where("problem = 'outdated'"), "name", "detail")
+    assert got == {("left-pad", "1.0.0 < 1.3.0")}
+    assert as_set(analyzers.implicit_dependencies(facts), "name", "path", "raw") == {("axios", "src/panel/Panel.tsx", "import axios from 'axios'")}
+
+
 def test_dependencies(spark, facts):
     registry = spark.createDataFrame([("react", "19.0.0")], "name string, latest string")
     assert as_set(analyzers.npm_check(facts, registry), "name", "problem") == {("axios", "implicit"), ("left-pad", "unused"), ("react", "outdated")}
