@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from factloom.tables import durable
 
-#: Rounds after which the visited table is written as one.
-COMPACT = 6
+#: Rounds after which the visited table is written as one; edges up to which a job takes several steps, and how many.
+COMPACT, FEW_EDGES, HOPS = 6, 1_000_000, 4
 
 
 def distinct_edges(edges: DataFrame) -> DataFrame:
@@ -23,19 +23,28 @@ def reverse_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
+def hops_of(edges: DataFrame) -> int:
+    """Steps to take in one job: several where there are few edges, so that jobs, not rows, cost the time; one where every step has to leave out what was visited before it is joined again."""
+    return HOPS if edges.count() <= FEW_EDGES else 1
+
+
 def reach_levels(edges: DataFrame, seeds: DataFrame, max_depth: int | None, first_level: int = 0) -> DataFrame:
     """(node, level): the least number of steps from a seed, up to max_depth steps (None: all). Seeds have first_level."""
     edges = durable(distinct_edges(edges), "edges")
     frontier = durable(seeds.select("node").where("node is not null").distinct().withColumn("level", F.lit(first_level)), "frontier")
-    visited, step = frontier, 0
+    visited, step, rounds, hops = frontier, 0, 0, hops_of(edges)
     while max_depth is None or step < max_depth:
-        step += 1
-        found = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = durable(found.join(visited, "node", "left_anti").withColumn("level", F.lit(first_level + step)), "frontier")
+        at, found = frontier.select("node"), None
+        for step in range(step + 1, (step + hops if max_depth is None else min(step + hops, max_depth)) + 1):  # noqa: B020
+            at = at.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+            level = at.withColumn("level", F.lit(first_level + step))
+            found = level if found is None else found.unionByName(level)
+        # What is found on an earlier step of the round was expanded by the later ones already.
+        fresh = durable(found.groupBy("node").agg(F.min("level").alias("level")).join(visited, "node", "left_anti"), "frontier")
+        frontier, visited, rounds = fresh.where(F.col("level") == first_level + step), visited.union(fresh), rounds + 1
         if frontier.isEmpty():
             break
-        visited = visited.union(frontier)
-        if step % COMPACT == 0:
+        if rounds % COMPACT == 0:
             visited = durable(visited, "visited")
     return visited
 
@@ -94,15 +103,18 @@ def spread(edges: DataFrame, seeds: DataFrame, keys: list[str], rounds: int | No
     """Labels spread along edges inside a scope until nothing is new: edges (*keys, src, dst), seeds (*keys, node)."""
     edges = durable(edges.select(*keys, "src", "dst").distinct(), "flow")
     frontier = durable(seeds.select(*keys, "node").distinct(), "labels")
-    seen, k = frontier, 0
+    seen, k, n, hops = frontier, 0, 0, hops_of(edges)
     while rounds is None or k < rounds:
-        k += 1
-        found = frontier.withColumnRenamed("node", "src").join(edges, [*keys, "src"]).select(*keys, F.col("dst").alias("node")).distinct()
-        frontier = durable(found.join(seen, [*keys, "node"], "left_anti"), "labels")
+        at, found, last = frontier, None, min(k + hops, rounds) if rounds is not None else k + hops
+        for k in range(k + 1, last + 1):  # noqa: B020
+            at = at.withColumnRenamed("node", "src").join(edges, [*keys, "src"]).select(*keys, F.col("dst").alias("node")).distinct()
+            step = at.withColumn("_step", F.lit(k))
+            found = step if found is None else found.unionByName(step)
+        fresh = durable(found.groupBy(*keys, "node").agg(F.min("_step").alias("_step")).join(seen, [*keys, "node"], "left_anti"), "labels")
+        frontier, seen, n = fresh.where(F.col("_step") == k).drop("_step"), seen.union(fresh.drop("_step")), n + 1
         if frontier.isEmpty():
             break
-        seen = seen.union(frontier)
-        if k % COMPACT == 0:
+        if n % COMPACT == 0:
             seen = durable(seen, "seen")
     return seen
 
