@@ -1,7 +1,7 @@
 """Line deduplication: lines whose byte shingles are at least 80 % alike are one line, and one occurrence of it stays.
 
 A line is a part of a text between line feeds; it is compared after lower-casing A-Z and collapsing white space. Lines of min_chars bytes or more take
-part: the queries pass 1, so that every line that is not blank does; by default (MIN_CHARS) shorter ones stay. Equal lines collapse first (128-bit hash). Distinct lines then link where 80 % of their shingles are common:
+part, by default every line that is not blank. Equal lines collapse first (128-bit hash). Distinct lines then link where 80 % of their shingles are common:
 lines of SHORT_SHINGLE to SHORT_CHARS bytes by 4-byte shingles, lines of LONG_CHARS bytes or more by 8-byte ones (those between take part in both,
 so that lines on either side of a limit still meet). Under SHORT_SHINGLE bytes only equal lines are one.
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, MEMO_WORDS, column_of, durable, keep_ids, mix, release, texts_of
 from .linking import FLUSH, broadcast_if_few, connected_components, counted, dealt, fine_parts, link, met, rows_of
 
-PERCENT, MIN_CHARS = 80, 40
+PERCENT, MIN_CHARS = 80, 1
 LONG_CHARS, SHINGLE, BINS, BANDS = 72, 8, 64, 16
 SHORT_CHARS, SHORT_SHINGLE, SHORT_BANDS, SHORT_ROWS = 96, 4, 24, 5
 #: A line's node for its short shingles is its hash with these bits turned.
