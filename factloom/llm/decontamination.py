@@ -135,7 +135,8 @@ class ItemIndex:
         summed[present] = np.add.reduceat(self.bounds[term], first, axis=0)
         summed = summed[: max(halves - 1, 1)] + summed[1 : max(halves, 2)]
         found: dict[int, tuple] = {}
-        for k, block in zip(*np.nonzero(summed >= THRESHOLD)):
+        # Sums of float32 bounds may fall below the exact score by rounding.
+        for k, block in zip(*np.nonzero(summed >= THRESHOLD * (1 - 1e-5))):
             at = int(k) * self.stride
             for item, x in self.wand(int(block), set(words[at : at + self.passage])):
                 if item not in found or x > found[item][0]:
