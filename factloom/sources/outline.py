@@ -389,13 +389,15 @@ def nodes(text: str, jsx: bool = True) -> list[dict]:
             body = code[m.start(5) : end]
             for x, y in pieces(body, ","):
                 part, base = body[x:y], m.start(5) + x
+                # Declarators of one statement stand side by side.
+                own_end = m.start(5) + y
                 left, equals, right = part.partition("=") if not part.strip().startswith(("{", "[")) else (part.strip()[: closing(part.strip(), 0) + 1], *part.strip()[closing(part.strip(), 0) + 1 :].partition("=")[1:])
                 right = right.strip().rstrip(";").strip()
                 source = right if re.fullmatch(r"[^\W\d][\w$]*(\.[\w$]+)*|\$[\w$]*(\.[\w$]+)*", right) else ""
                 function = bool(re.match(r"(async\s*)?(function\b|\([^)]*\)\s*(:[^=]+)?=>|[\w$]+\s*=>)", right))
                 names = pattern_names(left) if left.strip().startswith(("{", "[")) else re.findall(r"^\s*([\w$]+)", left)
                 for n in names:
-                    add("variable", n, at if x == 0 else base, end, exported, source=source, function=str(function).lower(), type=left.partition(":")[2].strip() if len(names) == 1 else "", declared=word)
+                    add("variable", n, at if x == 0 else base + len(part) - len(part.lstrip()), own_end, exported, source=source, function=str(function).lower(), type=left.partition(":")[2].strip() if len(names) == 1 else "", declared=word)
                 if function and len(names) == 1 and "(" in right:
                     opened = plain.find("(", base + part.index("="))
                     for p in parameters(plain[opened + 1 : closed_at(opened)]):
@@ -403,7 +405,7 @@ def nodes(text: str, jsx: bool = True) -> list[dict]:
     syntax = Syntax(tokens, taken)
     for first, last, opened in syntax.calls():
         chain, shut = syntax.chain(first, last), tokens.match[opened]
-        argument = plain[tokens.end[opened] : tokens.pos[shut]]
+        argument = text[tokens.end[opened] : tokens.pos[shut]]
         cut = pieces(code[tokens.end[opened] : tokens.pos[shut]], ",")[0][1] if len(argument) < 2000 else 2000
         add("call", ".".join(chain), tokens.pos[first], tokens.end[shut], argument=argument[:cut].strip(), chain="\x1f".join(chain))
     for i in syntax.tags():

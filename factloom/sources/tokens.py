@@ -135,7 +135,7 @@ class Tokens:
             out.append(blank.sub(" ", self.source[at:p]))
             at = e
             if k in "tr" or (k == "s" and strings):
-                edge = "" if k == "t" or len(t) < 2 else t[0]
+                edge = "" if k == "t" or len(t) < 2 else '"' if k == "r" and strings else t[0]
                 t = edge + blank.sub(" ", t[len(edge) : len(t) - len(edge)]) + edge
             out.append(t)
         return "".join(out) + blank.sub(" ", self.source[at:])

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from factloom.plans import catalog, project
+from factloom.plans import catalog, interface, project
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -28,7 +28,7 @@ def rows_of(columns, rows):
     return sorted(repr([plain(r[i]) for i in order]) for r in rows)
 
 
-QUERIES, SQL = catalog.queries() | project.queries(), catalog.oracle_sql() | project.oracle_sql()
+QUERIES, SQL = catalog.queries() | project.queries() | interface.queries(), catalog.oracle_sql() | project.oracle_sql() | interface.oracle_sql()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
