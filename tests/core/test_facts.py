@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from factloom.functions import scalars
-from factloom.operators import analyzers, bundle, impact, navigation, results
+from factloom.operators import analyzers, bundle, impact, navigation, reports, results
 from factloom.sources import code_facts, diff, manifest, outline, tsconfig
 from factloom.sources.versions import Versions
 
@@ -152,6 +152,20 @@ def test_impact_ways_and_counts(spark):
     assert [r.name for r in impact.by_level_and_name(rows, "name").collect()] == ["b", "c", "a"] and [r.name for r in impact.by_risk(rows, "risk", "name").collect()] == ["b", "a", "c"]
 
 
+def test_reports(spark):
+    facts = project(spark)
+    changed = spark.createDataFrame([("src/main.ts", 3), ("README.md", 1)], "path string, line int")
+    report = reports.impact_report(facts, changed)
+    assert {tuple(r) for r in report.collect()} == {("changed", "src/main.ts", 0, 1, None), ("changed", "README.md", 0, 0, None), ("impact", "src/again.ts", 1, 1, "src/again.ts"), ("impact", "src/last.ts", 1, 1, "src/last.ts")}
+    assert reports.impact_totals(facts, report).first().asDict() == {"files": 9, "changed_files": 2, "impact_files": 2}
+    classified = spark.createDataFrame([("b/x.ts", "component", "B"), ("f/y.ts", "functions", "f"), ("b/a.ts", "component", "B"), ("z.md", "other", "")], "path string, category string, name string")
+    impacts = spark.createDataFrame([("B", "C", "depends", 1, None), ("B", "D", "indirect", 2, "B → C → D")], "source string, component string, relation string, level int, way string")
+    assert [r.line for r in reports.in_order(reports.mr_report(classified, impacts)).collect()] == [
+        "• B", "  - changed itself", "• C", "  - depends on B", "• D", "  - through B → C → D", "• B", "  - b/a.ts", "  - b/x.ts", "• f", "  - f/y.ts", "- z.md", "3 components affected, 1 of them changed directly",
+    ]
+    assert [r.line for r in reports.in_order(reports.mr_report(classified.limit(0), impacts.limit(0))).collect()] == ["0 components affected, 0 of them changed directly"]
+
+
 def test_results_and_fields(spark, tmp_path):
     facts = project(spark)
     result = results.run("unconsumed", facts)
@@ -169,10 +183,10 @@ def test_results_and_fields(spark, tmp_path):
 
 
 def test_manifest(spark):
-    text = '{"components": {"Button": {"type": "component", "path": "./src/Button/"}}, "functions": {"f": {"path": "src/f"}, "g": {"path": ""}}}'
+    text = '{"components": {"Button": {"type": "component", "path": "./src/Button/"}}, "functions": {"f": {"path": "src/f"}, "g": {"path": ""}, "h": {"type": "component", "path": "src/h"}}}'
     rows = manifest.manifest(spark.createDataFrame([(text,)], "content string"))
-    assert {(r.name, r.type, r.path) for r in rows.collect()} == {("Button", "component", "src/Button"), ("f", "functions", "src/f"), ("g", "functions", "")}
-    assert [r.name for r in manifest.problems(rows).collect()] == ["g"] and manifest.components(rows).first().root == "src/Button"
+    assert {(r.name, r.type, r.path) for r in rows.collect()} == {("Button", "component", "src/Button"), ("f", "functions", "src/f"), ("g", "functions", ""), ("h", "component", "src/h")}
+    assert {(r.name, r.problem) for r in manifest.problems(rows).collect()} == {("g", "no path"), ("h", "wrong type")} and manifest.components(rows).first().root == "src/Button"
 
 
 def test_scalars(spark):
