@@ -28,11 +28,15 @@ class Names(Syntax):
     def scope(self, kind: str, i: int, end: int) -> None:
         self.rows.append(("scope", kind, "", self.tokens.pos[i], end))
 
+    def next_statement(self, i: int) -> bool:
+        """Whether the word at i begins a line that does not carry the one before on."""
+        return self.K[i] == "w" and self.tokens.new_line(i) and (self.K[i - 1] != "p" or self.T[i - 1] in (")", "]", "}")) and self.T[i] not in ("instanceof", "in", "of", "as", "satisfies")
+
     def body_end(self, i: int) -> int:
         """Where the statement or expression that begins with token i ends: its braces, or the first comma, semicolon, closing bracket or new line outside of brackets."""
         start = i
         while i < self.n:
-            if self.K[i] == "p" and self.T[i] in (")", "]", "}", ",", ";") or (i > start and self.K[i] == "w" and self.tokens.new_line(i) and self.K[i - 1] != "p"):
+            if self.K[i] == "p" and self.T[i] in (")", "]", "}", ",", ";") or (i > start and self.next_statement(i)):
                 break
             if self.K[i] == "p" and self.match[i] > i:
                 i = self.match[i]
@@ -98,7 +102,7 @@ class Names(Syntax):
                     end = braces[-1][0] if braces else stop
                     i += 1
                     while i < end and self.t(i) != "," and not (t == ":" and self.t(i) == "=" and not braces):
-                        if kind in ("const", "let", "var") and not braces and (self.t(i) in (";", "of", "in") or (self.tokens.new_line(i) and self.K[i] == "w" and self.K[i - 1] != "p")):
+                        if kind in ("const", "let", "var") and not braces and (self.t(i) in (";", "of", "in") or self.next_statement(i)):
                             return i
                         i = self.match[i] + 1 if self.K[i] == "p" and self.match[i] > i else self._behind_types(i)
                     continue

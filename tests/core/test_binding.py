@@ -1,6 +1,7 @@
 """The structural join against all pairs, and scoped references over shadowing, imports and re-exports."""
 
 import random
+import time
 
 import pytest
 
@@ -132,6 +133,21 @@ def test_goto_definition_by_position(spark, facts):
     assert counts[("a.ts", "total")] == (11, 2) and counts[("c.ts", "grand")] == (4, 2)
 
 
+def test_lines_without_semicolons_end_declarations():
+    text = "const f = (a: number): any => { return g(a) }\nconst h = [1, 2]\nlet k = x => x(h)\nother = k\nconst m = a\n  instanceof B, n = 2\n"
+    rows = Names(text).rows
+    assert [(r[1], r[2]) for r in rows if r[0] == "binding" and r[2] in ("const", "let")] == [("f", "const"), ("h", "const"), ("k", "let"), ("m", "const"), ("n", "const")]
+    assert ("scope", "function", "", text.index("x =>"), text.index("\nother")) in rows
+
+
+def test_reading_names_is_linear():
+    unit = "export const v%d = (a: number): any => { return f(a as T, { x: [1, 2] }) }\ninterface I%d { a: string; b?: Foo<Bar> }\n"
+    for text in ("".join(unit % (i, i) for i in range(9000)), "const a = b\n" * 40000, "x => " * 3000, "(" * 30000, "import { " + "a, " * 40000 + "} from 'x'"):
+        began = time.time()
+        Names(text)
+        assert time.time() - began < 12
+
+
 def test_names_of_odd_sources():
     for text in ("", "}", "function", "import {", "const {", "(", "a =>", "catch (", "for (", "export {", "`${", "<A", "class", "import * as", "const a: Map<", "type ="):
         Names(text)
