@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from factloom.llm import decontamination, line_dedup, linking, near_dedup, quality_classifier, sentence_pieces, substring_dedup, token_counts, toxicity, weak_rules
+from factloom.llm import decontamination, line_dedup, linking, lm_mixing, near_dedup, quality_classifier, sentence_pieces, substring_dedup, token_counts, toxicity, weak_rules
 from factloom.llm.queries import piece_model
 from tests.llm import brute
 
@@ -33,11 +33,11 @@ def operators(labels, bench):
     return {
         "pieces": lambda d: sentence_pieces.encode_documents(d, piece_model()), "contaminated": lambda d: decontamination.contaminated(d, bench), "quality": lambda d: quality_classifier.quality_scores(d, labels),
         "spans": substring_dedup.remove_repeated_spans, "toxicity": lambda d: toxicity.toxicity_scores(d, labels), "rules": weak_rules.judged_documents, "near": near_dedup.near_duplicate_groups,
-        "lines": lambda d: line_dedup.remove_repeated_lines(d, 1), "tokens": lambda d: token_counts.token_counts(d, piece_model()),
+        "lm": lm_mixing.lm_scores, "lines": lambda d: line_dedup.remove_repeated_lines(d, 1), "tokens": lambda d: token_counts.token_counts(d, piece_model()),
     }
 
 
-@pytest.mark.parametrize("name", ["pieces", "contaminated", "quality", "spans", "toxicity", "rules", "near", "lines", "tokens"])
+@pytest.mark.parametrize("name", ["pieces", "contaminated", "quality", "spans", "toxicity", "rules", "near", "lines", "tokens", "lm"])
 def test_odd_tables(spark, odd, labels, name):
     bench = spark.createDataFrame([(1, "a b c d e f g h one two three. four five", "clash"), (2, None, "x"), (None, "a b c", "x"), (3, " ", "x")], "item_id long, text string, doc_id string")
     run = operators(labels, bench)[name]
