@@ -64,6 +64,15 @@ def test_entry_points_and_files_that_only_dead_files_take(spark):
     assert paths(analyzers.unreachable_files(facts, "src/index.ts")) == {"src/dead.ts", "src/kept.ts", "src/lib/reindex.ts", "App.tsx", "src/self.ts"}
 
 
+def test_dead_files_are_searched_from_the_entry_points(spark):
+    files = {"src/index.ts": "import './used'", "src/used.ts": "", "src/dead.ts": "import './kept'", "src/kept.ts": "", "src/self.ts": "import './self'", "lib/a.ts": "import './b'", "lib/b.ts": "import './a'"}
+    facts = analyzers.facts_of(spark.createDataFrame([(p, len(c), c) for p, c in files.items()], "path string, size_bytes long, content string"), spark.createDataFrame([], "alias string, target string"))
+    far = {("lib/a.ts", "suspicious", True), ("lib/b.ts", "suspicious", True)}
+    assert as_set(analyzers.dead_files(facts, "src/index.ts"), "path", "verdict", "referenced") == far | {("src/dead.ts", "unreferenced", False), ("src/kept.ts", "unreferenced", True), ("src/self.ts", "unreferenced", False)}
+    assert as_set(analyzers.dead_files(facts, "src/index.ts", include_entry_dirs=True), "path", "verdict", "referenced") == far
+    assert [tuple(r) for r in analyzers.unreferenced_stats(facts, entrypoint="src/index.ts").collect()] == [(7, 3, 2, 3)]
+
+
 def test_installed_versions_and_places_of_implicit_dependencies(spark, facts):
     installed = spark.createDataFrame([("node_modules/react/package.json", '{"version": "18.3.1"}'), ("node_modules/@types/x/package.json", '{"version": "1.0.0"}')], "path string, content string")
     registry = spark.createDataFrame([("react", "18.3.1"), ("left-pad", "1.3.0")], "name string, latest string")
