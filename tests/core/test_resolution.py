@@ -108,3 +108,29 @@ def test_candidates_come_in_order(spark):
     tried = code_facts.candidates(wanted, spark.createDataFrame([("@", "src"), ("", "base")], "alias string, target string"))
     first = {(r.specifier, r.rank): r.src_path for r in tried.where("nth = 1").collect()}
     assert first == {("./x", 0): "a/x.ts", ("@/x", -1): "src/x.ts", ("@/x", 1): "base/@/x.ts"}
+
+
+def test_specifiers_meet_stems_as_they_meet_candidates(spark):
+    paths = ["src/a.ts", "src/a.d.ts", "src/a/index.tsx", "src/b/index.js", "lib/a.tsx", "lib/c.jsx", "src/d", "src/d.ts", "index.ts", "src/e.d.ts", "base/g.ts"]
+    wanted = [("src/x.ts", s) for s in ("./a", "./a.d", "./a/", "./b", "./d", "./e", "..", "@/a", "@/c", "@/none", "g", "pkg", "../lib/./a")]
+    files, facts = spark.createDataFrame([(p,) for p in paths], "path string"), spark.createDataFrame(wanted, "path string, specifier string")
+    aliases = spark.createDataFrame([("@", "src"), ("@", "lib"), ("", "base")], "alias string, target string")
+    slow = {(r.path, r.specifier): r.src_path for r in code_facts.first_existing(code_facts.candidates(facts, aliases), files).collect()}
+    fast = {(r.path, r.specifier): r.src_path for r in code_facts.resolve(facts, files, aliases).collect() if r.src_path}
+    assert fast == slow and slow["src/x.ts", "@/a"] == "src/a.ts" and slow["src/x.ts", "g"] == "base/g.ts"
+
+
+def test_source_texts_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(code_facts, "PART_LETTERS", 1000)
+    rows = [(f"src/f{i}.ts", f"export const v{i}: any = {i}\n" * 4) for i in range(100)]
+    parts = code_facts.dealt(spark.createDataFrame([*rows, ("a.css", "a {}")], "path string, content string").coalesce(1)).withColumn("part", F.input_file_name())
+    assert parts.count() == 100 and 5 <= parts.select("part").distinct().count() <= 13
+    facts = analyzers.facts_of(spark.createDataFrame(rows, "path string, content string").coalesce(1), spark.createDataFrame([], "alias string, target string"))
+    assert facts["code"].rdd.getNumPartitions() > 1 and facts["any"].count() == 400
+
+
+def test_tags_add_no_edges_to_those_of_imports(spark):
+    rows = [("a.tsx", "import Box, { Row as R } from './b'\nimport * as ui from './c'\nconst x = <Box><R /><ui.Cell /><Own /></Box>\n"), ("b.tsx", "export default 1\n"), ("c.tsx", "export const Cell = 1\n"), ("d.tsx", "")]
+    facts = analyzers.facts_of(spark.createDataFrame(rows, "path string, content string"), spark.createDataFrame([], "alias string, target string"))
+    tags = {(r.path, r.src_path) for r in facts["jsx"].where("src_type = 'file'").collect()}
+    assert tags == {("a.tsx", "b.tsx"), ("a.tsx", "c.tsx")} == {tuple(r) for r in analyzers.file_edges(facts).collect()}
