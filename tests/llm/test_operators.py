@@ -260,6 +260,16 @@ def test_lm_base_and_probability(docs, rows, empty):
     assert lm_mixing.lm_scores(empty).count() == 0
 
 
+def test_lm_token_counts_are_those_of_the_scores_without_scoring(docs, empty, monkeypatch):
+    columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens"]
+    want = sorted(map(tuple, lm_mixing.lm_scores(docs).select(*columns).collect()))
+    for step in ("spell_table", "_scores"):
+        monkeypatch.setattr(lm_mixing, step, None)
+    got = lm_mixing.lm_token_counts(docs)
+    assert got.columns == columns and sorted(map(tuple, got.collect())) == want
+    assert lm_mixing.lm_token_counts(empty).count() == 0
+
+
 def plain_model(texts, train, i):
     """Counts of sequences elsewhere and before, by dictionaries; then the decisions of each token as (kind, context total, known or not, share)."""
     from collections import Counter
