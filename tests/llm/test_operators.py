@@ -394,3 +394,21 @@ def test_lm_packing_keeps_counts_and_keys():
                 lost = np.uint64(8 * (8 - lm_mixing._width(order, parts)))
                 assert c.tolist() == counts.tolist() and got.tolist() == (keys >> lost << lost).tolist()
         assert lm_mixing._width(1, 48) == lm_mixing._width(2, 800_000) == 8 and lm_mixing._width(3, 48) == 6
+
+
+def test_letters_of_many_blocks_are_counted_at_once(monkeypatch):
+    """A count passes over all slots, however few words it has; blocks used to take one each."""
+    import pyarrow as pa
+
+    from factloom.llm import lm_mixing
+    from factloom.llm.common import split_of
+
+    counted, real = [], lm_mixing.letter_counts
+    monkeypatch.setattr(lm_mixing, "letter_counts", lambda words: counted.append(sorted(words)) or real(words))
+    ids = [i for i in range(40) if split_of([i], 5)[0] != 1][:3]
+    columns = [pa.array([0, 1, 2], pa.int64()), pa.array([[i] for i in ids], pa.list_(pa.int64())), pa.array([[b"one two two"], [b"one three"], [b"four"]], pa.list_(pa.binary()))]
+    rows = list(lm_mixing._sent(4, 5, 1)(iter([pa.RecordBatch.from_arrays(columns, names=["block", "ids", "texts"])])))
+    # Words that stand once in their block, ends too.
+    assert counted == [sorted([b"one", b"\n", b"one", b"three", b"\n", b"four", b"\n"])]
+    kinds = [k for r in rows for k in r.column(1).to_pylist()]
+    assert kinds.count(lm_mixing.SPELL) == lm_mixing.CHUNKS
