@@ -20,6 +20,8 @@ from factloom.llm.queries import piece_model
 from factloom.llm.sentence_pieces import encode_documents
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Pre-tokens whose pieces a worker of the last stage remembers: its executor still holds what the stages before made it take.
+REMEMBERED = 200_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +49,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each document."""
-    return encode_documents(docs, piece_model())
+    return encode_documents(docs, piece_model(), REMEMBERED)
 
 
 STAGES = [("quality classifier", quality), ("line dedup", lines), ("near-duplicate documents", near_copies), ("benchmark decontamination", benchmark), ("sentence pieces", pieces)]

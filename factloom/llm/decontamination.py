@@ -167,7 +167,7 @@ def _indexes(shard) -> list[ItemIndex]:
 
 def _searched(shard):
     def run(it):
-        release()
+        release("decontamination")
         indexes = _indexes(shard)
         for batch in it:
             rows = []

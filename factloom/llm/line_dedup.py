@@ -120,7 +120,7 @@ def _signed(parts: int, min_chars: int):
     """Occurrences of all lines (kind 2) and band entries of the distinct ones, packed by linking.dealt()."""
 
     def run(it):
-        release()
+        release("line dedup")
         task = TaskContext.get().partitionId()
         seen, flushes = set(), 0
         found, keys, nodes, held = [], [], [], 0
@@ -173,7 +173,7 @@ def _signed(parts: int, min_chars: int):
 
 def _wanted(it):
     """The lines of a document at the places asked for; a payload starts with the length of its shingles. Rows that repeat a doc_id with another text hold other lines there: these are left out."""
-    release()
+    release("line dedup")
     for batch in it:
         nodes, shorts, payloads = [], [], []
         for text, wanted in zip(texts_of(batch), column_of(batch, "wanted").to_pylist()):
@@ -232,7 +232,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def _without(it):
-    release()
+    release("line dedup")
     for batch in it:
         out, n_lines, n_gone = [], [], []
         for text, places in zip(texts_of(batch), column_of(batch, "places").to_pylist()):

@@ -61,7 +61,7 @@ _SIGNED = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"
 
 def _signatures(words: int):
     def run(it):
-        release()
+        release("near dedup")
         memo = WordHashes()
         for big in it:
             for at in range(0, big.num_rows, 512):
@@ -82,7 +82,7 @@ def _sets(words: int):
     """A row of node, size, both sums and the set itself for each text."""
 
     def run(it):
-        release()
+        release("near dedup")
         memo = WordHashes()
         for big in it:
             for at in range(0, big.num_rows, 512):

@@ -47,7 +47,7 @@ def statistics(text: bytes) -> list[float]:
 
 
 def _statistics(it):
-    release()
+    release("quality classifier")
     for batch in it:
         values = np.array([statistics(t) for t in texts_of(batch)], np.float64).reshape(batch.num_rows, 16)
         offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * 16)
@@ -68,7 +68,7 @@ def _shares(mean, std):
     """A task's share of the normal equations, as bytes, under the number of the task."""
 
     def run(it):
-        release()
+        release("quality classifier")
         total, seen = np.zeros((FEATURES + 2, FEATURES + 2)), 0
         for batch in it:
             z = np.hstack([_cosines(_matrix(batch), mean, std), column_of(batch, "y").to_numpy(zero_copy_only=False).astype(float)[:, None]])
@@ -132,7 +132,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held_out_mod: int = 3, he
 
 def _with_label(mean, std, weights):
     def run(it):
-        release()
+        release("quality classifier")
         for batch in it:
             yield pa.RecordBatch.from_arrays([column_of(batch, "y"), pa.array(_cosines(_matrix(batch), mean, std) @ weights)], names=["y", "raw"])
 

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import MEMO_WORDS, column_of, hold
+from .common import MEMO_WORDS, column_of, hold, release
 
 MARK = "▁"
 #: Pre-tokens of a generation of remembered paths.
@@ -160,12 +160,12 @@ class PieceTransducer:
 
 
 class _Paths(dict):
-    """Pre-token to its path as packed ids, found once and remembered. Two generations of PATHS entries: what is used again outlives the older one. Long
+    """Pre-token to its path as packed ids, found once and remembered. Two generations of `size` entries: what is used again outlives the older one. Long
     pre-tokens are not kept. `lost` are those that their pieces do not spell."""
 
-    def __init__(self, model: PieceTransducer):
+    def __init__(self, model: PieceTransducer, size: int):
         super().__init__()
-        self.model, self.older, self.lost = model, {}, set()
+        self.model, self.size, self.older, self.lost = model, size, {}, set()
 
     def __missing__(self, pretoken: str) -> bytes:
         packed = self.older.get(pretoken)
@@ -175,7 +175,7 @@ class _Paths(dict):
                 self.lost.add(pretoken)
             packed = array("i", path).tobytes()
         if len(pretoken) <= 48:
-            if len(self) >= PATHS:
+            if len(self) >= self.size:
                 self.older = dict(self)
                 self.clear()
             self[pretoken] = packed
@@ -183,17 +183,18 @@ class _Paths(dict):
 
 
 @lru_cache(maxsize=2)
-def _paths(path: str) -> _Paths:
-    return _Paths(PieceTransducer(path))
+def _paths(path: str, size: int) -> _Paths:
+    return _Paths(PieceTransducer(path), size)
 
 
 def compile_model(path: str) -> PieceTransducer:
-    return _paths(path).model
+    return _paths(path, PATHS).model
 
 
-def _encoder(path: str):
+def _encoder(path: str, size: int = PATHS):
     def run(it):
-        memo = _paths(path)
+        release("sentence pieces")
+        memo = _paths(path, size)
         hold("sentence pieces", _paths.cache_clear)
         model = memo.model
         for big in it:
@@ -212,12 +213,13 @@ def _encoder(path: str):
     return run
 
 
-def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, remembered: int = PATHS) -> DataFrame:
     """(doc_id, n_pieces, ids, round_trip) for each row of docs; round_trip tells that decoding the ids gives the text back.
 
-    One pass over the rows without a shuffle: no row depends on another one.
+    One pass over the rows without a shuffle: no row depends on another one. A worker remembers the paths of up to twice `remembered` pre-tokens (about 265 bytes each); fewer only
+    take more time.
     """
-    return docs.select("doc_id", "text").mapInArrow(_encoder(model_path), "doc_id long, n_pieces long, ids array<int>, round_trip boolean")
+    return docs.select("doc_id", "text").mapInArrow(_encoder(model_path, remembered), "doc_id long, n_pieces long, ids array<int>, round_trip boolean")
 
 
 def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:

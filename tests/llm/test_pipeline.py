@@ -32,3 +32,19 @@ def test_stages_keep_rows_of_a_repeated_id_and_pass_empty_tables(spark):
         left = stage(spark, left, SF)
         assert left.columns == corpus_pipeline.COLUMNS and left.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, left, SF).count() == 0
+
+
+def test_the_last_stage_lets_go_what_others_hold_in_a_worker():
+    from factloom.llm import common, sentence_pieces
+    from factloom.llm.queries import piece_model
+
+    gone = []
+    common.hold("another operator", lambda: gone.append("held"))
+    list(sentence_pieces._encoder(piece_model())(iter(())))
+    assert gone == ["held"] and set(common._HELD) == {"sentence pieces"}
+    # The next task of the same operator keeps what the first one remembers.
+    kept = sentence_pieces._paths(piece_model(), sentence_pieces.PATHS)
+    list(sentence_pieces._encoder(piece_model())(iter(())))
+    assert sentence_pieces._paths(piece_model(), sentence_pieces.PATHS) is kept
+    common.release("line dedup")
+    assert not common._HELD and sentence_pieces._paths(piece_model(), sentence_pieces.PATHS) is not kept
