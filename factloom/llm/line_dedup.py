@@ -11,6 +11,7 @@ hash): 16 bands of 4, 2e-4. Bands find candidates, the full shingle sets confirm
 the occurrence with the smallest (doc_id, line number) stays.
 
 One pass over the texts hashes every line and signs each distinct one; occurrences and band entries then share one shuffle, in which equal bands meet.
+A second pass hashes the lines again and brings those that may be candidates by a bit filter.
 
 Edge cases. Null and empty texts have no lines to remove; blank lines stay. A group's other lines are removed from documents with their line feed; a document may become
 empty and stays as a row. Rows that repeat a doc_id share their line numbers: both lose the numbers that either has to lose, so that of tied
@@ -28,12 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, MEMO_WORDS, column_of, durable, keep_ids, mix, release, texts_of
+from .common import MEMO_WORDS, column_of, durable, mix, release, texts_of
 from .linking import FLUSH, broadcast_if_few, connected_components, counted, dealt, fine_parts, link, met, rows_of
 
 PERCENT, MIN_CHARS = 80, 40
 LONG_CHARS, SHINGLE, BINS, BANDS = 72, 8, 64, 16
 SHORT_CHARS, SHORT_SHINGLE, SHORT_BANDS, SHORT_ROWS = 96, 4, 24, 5
+#: Bits for each candidate line in the filter by which a pass over the texts finds them: with two set for each, up to 1.4 % of the other lines pass too.
+FILTER_BITS = 16
 #: A line's node for its short shingles is its hash with these bits turned.
 _TURN = 0x5851F42D4C957F2D
 _BASE = 0x9E3779B97F4A7C15
@@ -73,6 +76,15 @@ def _shingled(lines: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]
     return h[inside], own[inside]
 
 
+def _set_sizes(lines: list[bytes], shingle: int) -> np.ndarray:
+    """How many distinct shingles each line has; lines are of `shingle` bytes at least."""
+    h, own = _shingled(lines, shingle)
+    order = np.lexsort((h, own))
+    h, own = h[order], own[order]
+    fresh = np.append(True, (h[1:] != h[:-1]) | (own[1:] != own[:-1]))[: len(h)]
+    return np.bincount(own[fresh], minlength=len(lines))
+
+
 def _named(keys: np.ndarray, salt: int) -> np.ndarray:
     """Each band has keys of its own."""
     return mix(keys + np.arange(1 + salt, keys.shape[1] + 1 + salt, dtype=np.uint64) * np.uint64(_BASE))
@@ -171,21 +183,63 @@ def _signed(parts: int, min_chars: int):
     return run
 
 
-def _wanted(it):
-    """The lines of a document at the places asked for; a payload starts with the length of its shingles. Rows that repeat a doc_id with another text hold other lines there: these are left out."""
-    release("line dedup")
-    for batch in it:
-        nodes, shorts, payloads = [], [], []
-        for text, wanted in zip(texts_of(batch), column_of(batch, "wanted").to_pylist()):
-            parts = text.split(b"\n")
-            for w in wanted:
-                line = normal(parts[w["place"]]) if w["place"] < len(parts) else b""
-                if int.from_bytes(xxhash.xxh3_128_digest(line)[:8], "little", signed=True) == w["h1"]:
-                    nodes.append(w["node"])
-                    shorts.append(w["node"] != w["h1"])
-                    payloads.append(bytes([SHORT_SHINGLE if shorts[-1] else SHINGLE]) + line)
-        sizes = pa.array([len(_shingles(x)) for x in payloads], pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(shorts, pa.bool_()), sizes, pa.array(payloads, pa.binary())], names=["node", "short", "n", "payload"])
+def _probes(nodes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of each node in a filter of 2**k bits, as filter_of() sets them."""
+    return nodes >> np.uint64(64 - k), (nodes << np.uint64(30)) >> np.uint64(64 - k)
+
+
+def filter_of(nodes: DataFrame) -> np.ndarray:
+    """A bit for each of two places of every node, set by Spark in slices of 4 KB: 2 to 4 bytes a node reach the driver, 128 MB at most."""
+    k = min(30, max(15, (FILTER_BITS * nodes.count()).bit_length()))
+    places = F.array(F.shiftrightunsigned("node", 64 - k) + 1, F.shiftrightunsigned(F.shiftleft("node", 30), 64 - k) + 1)
+    at = nodes.select(F.explode(places).alias("at")).select(F.bitmap_bucket_number("at").alias("slice"), F.bitmap_bit_position("at").alias("bit"))
+    out = np.zeros((1 << k >> 15, 4096), np.uint8)
+    for i, bits in at.repartition("slice").groupBy("slice").agg(F.bitmap_construct_agg("bit")).toLocalIterator():
+        out[i - 1] = np.frombuffer(bits, np.uint8)
+    return out.ravel()
+
+
+def passing(bits: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Whether nodes (unsigned) may be among those of the filter: all of these pass, and few others."""
+    out = np.ones(len(nodes), bool)
+    for at in _probes(nodes, len(bits).bit_length() + 2):
+        out &= (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return out
+
+
+def _candidates(held, min_chars: int):
+    """The lines that pass the filter, each once a task; a payload starts with the length of its shingles. A line is looked for under both its names."""
+
+    def run(it):
+        release("line dedup")
+        bits, seen = held.value, set()
+        for big in it:
+            for at in range(0, big.num_rows, 256):
+                batch = big.slice(at, 256)
+                lines = [line for i, text in zip(column_of(batch, "doc_id").to_pylist(), texts_of(batch)) if i is not None for _, line in lines_of(text, min_chars)]
+                if not lines:
+                    continue
+                names = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x)[:8] for x in lines]), np.uint64)
+                sizes = np.array([len(x) for x in lines], np.int64)
+                nodes, shorts, counts, payloads = [], [], [], []
+                for shingle, fit, turn in ((SHINGLE, sizes >= LONG_CHARS, 0), (SHORT_SHINGLE, (sizes >= SHORT_SHINGLE) & (sizes <= SHORT_CHARS), _TURN)):
+                    own = np.flatnonzero(fit)
+                    turned = names[own] ^ np.uint64(turn)
+                    hit = passing(bits, turned)
+                    fresh = []
+                    for i, node in zip(own[hit].tolist(), turned[hit].view(np.int64).tolist()):
+                        if node not in seen:
+                            seen.add(node)
+                            nodes.append(node)
+                            fresh.append(lines[i])
+                    shorts += [shingle == SHORT_SHINGLE] * len(fresh)
+                    counts += _set_sizes(fresh, shingle).tolist()
+                    payloads += [bytes([shingle]) + line for line in fresh]
+                if len(seen) > MEMO_WORDS:
+                    seen.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(shorts, pa.bool_()), pa.array(counts, pa.int64()), pa.array(payloads, pa.binary())], names=["node", "short", "n", "payload"])
+
+    return run
 
 
 def _shingles(payload: bytes) -> np.ndarray:
@@ -196,19 +250,13 @@ def _turned(column: str) -> "F.Column":
     return F.col(column).bitwiseXOR(F.lit(_TURN))
 
 
-def line_components(docs: DataFrame, lines: DataFrame, entries: DataFrame) -> DataFrame:
+def line_components(docs: DataFrame, entries: DataFrame, min_chars: int) -> DataFrame:
     """(h1, component) for the distinct lines that have links to others."""
     pairs, members = counted(entries, "lines")
     nodes = durable(members.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct(), "line-nodes")
-    # The text of every candidate line, found once; its shingles are hashed where it is compared. A node is h1 or, for short shingles, h1 turned.
-    both = nodes.select("node", F.explode(F.array("node", _turned("node"))).alias("h1"))
-    places = lines.join(broadcast_if_few(durable(both, "line-names")), "h1").groupBy("node", "h1").agg(F.min(F.struct("doc_id", "place")).alias("at"))
-    wanted = places.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("node", "h1", "at.place")).alias("wanted"))
-    wanted = durable(wanted, "wanted")
-    n = wanted.count()
-    held = keep_ids(docs, wanted.select("doc_id"), "doc_id", n)
-    found = held.join(F.broadcast(wanted) if n <= BROADCAST_ROWS // 20 else wanted, "doc_id").select("text", "wanted")
-    found = durable(found.mapInArrow(_wanted, "node long, short boolean, n long, payload binary").dropDuplicates(["node"]), "wanted-lines")
+    # The text of every candidate line, found once by its hash, so that no whole text is dealt; its shingles are hashed where it is compared. A node is h1 or, for short shingles, h1 turned.
+    held = docs.sparkSession.sparkContext.broadcast(filter_of(nodes))
+    found = durable(docs.mapInArrow(_candidates(held, min_chars), "node long, short boolean, n long, payload binary").dropDuplicates(["node"]), "candidate-lines")
     comps = link(pairs, members, found.select("node", "n", "payload"), PERCENT, _shingles, "lines")
     # A line's two nodes are one.
     twins = comps.join(found.where("short").select("node"), "node", "left_semi").select("node", _turned("node"))
@@ -221,7 +269,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     sent = docs.mapInArrow(_signed(fine_parts(docs.sparkSession), min_chars), "part int, kind int, blob binary")
     both = durable(met(sent), "lines")
     lines = both.where("kind = 2").select(F.col("a").alias("h1"), F.col("b").alias("h2"), F.col("c").alias("doc_id"), F.col("d").alias("place"))
-    comps = line_components(docs, lines, both.where("kind = 0").select(F.col("a").alias("key"), F.col("b").alias("node")))
+    comps = line_components(docs, both.where("kind = 0").select(F.col("a").alias("key"), F.col("b").alias("node")), min_chars)
     # A line without links is its own group, under both halves of its hash.
     named = lines.join(broadcast_if_few(durable(comps, "line-groups")), "h1", "left")
     named = named.select("doc_id", "place", F.coalesce("component", "h1").alias("g1"), F.when(F.col("component").isNull(), F.col("h2")).otherwise(F.lit(0)).alias("g2"))

@@ -123,6 +123,17 @@ def test_line_dedup_keeps_one_line_of_each_group(spark):
     assert got == {3: ("short\n" + far, 3, 1, "own"), 1: (near + "\nshort", 2, 0, "own"), 2: ("", 2, 2, "own"), 4: ("", 0, 0, "own"), 5: ("", 0, 0, "own"), None: (base, 1, 0, "own")}
 
 
+def test_line_dedup_finds_candidate_lines_by_their_hash(spark):
+    """Every candidate passes the filter and few other lines do, so that texts are not dealt to find them."""
+    random_ = np.random.default_rng(3).integers(0, 2**64, 40_000, dtype=np.uint64)
+    bits = line_dedup.filter_of(spark.createDataFrame([(x,) for x in random_[:2_000].view(np.int64).tolist()], "node long"))
+    assert line_dedup.passing(bits, random_[:2_000]).all() and line_dedup.passing(bits, random_[2_000:]).mean() < 0.03
+    lines = [b"aaaaaaaa", b"abcdefgh" * 9, b"the harbour wall was painted white again"]
+    for shingle in (4, 8):
+        assert line_dedup._set_sizes(lines, shingle).tolist() == [len(line_dedup._shingles(bytes([shingle]) + x)) for x in lines]
+    assert line_dedup.filter_of(spark.createDataFrame([], "node long")).sum() == 0
+
+
 def test_line_dedup_of_short_lines(spark):
     """Exact repeats at any length, and one changed letter from 40 bytes on; blank lines stay."""
     lines = ["the harbour wall was painted white again", "a slow train left the valley before the first snow fell", "seven painters came to the old mill by the river and stayed there all summer"]
