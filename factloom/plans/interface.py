@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators import analyzers, binding, navigation
 from factloom.sources import diff
-from factloom.tables import CLEANED, durable, table
+from factloom.tables import CLEANED, durable, grown, table
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -37,7 +37,7 @@ def files(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "supplier").selectExpr(*[x.strip() for x in _FIELDS.format(text="string").split(", ")])
     before = own.select((F.col("key") + 1).alias("key"), F.col("k").alias("p"), F.col("folder").alias("q"))
     text = F.concat_ws("\n", *[F.expr(x) for x in LINES])
-    return own.join(before, "key", "left").select("path", text.alias("content")).withColumn("size_bytes", F.length("content"))
+    return own.join(grown(before), "key", "left").select("path", text.alias("content")).withColumn("size_bytes", F.length("content"))
 
 
 def facts(spark: SparkSession, d: str) -> analyzers.Facts:

@@ -7,6 +7,7 @@ import pytest
 
 from factloom.operators import analyzers, binding, navigation
 from factloom.operators.containment import enclosing
+from factloom.plans import interface
 from factloom.sources import code_facts
 from factloom.sources.names import Names
 
@@ -155,3 +156,24 @@ def test_names_of_odd_sources():
     parts = ["a", "b", "(", ")", "{", "}", "[", "]", "<", ">", "=", "=>", " as ", ": T", "`", "${", "'", "/", "\n", ";", ",", "const ", "function ", "class ", "import ", "export ", "type ", ".", "?", "<p>", "</p>", "catch ", "for "]
     for _ in range(3000):
         Names("".join(rng.choice(parts) for _ in range(rng.randint(1, 40))))
+
+
+def test_facts_are_joined_without_a_broadcast_of_them(spark):
+    """A compressed table of facts is far smaller on disk, by which Spark plans, than in the driver's memory, through which a broadcast goes."""
+    files = spark.createDataFrame([(f"src/f{i}.ts", f"import {{ a as b }} from './f{i - 1}'\nexport const a = (c: number) => b + c", 70) for i in range(20)], "path string, content string, size_bytes long")
+    facts = analyzers.facts_of(files, spark.createDataFrame([], "alias string, target string"))
+    wanted = facts["imports"].select("path", "specifier")
+    plans = {
+        "bindings": binding.bound_names(facts["names"]), "uses": binding.resolved_uses(facts["names"], facts["bindings"]), "counts": binding.reference_counts(facts),
+        "resolve": code_facts.resolve(wanted, facts["files"].select("path"), spark.createDataFrame([], "alias string, target string")), "symbols": code_facts.symbols(facts["nodes"], facts["exports"]),
+    }
+    for name, frame in plans.items():
+        plan = frame._jdf.queryExecution().sparkPlan().toString()
+        # Only the aliases of a configuration are sent to every task.
+        assert plan.count("BroadcastHashJoin") == (name == "resolve") and "BuildLeft" not in plan, (name, plan)
+    assert {(r.name, r.references, r.files) for r in binding.reference_counts(facts).collect()} == {("a", 3, 2), ("a", 1, 1)}
+
+
+def test_files_of_components_are_made_without_a_broadcast_of_them(spark):
+    plan = interface.files(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert "Broadcast" not in plan
