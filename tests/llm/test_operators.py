@@ -423,3 +423,102 @@ def test_letters_of_many_blocks_are_counted_at_once(monkeypatch):
     assert counted == [sorted([b"one", b"\n", b"one", b"three", b"\n", b"four", b"\n"])]
     kinds = [k for r in rows for k in r.column(1).to_pylist()]
     assert kinds.count(lm_mixing.SPELL) == lm_mixing.CHUNKS
+
+
+def through_the_corpus(blocks, parts=12):
+    """For each block of (ids, texts) what the operator has for its tokens: block, train, counts, own counts, what the corpus leaves each way by; and the corpus' tokens."""
+    import pyarrow as pa
+
+    from factloom.llm.common import WordHashes, split_of
+
+    columns = [pa.array(range(len(blocks)), pa.int64()), pa.array([b[0] for b in blocks], pa.list_(pa.int64())), pa.array([b[1] for b in blocks], pa.list_(pa.binary()))]
+    sent = pa.Table.from_batches(list(lm_mixing._sent(parts, 5, 1)(iter([pa.RecordBatch.from_arrays(columns, names=["block", "ids", "texts"])]))))
+    rows = pa.Table.from_batches(list(lm_mixing._answered(parts)(iter(sent.sort_by([("part", "ascending"), ("kind", "ascending")]).to_batches())))).to_pylist()
+    tops, out = np.zeros(lm_mixing.word_parts(parts), np.int64), []
+    for r in rows:
+        if r["kind"] == lm_mixing.TOTAL:
+            tops[r["part"]] = np.frombuffer(r["blob"], np.int64)[0]
+    for number, (ids, texts) in enumerate(blocks):
+        block = lm_mixing.Block(texts, WordHashes())
+        train, counts, own, elsewhere = (split_of(ids, 5) != 1)[block.own], [], [], []
+        for order, h in enumerate(block.hashes, 1):
+            everywhere, leave = lm_mixing._everywhere(h, order, [r for r in rows if r["block"] == number and r["kind"] == order], tops)
+            own.append(lm_mixing._own_counts(h, block.own))
+            elsewhere.append(leave)
+            counts.append(everywhere - np.where(train, own[-1][1], 0) + own[-1][0])
+        out.append((block, train, counts, own, elsewhere))
+    return out, int(tops.sum())
+
+
+def test_lm_known_tokens_are_told_bit_by_bit_by_counts_of_the_corpus(rows):
+    """A known token used to be told by its share of its context's count, without a bit that is mixed. Every bit's counts are those of a plain count over the continuations elsewhere and before."""
+    from collections import Counter
+    from math import log
+
+    ids, texts = [i for i, _ in rows][:40], [(t or "").encode()[:1500] for _, t in rows][:40]
+    texts[3] = texts[4] + b" and " + texts[4]
+    blocks = [(ids[:25], texts[:25]), (ids[25:], texts[25:])]
+    (block, train, counts, own, elsewhere), *_ = through_the_corpus(blocks)[0]
+    known, open_ = [None] * 3, np.ones(len(block.own), bool)
+    for k in (2, 1, 0):
+        known[k] = open_ & (counts[k] > 0)
+        open_ &= ~known[k]
+    token, behind, x, bit, gate = lm_mixing._told(block, counts, own, known, train, elsewhere)
+    got = {}
+    for t, b, row, y in sorted(zip(token.tolist(), behind.tolist(), x.tolist(), bit.tolist()), key=lambda r: (r[0], -r[1])):
+        got.setdefault(t, []).append((*row, y))
+    code = dict(zip(block.words, (int(h) for h in block.hashes[0])))
+    memo = lm_mixing.WordHashes()
+    code |= {w: int(h) for t in texts for b in [lm_mixing.Block([t], memo)] for w, h in zip(b.words, b.hashes[0])}
+    padded = [[b"", b"", *lm_mixing.lm_tokens(t)] for t in texts]
+    teaches, ends, bits = [zlib.crc32(str(i).encode()) % 5 != 1 for i in ids], np.cumsum(block.sizes), 0
+    assert not all(teaches[:25])
+    for i in (0, 3, 4, 7, 11, 20, teaches.index(False)):
+        seen = [{}, {}, {}]
+
+        def add(w, k, seen=seen):
+            for n in (1, 2, 3):
+                seen[n - 1].setdefault(tuple(w[k - n + 1 : k]), Counter())[w[k]] += 1
+
+        for j, w in enumerate(padded):
+            for k in range(2, len(w)):
+                if teaches[j] and j != i:
+                    add(w, k)
+        w, first = padded[i], ends[i] - block.sizes[i]
+        for k in range(2, len(w)):
+            ways = [seen[n - 1].get(tuple(w[k - n + 1 : k]), Counter()) for n in (1, 2, 3)]
+            n = next((n for n in (3, 2, 1) if ways[n - 1][w[k]]), 0)
+            want = []
+            for b in range((40 if n == 1 else 24) if n else 0):
+                here, there = [0] * 3, [0] * 3
+                for m in range(n):
+                    for u, c in ways[m].items():
+                        if c and code[u] >> (64 - b) == code[w[k]] >> (64 - b):
+                            same = code[u] >> (63 - b) == code[w[k]] >> (63 - b)
+                            here[m], there[m] = here[m] + c * same, there[m] + c * (not same)
+                if there[n - 1]:
+                    one = code[w[k]] >> (63 - b) & 1
+                    want.append([(1 if one else -1) * max(-8, min(8, log((here[m] + 0.02) / (there[m] + 0.02)))) for m in range(n - 1, -1, -1)][: 3] + [one])
+            told = got.get(first + k - 2, [])
+            assert [r[-1] for r in told] == [r[-1] for r in want]
+            # The third input of the first two orders may be that of the document.
+            assert all(np.allclose(a[:n], b[:n], atol=1e-5) for a, b in zip(told, want)), (i, k, n, told, want)
+            bits += len(want)
+            add(w, k)
+    assert bits > 1500
+
+
+def test_lm_probabilities_sum_to_one_at_most_behind_a_corpus():
+    """Held-out documents of one block that differ in their last word alone, behind a corpus that knows some of them."""
+    corpus = [b"a b c", b"a b d", b"a c a b c", b"b c d e f g", b"a b e", b"c c c", b"a b c b a", b"f b a b"]
+    words = [*b"a b c d e f g".split(), b"", *(bytes([c]) for c in range(256) if bytes([c]).split() and bytes([c]).lower() == bytes([c]) and bytes([c]) not in b"abcdefg")]
+    teach, held = ([i for i in range(9999) if (zlib.crc32(str(i).encode()) % 5 == 1) == h] for h in (False, True))
+    for head in (b"b a b", b"b z"):
+        texts = [head + b" " + w for w in words]
+        blocks, tokens = through_the_corpus([(teach[: len(corpus)], corpus), (held[: len(texts)], texts)])
+        block, train, counts, own, elsewhere = blocks[1]
+        assert not train.any()
+        spell = lm_mixing.spell_table(np.zeros(lm_mixing.SPELL_SLOTS, np.int64))
+        scores = lm_mixing._scored_tokens(block, counts, np.full(len(block.own), len(corpus)), tokens + block.place, spell, train, own, elsewhere)
+        total = (10.0 ** scores[block.place == len(head.split())]).sum()
+        assert 0.3 < total <= 1, (head, total)
