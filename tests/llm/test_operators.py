@@ -522,3 +522,18 @@ def test_lm_probabilities_sum_to_one_at_most_behind_a_corpus():
         scores = lm_mixing._scored_tokens(block, counts, np.full(len(block.own), len(corpus)), tokens + block.place, spell, train, own, elsewhere)
         total = (10.0 ** scores[block.place == len(head.split())]).sum()
         assert 0.3 < total <= 1, (head, total)
+
+
+def test_lm_bits_that_are_mixed_at_once_are_bounded(docs, monkeypatch):
+    """All bits of a block used to be held by the mixer at once."""
+    from factloom.llm.common import WordHashes
+
+    texts = [(t or "").encode()[:3000] for t in [r.text for r in docs.limit(40).collect()]] + [b"", b"x"]
+    block = lm_mixing.Block(texts, WordHashes())
+    counts = [lm_mixing._own_counts(h, block.own)[0] for h in block.hashes]
+    spell = lm_mixing.spell_table(np.zeros(lm_mixing.SPELL_SLOTS, np.int64))
+    score = lambda: lm_mixing._scored_tokens(block, counts, np.zeros(len(block.own), np.int64), block.place.copy(), spell)
+    whole, sizes, real = score(), [], lm_mixing.mixed
+    monkeypatch.setattr(lm_mixing, "MIXED_BITS", 60_000)
+    monkeypatch.setattr(lm_mixing, "mixed", lambda *a: sizes.append(len(a[1])) or real(*a))
+    assert np.allclose(score(), whole, rtol=1e-5) and len(sizes) > 1 and max(sizes) <= 60_000
