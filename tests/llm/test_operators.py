@@ -524,16 +524,13 @@ def test_lm_probabilities_sum_to_one_at_most_behind_a_corpus():
         assert 0.3 < total <= 1, (head, total)
 
 
-def test_lm_bits_that_are_mixed_at_once_are_bounded(docs, monkeypatch):
-    """All bits of a block used to be held by the mixer at once."""
-    from factloom.llm.common import WordHashes
-
-    texts = [(t or "").encode()[:3000] for t in [r.text for r in docs.limit(40).collect()]] + [b"", b"x"]
-    block = lm_mixing.Block(texts, WordHashes())
-    counts = [lm_mixing._own_counts(h, block.own)[0] for h in block.hashes]
+def test_lm_bits_that_are_held_at_once_are_bounded(docs, monkeypatch):
+    """All bits of a block used to be held at once."""
+    ids, texts = zip(*[(r.doc_id, (r.text or "").encode()[:3000]) for r in docs.limit(40).collect()], (7001, b""), (7002, b"x"), (7003, b""))
+    (block, train, counts, own, elsewhere), *_ = through_the_corpus([(list(ids), list(texts)), (list(range(20)), list(texts[:20]))])[0]
     spell = lm_mixing.spell_table(np.zeros(lm_mixing.SPELL_SLOTS, np.int64))
-    score = lambda: lm_mixing._scored_tokens(block, counts, np.zeros(len(block.own), np.int64), block.place.copy(), spell)
-    whole, sizes, real = score(), [], lm_mixing.mixed
-    monkeypatch.setattr(lm_mixing, "MIXED_BITS", 60_000)
-    monkeypatch.setattr(lm_mixing, "mixed", lambda *a: sizes.append(len(a[1])) or real(*a))
-    assert np.allclose(score(), whole, rtol=1e-5) and len(sizes) > 1 and max(sizes) <= 60_000
+    given = (block, counts, np.full(len(block.own), 30), np.full(len(block.own), 9000), spell, train, own, elsewhere)
+    whole, sizes, real = lm_mixing._scored_tokens(*given), [], lm_mixing._scored_tokens
+    monkeypatch.setattr(lm_mixing, "SCORED_TOKENS", 600)
+    monkeypatch.setattr(lm_mixing, "_scored_tokens", lambda b, *a: sizes.append(len(b.words)) or real(b, *a))
+    assert np.allclose(lm_mixing.scored(*given), whole, rtol=1e-5) and len(sizes) > 3 and max(sizes) <= max(600, block.sizes.max()) and sum(sizes) == len(whole)
